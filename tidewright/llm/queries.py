@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, token_count
+from . import decontaminate, html_text, language_id, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_count
 from .common import fold, table
 
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs.where(~held_out)), held_out)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,11 +46,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_secret_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op9_lm_score, op10_token_count)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
