@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -66,3 +68,19 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def fold_of(doc_id: object, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
+
+
+def kept_by_text(docs: DataFrame, column: str, verdict: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, with all their columns and without a shuffle.
+
+    ``verdict`` is called once in each task and returns what judges the list of a batch's texts.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = verdict()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ that length reaches the window (13 words, or a whole item of fewer), the window'
 
 The items are put into automata of at most ``BLOCK_CHARS`` code points each, so what is broadcast
 has a proven bound; several blocks are matched one after the other and their hits united by
-document.
+document id.
 
 Defined results: null texts have no words; an item without words has no window; equal items all
 count; repeated documents give repeated results; extra columns are ignored; an empty benchmark
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import kept_by_text, ship
 
 WINDOW, COVERAGE, BLOCK_CHARS = 13, 20, 2_000_000
 #: Fixed value: what a word is, over UTF-8 bytes (every byte from 0x80 belongs to a word).
@@ -224,3 +224,19 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         out.append(raw[done : at[a][0]])
         done = at[b - 1][1]
     return b"".join([*out, raw[done:]]).decode()
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; with one block of items nothing is shuffled."""
+    first = next(more := item_blocks(items, block_chars))
+    if next(more, None) is not None:
+        bad = digest(match(docs, items, window, block_chars), coverage).where("contaminated").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+
+    def clean(text: str | None) -> bool:
+        words = words_of(text)
+        n_hit = sum(b - a for a, b in sent.value.hits(words)[0]) if words else 0
+        return not n_hit or coverage * n_hit < len(words)
+
+    return kept_by_text(docs, "text", lambda: lambda texts: list(map(clean, texts)))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import kept_by_text, ship
 
 BITS, PER_LANG, MAX_LANGS, EPOCHS = 15, 600, 64, 12
 PIECE = 1 << 18
@@ -183,3 +183,9 @@ def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def with_language(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: those that are not ``und``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_by_text(docs, "text", lambda: lambda texts: [predict(sent.value, t)[0] != "und" for t in texts])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_count
+from . import decontaminate, html_text, language_id, license_scan, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_count
 from .common import fold, table
 
 
@@ -29,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.find_licenses(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.outliers(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -54,7 +58,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_secret_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op9_lm_score, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_secret_scan, op4_license_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op9_lm_score, op10_token_count)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
