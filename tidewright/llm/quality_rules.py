@@ -108,7 +108,7 @@ def with_group(stats: DataFrame, least: int) -> DataFrame:
         "k_lang", "k_source",
         F.when(F.col("count") >= least, F.concat_ws("\x01", F.lit("cell"), "k_lang", "k_source")).when(F.col("rest") >= least, F.concat_ws("\x01", F.lit("lang"), "k_lang")).when(F.lit(left >= least), F.lit("all")).alias("grp"),
     )
-    return keyed.join(named, ["k_lang", "k_source"], "left").drop("k_lang", "k_source")
+    return keyed.join(written(named, "quality-groups"), ["k_lang", "k_source"], "left").drop("k_lang", "k_source")
 
 
 def moments(rows: DataFrame) -> DataFrame:
@@ -156,6 +156,7 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
 
     The estimates are fitted on the rows that pass the base rule; the verdict falls on every row.
     """
+    # the small tables of groups are written, so their size is known and Spark broadcasts them if it is small
     stats = with_group(written(statistics(docs), "quality-stats"), least)
     fit = stats.where("not base_failed and grp is not null").select("grp", *NAMES)
     model = written(estimates(moments(fit), 1.0), "quality-model")
@@ -170,7 +171,7 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
             n = acc["n"] + x["count"]
             return F.struct(n.alias("n"), F.coalesce(acc["bin"], F.when(n >= F.col("all") * support, x["bin"])).alias("bin"))
 
-        edges = edge.select("grp", F.aggregate("bins", start, reach)["bin"].alias("edge"))
+        edges = written(edge.select("grp", F.aggregate("bins", start, reach)["bin"].alias("edge")), "quality-edges")
         model = written(estimates(moments(far.join(edges, "grp").where("bin <= edge")), CONSISTENCY), "quality-model")
     scored = stats.join(model, "grp", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
