@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Ranks and scores of statuses; a lower rank is worse.
@@ -203,10 +205,6 @@ def z_test(n1: Column, k1: Column, n2: Column, k2: Column) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """1/2 (1 + erf(z / sqrt 2)), by Arrow batches: Spark has no erf."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def cdf(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None or v != v else 0.5 * (1 + math.erf(v / math.sqrt(2))))
