@@ -110,6 +110,12 @@ def median_successive_difference(df: DataFrame, keys: Sequence[str], order: str,
     return df.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy(*keys).agg(F.median("_d").alias("masd"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation over the pairs; NULL without spread (the built-in aggregate divides by it)."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation with ties averaged; NULL without spread or below two pairs."""
 
@@ -118,7 +124,7 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
     ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_ra", averaged(a)).withColumn("_rb", averaged(b))
     spread = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    return ranked.groupBy(*keys).agg(F.when(spread, F.corr("_ra", "_rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*keys).agg(F.when(spread, correlation("_ra", "_rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def rho_critical(n: int) -> float:
@@ -131,7 +137,7 @@ def lag_one(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataF
     w = Window.partitionBy(*keys).orderBy(order)
     pairs = df.withColumn("_p", F.lag(value).over(w))
     spread = (F.count("_p") >= 2) & (F.min("_p") < F.max("_p"))
-    return pairs.groupBy(*keys).agg(F.when(spread, F.corr(value, "_p")).alias("rho1"))
+    return pairs.groupBy(*keys).agg(F.when(spread, correlation(value, "_p")).alias("rho1"))
 
 
 def lagged_correlation(df: DataFrame, series: str, bucket: str, value: str, anchor: object, lags: Sequence[int]) -> DataFrame:

@@ -108,7 +108,7 @@ def state_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, 'html' AS format, 0.9 AS confidence, CASE WHEN regexp_matches(url, '\\.html$') THEN 'html' END AS kind FROM pages
+SELECT page_id, 'html' AS format, CAST(0.9 AS DOUBLE) AS confidence, CASE WHEN regexp_matches(url, '\\.html$') THEN 'html' END AS kind FROM pages
 """)
 def page_formats(spark: SparkSession, sf: str) -> DataFrame:
     g = D.detect_format(F.encode("html", "UTF-8"), F.col("url"), F.lit(None).cast("string"))

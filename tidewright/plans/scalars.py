@@ -31,9 +31,9 @@ def level_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, round_even(a * b / 25.0 * 100.0, 2) AS assessed, round_even(least(99.0, 45.0 + least(9.0, greatest(0, p_size - 1) * 0.5)), 2) AS finding, greatest(a * b / 25.0, c / 5.0) AS change_score,
+SELECT p_partkey, round_even(a * b / 25.0 * 100.0, 2) AS assessed, CAST(round_even(least(99.0, 45.0 + least(9.0, greatest(0, p_size - 1) * 0.5)), 2) AS DOUBLE) AS finding, greatest(a * b / 25.0, c / 5.0) AS change_score,
   CASE WHEN greatest(a * b / 25.0, c / 5.0) >= 0.75 THEN 'critical' WHEN greatest(a * b / 25.0, c / 5.0) >= 0.5 THEN 'high' WHEN greatest(a * b / 25.0, c / 5.0) >= 0.25 THEN 'medium' ELSE 'low' END AS change_level,
-  round(a * 10 * 0.5 + b * 10 * 0.3 + c * 10 * 0.2, 6) AS composite
+  CAST(round(a * 10 * 0.5 + b * 10 * 0.3 + c * 10 * 0.2, 6) AS DOUBLE) AS composite
 FROM (SELECT p_partkey, p_size, p_partkey % 5 + 1 AS a, p_size % 5 + 1 AS b, p_partkey % 3 + 1 AS c FROM part)
 """)
 def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
