@@ -6,7 +6,7 @@ that length reaches the window (13 words, or a whole item of fewer), the window'
 
 The items are put into automata of at most ``BLOCK_CHARS`` code points each, so what is broadcast
 has a proven bound; several blocks are matched one after the other and their hits united by
-document id.
+document id and text.
 
 Defined results: null texts have no words; an item without words has no window; equal items all
 count; repeated documents give repeated results; extra columns are ignored; an empty benchmark
@@ -19,14 +19,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import kept_by_text, ship
 
 WINDOW, COVERAGE, BLOCK_CHARS = 13, 20, 2_000_000
 #: Fixed value: what a word is, over UTF-8 bytes (every byte from 0x80 belongs to a word).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+SCHEMA = "doc_id long, text_md5 string, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -149,6 +149,10 @@ class Automaton:
 # --- Spark --------------------------------------------------------------------------------------
 
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items' words, in blocks of at most ``block_chars`` code points (or one item)."""
     block, size = [], 0
@@ -164,11 +168,13 @@ def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str,
 def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its words, the hit stretches of words and the items hit.
 
-    With more than one block of items the stretches of each are united by document id.
+    ``text_md5`` is null unless there are several blocks of items.  With more than one block of items the stretches of each are united by document id and text.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = list(item_blocks(items, block_chars))
+    key = text_key(docs["text"]) if len(parts) > 1 else F.lit(None).cast("string")
+    docs = docs.select(F.col("doc_id").cast("long"), key.alias("text_md5"), F.col("text").cast("string"))
 
     def against(block: list[tuple[str, list[bytes]]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(Automaton(block, window))
@@ -176,40 +182,43 @@ def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cols: list[list] = [[], [], [], []]
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(2).to_pylist():
                     words = words_of(text)
                     spans, names = sent.value.hits(words) if words else ([], ())
                     for col, x in zip(cols, (len(words), [a for a, _ in spans], [b for _, b in spans], sorted(names))):
                         col.append(x)
                 types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_words", "starts", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "text_md5", "n_words", "starts", "ends", "items"])
 
         return docs.mapInArrow(run, SCHEMA)
 
-    blocks = [against(b) for b in item_blocks(items, block_chars)]
+    blocks = [against(b) for b in parts]
     if len(blocks) == 1:
         return blocks[0]
     found = blocks[0]
     for more in blocks[1:]:
         found = found.unionByName(more)
-    by = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    by = found.groupBy("doc_id", "text_md5", "n_words").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"),
+    )
+    by = by.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     spans = F.array_sort(F.arrays_zip("starts", "ends"))
     start = F.struct(F.array().cast("array<struct<starts:int,ends:int>>").alias("done"))
 
     def unite(acc, x):
-        last = F.element_at(acc["done"], -1)
+        last = F.try_element_at(acc["done"], F.lit(-1))
         near = (F.size(acc["done"]) > 0) & (x["starts"] <= last["ends"])
         grown = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], x["ends"]).alias("ends"))))
         return F.struct(F.when(near, grown).otherwise(F.concat(acc["done"], F.array(x))).alias("done"))
 
-    return by.select("doc_id", "n_words", F.aggregate(spans, start, unite)["done"].alias("s"), "items").select("doc_id", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
+    return by.withColumn("s", F.aggregate(spans, start, unite)["done"]).select("doc_id", "text_md5", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
 
 
-def digest(matched: DataFrame, coverage: int = COVERAGE) -> DataFrame:
-    """The digest columns of the ``op6`` query, from ``match``."""
+def digest(matched: DataFrame, coverage: int = COVERAGE, *more: str) -> DataFrame:
+    """The digest columns of the ``op6`` query, from ``match``, and what else is named."""
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return matched.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *more,
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -230,8 +239,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """The rows of ``docs`` that are not contaminated; with one block of items nothing is shuffled."""
     first = next(more := item_blocks(items, block_chars))
     if next(more, None) is not None:
-        bad = digest(match(docs, items, window, block_chars), coverage).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        bad = match(docs, items, window, block_chars)
+        bad = digest(bad, coverage, "text_md5").where("contaminated").select("text_md5").distinct()  # the verdict depends on the text alone
+        return docs.join(bad, text_key(docs["text"]) == bad["text_md5"], "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
 
     def clean(text: str | None) -> bool:

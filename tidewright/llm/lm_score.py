@@ -151,8 +151,7 @@ def learn_weights(histogram: list[tuple[int, int, int, int]], uniform: float, ro
 
     pooled = fit(np.ones(len(h), bool), np.array([0.4, 0.5, 0.1]))
     weights = np.stack([fit(h[:, 0] == b, pooled) for b in range(BUCKETS)])
-    if (h[:, 0] == 0).sum() == 0:
-        weights[0] = np.array([0, *weights[0, 1:]]) / weights[0, 1:].sum()
+    weights[0] = np.array([0, *weights[0, 1:]]) / weights[0, 1:].sum()  # a context never seen has no bigram estimate
     return weights
 
 
@@ -187,6 +186,8 @@ def ask(blocks: DataFrame, parts: int) -> DataFrame:
                 t, rows = BlockTypes(row["words"], row["tokens"], parts), []
                 for k in range(parts):
                     w, p = t.word_order[t.word_cuts[k] : t.word_cuts[k + 1]], t.pair_order[t.pair_cuts[k] : t.pair_cuts[k + 1]]
+                    if not len(w) and not len(p):  # so rows never outnumber what is asked for, however many parts there are
+                        continue
                     rows.append({"part": k, "block": row["block"], "role": row["role"], "words": t.hashes[w].tobytes(), "word_counts": squeezed(t.word_counts[w].astype("<u4")), "pairs": squeezed48(t.pair_keys[p] & np.uint64((1 << 48) - 1)), "pair_counts": squeezed(t.pair_counts[p].astype("<u4"))})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
