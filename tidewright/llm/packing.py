@@ -7,9 +7,9 @@ window they leave least room in, which a segment tree indexed by remaining capac
 log(window) steps.  Only each group's last windows can stay partly empty.
 
 Tokens come from the ``tokenizers`` library.  For a vocabulary that never merges across ASCII white
-space (``splits_at_space``, read off its description) each distinct word is encoded once
-and remembered, a trailing run of full stops and commas apart from a letter; the ids are
-those of the whole text.
+space (``splits_at_space``, read off its description) a text's new words are encoded together and
+remembered (two generations of ``REMEMBERED`` words), a trailing run of full stops and commas apart
+from a letter; the ids are those of the whole text.
 
 Defined results: a null or empty text is its end token alone; pieces of equal length are taken in
 the order of (doc_id, start, ids_crc32); repeated rows are packed each; extra columns are ignored.
@@ -19,21 +19,21 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship, written
 
-WINDOW, END_ID, GROUP_TOKENS, REMEMBERED = 4096, 2, 8_000_000, 800_000
+WINDOW, END_ID, GROUP_TOKENS, REMEMBERED = 4096, 2, 8_000_000, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
-BETWEEN_BLANKS = re.compile(r"[^ \n\t\r]+")
+GROUP_BYTES = 8 << 20
 
 
 class WordEncoder:
@@ -45,32 +45,80 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
+            description = json.load(f)
+        self.by_word = splits_at_space(description)
+        # a unit of the pre-tokenizer ends with an id whose piece has the vocabulary's suffix
+        suffix = description["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
+        return next(self.encode_all(pa.array([text], pa.string()))).tobytes()
+
+    def encode_all(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text; distinct words are found for groups of texts of about ``GROUP_BYTES``."""
         if not self.by_word:
-            return self._whole(text)
-        known, words = self.known, text.split(" ")
-        if "\n" in text or "\t" in text or "\r" in text or "" in words:
-            words = BETWEEN_BLANKS.findall(text)
-        if new := {w for w in words if w not in known}:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            for w in new:
-                core, tail = tail_apart(w)
-                if core not in known:
-                    known[core] = self._whole(core)
-                if tail:
-                    if tail not in known:
-                        known[tail] = self._whole(tail)
-                    known[w] = known[core] + known[tail]
-        return b"".join(map(known.__getitem__, words))
+            yield from (np.frombuffer(self._whole(t), "<u4") for t in texts.to_pylist())
+            return
+        filled = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:]):
+            part = texts.slice(low, high - low)
+            for blank in "\n\t\r":
+                part = pc.replace_substring(part, blank, " ")
+            words = pc.split_pattern(part, " ")
+            coded = words.flatten().dictionary_encode()
+            ids, sizes = self._ids_of(coded.dictionary.to_pylist())
+            codes = coded.indices.to_numpy()
+            ends = np.cumsum(sizes[codes])
+            # for each word its ids, from where they stand among those of the distinct words
+            moved = (np.cumsum(sizes) - sizes)[codes] - (ends - sizes[codes])
+            all_ids = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(moved, sizes[codes])]
+            last = np.cumsum(pc.list_value_length(words).to_numpy())
+            bounds = np.concatenate(([0], ends))[np.concatenate(([0], last))]
+            yield from (all_ids[i:j] for i, j in zip(bounds, bounds[1:]))
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        self._learn([w for w in words if w not in self.known])
+        found = list(map(self.known.__getitem__, words))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _learn(self, words: list[str]) -> None:
+        known, before, apart = self.known, self.before, {}
+        for w in words:
+            if (ids := before.get(w)) is None:
+                apart[w] = tail_apart(w)
+            else:
+                known[w] = ids
+        found = self._cores({core for core, _ in apart.values()})
+        for w, (core, tail) in apart.items():
+            if tail not in self.tails:
+                if len(self.tails) > 1000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._whole(tail)
+            known[w] = found[core] + self.tails[tail]
+
+    def _cores(self, cores: set[str]) -> dict[str, bytes]:
+        """Letters alone are one unit each, so they are encoded in one call and cut where units end."""
+        found, letters = {}, [c for c in cores if c.isalpha() and c.lower().isalpha()]
+        if letters:
+            some = [" ".join(letters[k : k + 200]) for k in range(0, len(letters), 200)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False) for i in e.ids], "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(letters):  # more where normalising makes something else of a letter
+                raw = ids.tobytes()
+                found = {c: raw[i:j] for c, i, j in zip(letters, [0, *cuts], cuts)}
+        return found | {c: self._whole(c) for c in cores if c not in found}
 
 
 def tail_apart(word: str) -> tuple[str, str]:
@@ -156,9 +204,9 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            names, rows = batch.column(0).to_pylist(), []
-            for name, text in zip(names, batch.column(1).to_pylist()):
-                ids = enc.encode(text or "") + end_id.to_bytes(4, "little")
+            names, rows, end = batch.column(0).to_pylist(), [], end_id.to_bytes(4, "little")
+            for name, found in zip(names, enc.encode_all(pc.fill_null(batch.column(1), ""))):
+                ids = found.tobytes() + end
                 for k in range(0, len(ids), 4 * window):
                     piece = ids[k : k + 4 * window]
                     rows.append((name, k // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
