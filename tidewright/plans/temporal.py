@@ -197,9 +197,8 @@ SELECT g.bucket FROM g CROSS JOIN s LEFT JOIN o ON o.bucket = g.bucket AND o.eve
 """)
 def platform_gaps(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).withColumn("bucket", F.floor(S.seconds(F.col("ts")) / 3600).cast("long"))
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
     seen = e.where("user_id % 10 = 0").select("bucket", "event_type", F.lit(True).alias("observed")).distinct()
-    every = e.select("bucket").distinct().withColumn("event_type", F.explode(F.array(*(F.lit(k) for k in kinds))))
+    every = e.select("bucket").distinct().crossJoin(e.select("event_type").distinct())
     return ST.platform_gaps(every.join(seen, ["bucket", "event_type"], "left").withColumn("observed", F.coalesce("observed", F.lit(False))), "bucket", "observed").select("bucket")
 
 
@@ -409,11 +408,10 @@ n AS (SELECT k, i, s0, unnest(range(366)) AS c FROM s), o AS (SELECT k, CASE i %
 SELECT k AS entry, strftime(a, '%Y-%m-%d %H:%M:%S') AS occurs_at FROM o WHERE a < TIMESTAMP '2024-03-01' AND a + INTERVAL 2 HOUR > TIMESTAMP '2024-01-15'
 """)
 def calendar_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = sorted(r[0] for r in events(spark, sf).select("event_type").distinct().limit(100).collect())
-    from datetime import timedelta
-
-    rows = [(k, (s := datetime(2024, 1, 1, 9) + timedelta(days=i)), s + timedelta(hours=2), ("daily", "weekly", "monthly")[i % 3], None) for i, k in enumerate(kinds, 1)]
-    entries = spark.createDataFrame(rows, "entry string, starts_at timestamp_ntz, ends_at timestamp_ntz, recurrence string, until timestamp_ntz")
+    kinds = WN.waves(events(spark, sf).select("event_type").distinct(), [F.asc_nulls_last("event_type")], 1).withColumn("i", F.col("wave") + 1)
+    start = F.lit(datetime(2024, 1, 1, 9)).cast("timestamp_ntz") + F.make_dt_interval(F.col("i").cast("int"))
+    recurrence = F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly"))), (F.col("i") % 3 + 1).cast("int"))
+    entries = kinds.select(F.col("event_type").alias("entry"), start.alias("starts_at"), (start + F.expr("INTERVAL 2 HOURS")).alias("ends_at"), recurrence.alias("recurrence"), F.lit(None).cast("timestamp_ntz").alias("until"))
     lit = lambda t: F.lit(t).cast("timestamp_ntz")
     out = dates.occurrences(entries, "starts_at", "ends_at", "recurrence", "until", lit(datetime(2024, 1, 15)), lit(datetime(2024, 3, 1)))
     return out.select("entry", F.date_format("occurs_at", "yyyy-MM-dd HH:mm:ss").alias("occurs_at"))
