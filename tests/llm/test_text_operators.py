@@ -68,6 +68,29 @@ def test_main_text(page, text):
     assert html_text.extract(page) == text
 
 
+SENTENCE = "The river ran high that spring and the mill stood still for a week, so the miller went to town. "
+LINK_LINES = "".join(f"<p><a href=x>Go to page {k} of the list</a></p>" for k in range(4))
+BODY = [f"Paragraph {k}. {SENTENCE * 3}".strip() for k in range(6)]
+#: Pages on which the distribution has to decide.
+DECIDED = [
+    # the body stands in a div, the article elements are teaser cards
+    ("<div>" + "".join(f"<p>{x}</p>" for x in BODY) + "</div>" + LINK_LINES + "".join(f"<article><h3><a href=x>Other {k}</a></h3><p>Read it now.</p></article>" for k in range(3)), " ".join(BODY)),
+    # without an article, one huge paragraph and an ordinary one behind link lines
+    (f"<div><p>{SENTENCE * 60}</p>{LINK_LINES}<p>{BODY[0]}</p>{LINK_LINES}<p>{BODY[1]}</p></div>", f"{SENTENCE * 60}{BODY[0]} {BODY[1]}"),
+    # without an article, a short line far from the prose
+    (f"<div><p>{BODY[0]}</p><p>{BODY[1]}</p></div>{LINK_LINES}<div>Powered by us</div>", f"{BODY[0]} {BODY[1]}"),
+    # set-aside lines keep their place and part the prose from what stands behind them
+    (f"<div><p>{BODY[0]}</p><p>{BODY[1]}</p></div><ul class=menu><li>one</li><li>two</li><li>three</li></ul><div>Powered by us</div>", f"{BODY[0]} {BODY[1]}"),
+    # an ordinary article, with its short heading apart
+    (f"<nav><p>Home</p></nav><article><h1>A heading of some thirty letters</h1><ul class=share><li>a</li><li>b</li><li>c</li></ul><p>{BODY[0]}</p><p>{BODY[1]}</p></article><p>Imprint</p>{LINK_LINES}", f"A heading of some thirty letters {BODY[0]} {BODY[1]}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), DECIDED)
+def test_the_distribution_decides(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(k, None if k % 2 else "u", p, "clash") for k, (p, _) in enumerate(PAGES)] * 2, "page_id long, url string, html string, text string")
     rows = html_text.extract_pages(df).collect()

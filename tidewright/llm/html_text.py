@@ -1,14 +1,17 @@
 """HTML extraction by line-block distribution.
 
 A page is stripped to lines: every block-level tag ends a line, scripts, styles, comments, forms
-and other elements without prose are dropped, and each line remembers what it stands in.  A line's
+and other elements without prose are set aside, and each line remembers what it stands in.  A line's
 *content length* is its text's length, or zero if it stands in a menu, header, footer, sidebar,
-notice, advert or reader comments, or if more than half of it is link text and it stands outside
-the article.  The distribution is the sum of content lengths over a sliding window of ``WIDTH``
-lines.  A *surge* is a line with content where the window's sum rises from nothing, or above
-``SURGE`` where the page marks no article; a *dive* is where it falls to nothing again.  The text
-kept stands between surge and dive points: with an article (or main) element every stretch in it,
-otherwise every stretch that reaches ``SURGE`` of the densest one's length.
+notice, advert or reader comments (such a line keeps its place), or if more than half of it is link
+text and it stands outside an article.  The distribution is the sum of content lengths over a
+sliding window of ``WIDTH`` lines.  A *surge* is a line with content where the window's sum rises
+from nothing; a *dive* is where it falls to nothing again.  The text kept stands between those surge
+and dive points where the sum reaches ``SURGE`` of ``WIDTH`` typical lines.  The typical line is the
+one in which the middle character of the content stands, a line counting ``PROSE`` characters at
+most, so neither many short lines nor one huge paragraph move it.  An article (or main) element that
+holds half of the page's content or more only gives its lines the weight ``WEIGHT``, and windows
+don't reach over an article's bounds.
 
 Defined results: a null or empty page gives the empty text; unclosed tags, truncated pages and
 stray ``<`` are read as browsers do (a tag cut off by the end is dropped, other stray marks are
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ship
 
 WIDTH, SURGE, LINKS = 3, 0.25, 0.5
+PROSE, WEIGHT = 200, 8
 #: What HTML calls void, raw-text and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -70,12 +75,13 @@ def set_aside(tag: str, attributes: str) -> bool:
 
 
 class Lines:
-    """The lines of a page: (text, length of its link text, set aside, in an article)."""
+    """The lines of a page: (text, length of its link text, set aside, number of the outermost article it stands in or 0)."""
 
     def __init__(self, html: str):
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
-        self.linked = self.aside = self.article = self.links = 0
+        self.linked = self.aside = self.article = self.articles = self.links = 0
+        self.skipped = False
         self.open: list[tuple[str, int, int]] = []
         at = 0
         while m := MARK.search(html, at):
@@ -95,13 +101,17 @@ class Lines:
             self.parts.append(raw)
             if self.links:
                 self.linked += len(raw.strip())
+        elif raw and not raw.isspace():
+            self.skipped = True
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                self.rows.append((text, self.linked, False, self.article > 0))
-        self.parts, self.linked = [], 0
+                self.rows.append((text, self.linked, False, self.articles if self.article else 0))
+        if self.skipped:
+            self.rows.append(("", 0, True, self.articles if self.article else 0))
+        self.parts, self.linked, self.skipped = [], 0, False
 
     def start(self, tag: str, attributes: str, empty: bool, html: str, at: int) -> int:
         if tag not in INLINE:
@@ -124,6 +134,7 @@ class Lines:
         if aside:
             self.end_line()
         self.aside += aside
+        self.articles += article and not self.article
         self.article += article
         self.links += tag == "a"
         return at
@@ -176,19 +187,33 @@ def stretches(lengths: list[int], width: int, least: float) -> Iterator[tuple[in
         yield start, n
 
 
+def typical(lengths: list[int]) -> int:
+    """The length of the line in which the middle character stands, each line counting ``PROSE`` at most."""
+    middle = sum(min(n, PROSE) for n in lengths) / 2
+    for n in sorted(lengths):
+        middle -= min(n, PROSE)
+        if middle <= 0:
+            return n
+    return 0
+
+
 def extract(html: str | None, width: int = WIDTH, surge: float = SURGE) -> str:
     """The main text of one page."""
     if not html:
         return ""
     rows = Lines(html).rows
-    if any(article for *_, article in rows):
-        lengths = [len(text) if article else 0 for text, _, _, article in rows]
-        kept = list(stretches(lengths, width, 0))
-    else:
-        lengths = [0 if linked > LINKS * len(text) else len(text) for text, linked, _, _ in rows]
-        top = max((sum(lengths[i : i + width]) for i in range(len(lengths))), default=0)
-        kept = list(stretches(lengths, width, surge * top))
-    return " ".join(rows[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+    lengths = [0 if aside or not article and linked > LINKS * len(text) else len(text) for text, linked, aside, article in rows]
+    held: dict[int, int] = {}
+    for n, (*_, article) in zip(lengths, rows):
+        held[article] = held.get(article, 0) + n
+    total = sum(held.values())
+    weighted = [n * WEIGHT if article and 2 * held[article] >= total else n for n, (*_, article) in zip(lengths, rows)]
+    least, out = surge * width * typical(lengths), []
+    for _, run in groupby(range(len(rows)), lambda i: rows[i][3]):
+        part = list(run)
+        kept = stretches([weighted[i] for i in part], width, least)
+        out += [rows[i][0] for a, b in kept for i in part[a:b] if lengths[i]]
+    return " ".join(out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
