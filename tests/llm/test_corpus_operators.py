@@ -55,6 +55,27 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert sum(rows[k] for k, *_ in plain) >= 1195 and not any(rows[k] for k, *_ in junk)
 
 
+@pytest.mark.parametrize("kind", ["lines", "symbols", "width"])
+@pytest.mark.parametrize("share", [20, 260])
+def test_each_statistic_can_reject(spark, kind, share):
+    """Every second line the same, two symbols a word, or words of double length, as single rows and as a fifth of the group."""
+    import random
+
+    rnd = random.Random(7)
+    word = lambda a, b: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(a, b)))
+
+    def text(kind):
+        lines = []
+        for _ in range(rnd.randint(8, 30)):
+            lines.append(" ".join(word(4, 16) if kind == "width" else word(2, 8) + ("#$" if kind == "symbols" else "") for _ in range(10)))
+            lines += ["read more"] if kind == "lines" else []
+        return "\n".join(lines)
+
+    rows = [(k, text(""), "en", "s") for k in range(1000)] + [(5000 + k, text(kind), "en", "s") for k in range(share)]
+    kept = {r.doc_id: r.kept for r in quality_rules.outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(kept[k] for k in range(1000)) >= 990 and sum(kept[5000 + k] for k in range(share)) <= 0.05 * share
+
+
 def test_concentration_matches_numpy(spark):
     """The location of the tightest share of one group, as plain concentration steps over all rows find it."""
     rng = np.random.default_rng(4)

@@ -4,13 +4,16 @@ Each document's whole text becomes a vector of transformed statistics.  For each
 source the location and scatter of the tightest ``SUPPORT`` share of its documents are estimated by
 concentration steps over *all* rows: distances under the current estimate, their quantile from a
 histogram of counts, then the moments of the rows below it.  A step shuffles only partial sums and
-counts by group, so a group with a third of all rows costs no more than another.  A document is
-rejected if its squared Mahalanobis distance exceeds the chi-squared quantile ``CUTOFF``.
+counts by group, so a group with a third of all rows costs no more than another.  The steps run from
+``STARTS``: all rows' moments, and the medians with the medians of the absolute deviations or with
+the least spreads; each group keeps the estimate of the least determinant.  A document is rejected
+if its squared Mahalanobis distance exceeds the chi-squared quantile ``CUTOFF``.
 
 Groups of fewer than ``MIN_GROUP`` rows are put together by language, and what is still small
 altogether; if even that is small, its rows have no verdict and stay.  Each row belongs to one
-group.  ``FLOOR`` is a least standard deviation for each statistic: ordinary spread of short texts
-must not look extreme in a group whose documents are nearly alike.
+group.  ``STATS`` has a least standard deviation for each statistic, which stands in for a smaller
+one and adds nothing to a larger one: ordinary spread of short texts must not look extreme in a group
+whose documents are nearly alike.  ``FLOOR`` is added and only keeps the scatter invertible.
 
 Defined results: null text counts as empty and fails the base rule (fewer than 20 words); null
 language or source is a group value of its own; repeated rows are separate rows; extra columns are
@@ -30,14 +33,16 @@ from .common import ship, written
 
 SHINGLE, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 MIN_GROUP, SUPPORT, STEPS = 200, 0.75, 6
-#: Fixed values for 5 degrees of freedom: the factor that makes the scatter of the tightest SUPPORT share consistent, and the chi-squared quantile of 1 - 1e-7.
-CONSISTENCY, CUTOFF = 1.4121, 40.86
+#: Fixed values for 5 degrees of freedom: the factor that makes the scatter of the tightest SUPPORT share consistent, and the chi-squared quantile of 0.999.
+CONSISTENCY, CUTOFF = 1.4121, 20.515
+STARTS = ("all", "deviations", "least")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Transformed statistics and the least standard deviation of each.
-STATS = {"size": 0.8, "width": 0.12, "marks": 0.25, "lines": 0.2, "repeats": 0.2}
+STATS = {"size": 0.8, "width": 0.12, "marks": 0.25, "lines": 0.13, "repeats": 0.12}
 NAMES = list(STATS)
-FLOOR = np.array(list(STATS.values()))
+LEAST = np.array(list(STATS.values()))
 DIM = len(NAMES)
+FLOOR = np.full(DIM, 1e-4)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -118,7 +123,7 @@ def moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
-MODEL = "grp string, " + ", ".join(f"m{i} double" for i in range(DIM)) + ", " + ", ".join(f"i{i}_{j} double" for i in range(DIM) for j in range(i, DIM))
+MODEL = "grp string, " + ", ".join(f"m{i} double" for i in range(DIM)) + ", " + ", ".join(f"i{i}_{j} double" for i in range(DIM) for j in range(i, DIM)) + ", logdet double"
 
 
 def estimates(sums: DataFrame, factor: float) -> DataFrame:
@@ -135,16 +140,34 @@ def estimates(sums: DataFrame, factor: float) -> DataFrame:
                     for j in range(i, DIM):
                         cov[i, j] = cov[j, i] = next(p) / n - mean[i] * mean[j]
                 cov *= factor
-                # a least spread: the diagonal never lies under the floor
-                cov[np.diag_indices(DIM)] = np.maximum(cov.diagonal(), 0) + FLOOR**2
+                # a least spread: the diagonal never lies under it
+                cov[np.diag_indices(DIM)] = np.maximum(cov.diagonal(), LEAST**2) + FLOOR**2
                 inverse = np.linalg.inv(cov)
-                out.append([*mean, *(inverse[i, j] for i in range(DIM) for j in range(i, DIM))])
-            cols = list(zip(*out)) or [[]] * (DIM + DIM * (DIM + 1) // 2)
+                out.append([*mean, *(inverse[i, j] for i in range(DIM) for j in range(i, DIM)), np.linalg.slogdet(cov)[1]])
+            cols = list(zip(*out)) or [[]] * (DIM + DIM * (DIM + 1) // 2 + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], names=[x.split()[0] for x in MODEL.split(", ")])
 
     return sums.mapInArrow(run, MODEL)
 
 
+def median_starts(fit: DataFrame) -> DataFrame:
+    """The starts from each group's medians, as ``estimates`` has them: mergeable sketches, no group in one task."""
+
+    def median(x: Column) -> Column:
+        return F.percentile_approx(x, 0.5, 1000)
+
+    centre = written(fit.groupBy("grp").agg(*(median(F.col(n)).alias(f"m{i}") for i, n in enumerate(NAMES))), "quality-medians")
+    spread = fit.join(centre, "grp").groupBy("grp").agg(*(median(F.abs(F.col(n) - F.col(f"m{i}"))).alias(f"d{i}") for i, n in enumerate(NAMES)))
+    both = centre.join(written(spread, "quality-deviations"), "grp")
+
+    def start(name: str) -> DataFrame:
+        var = [F.greatest((1.4826 * F.col(f"d{i}")) ** 2, F.lit(float(LEAST[i] ** 2))) if name == "deviations" else F.lit(float(LEAST[i] ** 2)) for i in range(DIM)]
+        inverse = [(1 / var[i] if i == j else F.lit(0.0)).alias(f"i{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
+        return both.select(F.concat_ws("\x02", F.lit(name), "grp").alias("grp"), *(f"m{i}" for i in range(DIM)), *inverse, F.lit(0.0).alias("logdet"))
+
+    return start("deviations").unionByName(start("least"))
+
+
 def distance() -> Column:
     d = [F.col(n) - F.col(f"m{i}") for i, n in enumerate(NAMES)]
     terms = [d[i] * d[j] * F.col(f"i{i}_{j}") * (1 if i == j else 2) for i in range(DIM) for j in range(i, DIM)]
@@ -159,7 +182,10 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
     # the small tables of groups are written, so their size is known and Spark broadcasts them if it is small
     stats = with_group(written(statistics(docs), "quality-stats"), least)
     fit = stats.where("not base_failed and grp is not null").select("grp", *NAMES)
-    model = written(estimates(moments(fit), 1.0), "quality-model")
+    first = estimates(moments(fit), 1.0).withColumn("grp", F.concat_ws("\x02", F.lit("all"), "grp"))
+    model = written(first.unionByName(median_starts(fit)), "quality-model")
+    # each row once for each start; a start's name leads the group's
+    fit = fit.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).select(F.concat_ws("\x02", "start", "grp").alias("grp"), *NAMES)
     for _ in range(steps):
         far = fit.join(model, "grp").withColumn("d2", distance()).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 32).cast("int"))
         # counts by group and bin of the distance: where the share of ``support`` is reached
@@ -173,6 +199,8 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
 
         edges = written(edge.select("grp", F.aggregate("bins", start, reach)["bin"].alias("edge")), "quality-edges")
         model = written(estimates(moments(far.join(edges, "grp").where("bin <= edge")), CONSISTENCY), "quality-model")
+    named = model.withColumn("grp", F.substring_index("grp", "\x02", -1))
+    model = written(named.groupBy("grp").agg(F.min_by(F.struct(*named.columns[1:]), F.struct("logdet", *(f"m{i}" for i in range(DIM)))).alias("best")).select("grp", "best.*"), "quality-model")
     scored = stats.join(model, "grp", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
     return scored.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
