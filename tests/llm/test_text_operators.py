@@ -151,6 +151,25 @@ def test_the_model_finds_more_and_leaves_prose_alone(odd, docs):
     assert not any(secret_scan.all_spans(t, model) for t in clean)
 
 
+def test_the_rest_of_a_touched_span_is_masked(monkeypatch):
+    tail, lines = "~" + "Q7x" * 10, ["Ab3" * 16, "0123456789abcdef01234567", "Zk9" * 16]
+    text = f"secret=abcd1234{tail} end"
+    key = "\n".join(lines)
+    whole = {text: [(7, len(text) - 4)], f"{key} end": [(0, len(key))]}
+    monkeypatch.setattr(secret_scan, "crf_spans", lambda t, model: whole[t])
+    assert secret_scan.all_spans(text, {}) == [(0, 0, 15), (15, 3, 15 + len(tail))]
+    assert secret_scan.all_spans(f"{key} end", {}) == [(0, 3, 48), (49, 2, 73), (74, 3, 122)]
+    for t in whole:
+        left = secret_scan.masked(t, secret_scan.all_spans(t, {}), "*")
+        assert left.strip("*\n") == " end"
+
+
+def test_the_model_leaves_no_tail():
+    text = "the secret=abcd1234~" + "Zk4Q9xT2bM7wR1vY8cN3pL6dF5gH0j" + " end"
+    spans = secret_scan.all_spans(text, secret_scan.default_model())
+    assert secret_scan.masked(text, spans, "*").replace("*", "") == "the  end"
+
+
 def test_redaction_masks_all_spans_and_keeps_rows(odd):
     out = secret_scan.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
