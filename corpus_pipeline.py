@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that passages of the benchmark cover to a twentieth or more go."""
+    """Documents that passages of the benchmark cover to a twentieth or more go; the rest loses the passages."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -296,5 +296,16 @@ def test_spans_are_cut_out():
     assert spans == [(1, 4)] and decontaminate.clean_text("Say: Alpha, beta GAMMA; end", spans) == "Say: ; end"
 
 
+@pytest.mark.parametrize("chars", [2_000_000, 40])
+def test_passages_of_long_documents_are_cut_out(spark, chars):
+    run = ITEMS[2][1]
+    texts = ["é x " * 300 + run + ". z " * 100, "x " * 900, None, run, "é x " * 300 + run + ". z " * 100]
+    df = spark.createDataFrame([(k, t, -1, "c") for k, t in enumerate(texts)], "doc_id long, text string, n_chars int, starts string")
+    left = "é x " * 300 + ". z " * 100
+    rows = decontaminate.without_contaminated(df, spark.createDataFrame(ITEMS[2:3] + ITEMS[7:8], "item_id long, text string"), block_chars=chars)
+    assert rows.columns == df.columns
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, left, len(left), "c"), (1, texts[1], -1, "c"), (2, None, -1, "c"), (4, left, len(left), "c")]
+
+
 def words_bytes(text):
     return decontaminate.words_of(text)

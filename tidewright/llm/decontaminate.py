@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kept_by_text, ship
+from .common import ship
 
 WINDOW, COVERAGE, BLOCK_CHARS = 13, 20, 2_000_000
 #: Fixed value: what a word is, over UTF-8 bytes (every byte from 0x80 belongs to a word).
@@ -235,18 +235,46 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[done:]]).decode()
 
 
+def with_texts(batch: pa.RecordBatch, text: int, new: list[str | None]) -> pa.RecordBatch:
+    """``batch`` with other texts, and ``n_chars`` (if there) put right where the text is another."""
+    old, names = batch.column(text).to_pylist(), batch.schema.names
+    batch = batch.set_column(text, batch.schema.field(text), pa.array(new, batch.schema.field(text).type))
+    if "n_chars" in names:
+        at = names.index("n_chars")
+        n = [n if a == b else len(b) for n, a, b in zip(batch.column(at).to_pylist(), old, new)]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(n, batch.schema.field(at).type))
+    return batch
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; with one block of items nothing is shuffled."""
+    """The rows of ``docs`` that are not contaminated, without their hit stretches; with one block of items nothing is shuffled."""
+    ship(docs.sparkSession)
+    text, width = docs.columns.index("text"), len(docs.columns)
     first = next(more := item_blocks(items, block_chars))
     if next(more, None) is not None:
-        bad = match(docs, items, window, block_chars)
-        bad = digest(bad, coverage, "text_md5").where("contaminated").select("text_md5").distinct()  # the verdict depends on the text alone
-        return docs.join(bad, text_key(docs["text"]) == bad["text_md5"], "left_anti")
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+        found = digest(match(docs, items, window, block_chars), coverage, "text_md5", "starts", "ends").where("n_hit > 0")
+        # the stretches and the verdict depend on the text alone
+        found = found.select(F.col("text_md5").alias("_md5"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"), F.col("contaminated").alias("_bad")).dropDuplicates(["_md5"])
+        joined = docs.join(found, text_key(docs["text"]) == found["_md5"], "left").where("not coalesce(_bad, false)").select(*(docs[c] for c in docs.columns), "_starts", "_ends")
 
-    def clean(text: str | None) -> bool:
-        words = words_of(text)
-        n_hit = sum(b - a for a, b in sent.value.hits(words)[0]) if words else 0
-        return not n_hit or coverage * n_hit < len(words)
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                starts, ends = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+                new = [clean_text(t, list(zip(a or (), b or ()))) for t, a, b in zip(batch.column(text).to_pylist(), starts, ends)]
+                yield with_texts(batch.select(range(width)), text, new)
+
+        return joined.mapInArrow(cut, docs.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
 
-    return kept_by_text(docs, "text", lambda: lambda texts: list(map(clean, texts)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, new = [], []
+            for t in batch.column(text).to_pylist():
+                words = words_of(t)
+                spans = sent.value.hits(words)[0] if words else []
+                n_hit = sum(b - a for a, b in spans)
+                keep.append(not n_hit or coverage * n_hit < len(words))
+                new.append(clean_text(t, spans) if keep[-1] else t)
+            yield with_texts(batch, text, new).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
