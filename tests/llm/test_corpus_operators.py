@@ -163,13 +163,46 @@ def components_of(n, links):
     return root
 
 
-def test_one_of_each_group_stays(odd):
-    out = simhash_dedup.without_copies(odd)
+def kept_by_hand(rows):
+    """The (doc_id, text) that stay, from all pairs: of each component the smallest id (null last), then the smallest signed fingerprint."""
+    prints = [(a, fingerprint_by_hand(t)) for a, t in rows]
+    # components by row numbers, so that rows without id have one too
+    of = components_by_hand([(k, fp) for k, (_, fp) in enumerate(prints)])
+    best = {}
+    for (a, fp), c in zip(prints, of):
+        key = (a is None, a or 0, fp - (1 << 64) if fp >> 63 else fp)
+        best[c] = min(key, best.get(c, key))
+    return sorted((a is None, a or 0, fp) for a, fp in {(None if k[0] else k[1], k[2] % (1 << 64)) for k in best.values()})
+
+
+@pytest.mark.parametrize("sliced", [512, 2])
+def test_one_of_each_group_stays(odd, none, sliced):
+    out = simhash_dedup.without_copies(odd, sliced=sliced)
     assert out.columns == odd.columns
-    data = sorted({(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None})
-    want = {c for c in components_by_hand([(a, fingerprint_by_hand(t)) for a, t in data])}
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
-    assert out.where("doc_id is null").count() == odd.where("doc_id is null").count()
+    rows = out.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, fingerprint_by_hand(r.text)) for r in rows) == kept_by_hand([(r.doc_id, r.text) for r in odd.collect()])
+    assert {tuple(r) for r in rows} <= {tuple(r) for r in odd.collect()}
+    assert simhash_dedup.without_copies(none).count() == 0
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    a, b = " ".join(f"alpha{k}" for k in range(40)), " ".join(f"beta{k}" for k in range(40))
+    rows = [(5, a, "x"), (5, b, "y"), (3, a, "z"), (None, b, "w"), (None, "lone text of a row without id", "v"), (None, "lone text of a row without id", "u"), (7, None, "t"), (7, None, "t"), (7, "", "s")]
+    out = simhash_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [(False, 3, a), (False, 5, b), (False, 7, ""), (True, 0, "lone text of a row without id")]
+
+
+def test_small_buckets_together_find_every_pair():
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 14, 300)
+    keys = np.repeat(np.arange(300), sizes)
+    seeds = rng.integers(0, 1 << 62, 300)
+    fps = np.array([int(seeds[k]) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 4), replace=False)) for k in keys], np.uint64)
+    for radius in (0, 1, 2, 3):
+        i, j = simhash_dedup.bucket_links(keys, fps, radius)
+        pairs = {(a, b) for a in range(len(keys)) for b in range(a + 1, min(len(keys), a + 14)) if keys[a] == keys[b] and int(fps[a] ^ fps[b]).bit_count() <= radius}
+        found = set(zip(i.tolist(), j.tolist()))
+        assert found <= pairs and components_of(len(keys), found) == components_of(len(keys), pairs)
 
 
 # --- packing

@@ -6,6 +6,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,12 @@ def test_language_of_odd_rows(odd, none):
     und = {r.doc_id for r in rows if r.lang_pred == "und"}
     assert und == {None, 1000, 1001, 1002, 1003}
     assert {r.lang_pred for r in rows} == {"und", "en", "de", "fr", "es"}
-    assert {(r.doc_id) for r in language_id.with_language(odd, model).collect()} == {r.doc_id for r in rows if r.lang_pred != "und"}
+    sure = {r.doc_id for r in rows if r.lang_pred != "und" and r.score >= language_id.SURE}
+    stays = language_id.with_language(odd, model).collect()
+    assert {r.doc_id for r in stays} == sure and 50 < len(sure)
+    guess = {r.doc_id: r.lang_pred for r in rows}
+    assert all(r.lang is not None for r in stays) and all(r.lang == guess[r.doc_id] for r in stays if r.doc_id == 2001)
+    assert language_id.with_language(none, model).count() == 0
     assert language_id.with_language(odd, model).columns == odd.columns
     assert language_id.identify(none, model).count() == 0
     untrained = language_id.train(none)
@@ -42,7 +48,36 @@ def test_one_language_and_ties(spark, odd):
     assert {(r.lang_pred, r.score) for r in language_id.identify(odd.where("doc_id = 1"), model).collect()} == {("de", 1.0)}
     again = language_id.train(odd.where("lang is not null").repartition(7))
     first = language_id.train(odd.where("lang is not null"))
-    assert [w.tolist() for _, _, w in again["family_svm"]] == [w.tolist() for _, _, w in first["family_svm"]]
+    assert [w.tolist() for w in again["family_svm"]] == [w.tolist() for w in first["family_svm"]]
+
+
+def test_votes_and_margins_match_plain_scores():
+    """Prediction from dense frequency vectors, SVM by SVM, with the languages of many families."""
+    rnd = random.Random(4)
+    words = {lang: ["".join(rnd.choice(string.ascii_lowercase[3 * k % 20 : 3 * k % 20 + 7]) for _ in range(5)) for _ in range(30)] for k, lang in enumerate(["en", "de", "nl", "fr", "es", "xx", "yy"])}
+    text = lambda lang: " ".join(rnd.choice(words[lang]) for _ in range(40))
+    model = language_id.fit([(lang, *language_id.profile(text(lang))) for lang in words for _ in range(12)])
+    assert model["families"] == ["germanic", "romance", "xx", "yy"] and len(model["lang_svm"]["germanic"]) == 3
+    right = 0
+    for lang in words:
+        for _ in range(10):
+            t = text(lang)
+            at, f = language_id.profile(t)
+            x = np.zeros((1 << language_id.BITS) + 1)
+            x[at], x[-1] = f / np.sqrt(f @ f), 1
+            margins = [float(w @ x) for w in model["family_svm"]]
+            family = model["families"][margins.index(max(margins))]
+            votes, total = Counter(), Counter()
+            for i, j, w in model["lang_svm"][family]:
+                m = float(w @ x)
+                votes[i if m >= 0 else j] += 1
+                total[i] += m
+                total[j] -= m
+            langs = model["langs"][family]
+            want = langs[max(range(len(langs)), key=lambda k: (votes[k], total[k], -k))]
+            assert language_id.predict(model, t)[0] == want
+            right += want == lang
+    assert right >= 65
 
 
 def test_profile_of_pieces_is_that_of_the_whole(monkeypatch):

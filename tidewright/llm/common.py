@@ -6,10 +6,9 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -27,18 +26,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one of ours only where that is unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir`` (or already set as the checkpoint folder).
+
+    Only where all tasks run on the driver's machine does a temporary folder of ours stand in for it;
+    on a cluster a machine-local folder would lose data, so there it is an error.
+    """
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewright-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it (in any case of letters)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -69,18 +82,3 @@ def fold(doc_id: Column, parts: int) -> Column:
 def fold_of(doc_id: object, parts: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts
 
-
-def kept_by_text(docs: DataFrame, column: str, verdict: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns and without a shuffle.
-
-    ``verdict`` is called once in each task and returns what judges the list of a batch's texts.
-    """
-    ship(docs.sparkSession)
-    at = docs.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = verdict()
-        for batch in batches:
-            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)

@@ -3,16 +3,19 @@
 Features are the relative frequencies of a text's hashed character 1- to 3-grams, over the whole
 text, letters in lower case, each run of other characters as one space.  A linear score is then a
 mean of weights over the text's n-grams, so prediction needs no feature vector.  Families are
-told apart by one linear SVM for each pair of families, and so are the languages of one family;
-votes decide, summed margins break ties.  ``score`` is the product of both levels' confidence.
+told apart by one linear SVM for each family against the rest, so their number may grow, and the
+languages of one family by one for each pair; votes decide, summed margins break ties.  ``score`` is
+the product of both levels' confidence.
 
 The SVMs are fitted on at most about ``PER_LANG`` labelled rows for each language, drawn by a hash
-of the id from all labelled rows (at small sizes: all of them), and at most ``MAX_LANGS``
-languages, the most frequent.  Both bounds are parameters.
+of the id from all labelled rows (at small sizes: all of them); that bound is a parameter.  Every
+language that labels a row is learned.  What is fitted and broadcast grows with the languages (128 KB
+of weights for each family and each pair of a family's languages), not with the rows.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without any labelled
 row every text is ``und``; one learned language is predicted for all with score 1; extra columns
-are ignored.
+are ignored.  ``with_language`` keeps the rows whose language is sure by ``SURE`` or more (so never
+``und``), and writes the prediction where ``lang`` is null; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kept_by_text, ship
+from .common import ship
 
-BITS, PER_LANG, MAX_LANGS, EPOCHS = 15, 600, 64, 12
+BITS, PER_LANG, EPOCHS, SURE = 15, 600, 12, 0.5
 PIECE = 1 << 18
 #: The families of languages; any other language is a family of its own.
 FAMILIES = {
@@ -106,7 +109,7 @@ def fit_pair(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.nda
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict:
-    """From (language, slots, frequencies): families, languages and the weights of each pair."""
+    """From (language, slots, frequencies): families, languages, the weights of each family and of each pair of languages."""
     langs = sorted({r[0] for r in rows})
     families = sorted({FAMILY.get(x, x) for x in langs})
     by = {f: [x for x in langs if FAMILY.get(x, x) == f] for f in families}
@@ -116,10 +119,25 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict:
         out = []
         for i, j in combinations(range(len(classes)), 2):
             some = [(at, x, 1.0 if of(lang) == classes[i] else -1.0) for lang, at, x in unit if of(lang) in (classes[i], classes[j])]
-            out.append((i, j, fit_pair([s[:2] for s in some], np.array([s[2] for s in some]))))
+            out.append((i, j, fit_pair([s[:2] for s in some], np.array([s[2] for s in some])).astype(np.float32)))
         return out
 
-    return {"families": families, "langs": by, "family_svm": pairs(families, lambda x: FAMILY.get(x, x)), "lang_svm": {f: pairs(by[f], str) for f in families}}
+    features, of = [(at, x) for _, at, x in unit], [FAMILY.get(lang, lang) for lang, _, _ in unit]
+    against = [fit_pair(features, np.where(np.array(of) == f, 1.0, -1.0)).astype(np.float32) for f in families] if len(families) > 1 else []
+    return {"families": families, "langs": by, "family_svm": against, "lang_svm": {f: pairs(by[f], str) for f in families}}
+
+
+def surest(classes: list[str], svms: list[np.ndarray], at: np.ndarray, x: np.ndarray) -> tuple[str, float]:
+    """The class whose margin against the rest is the largest, and how sure it is over the next one."""
+    if len(classes) < 2:
+        return (classes[0], 1.0) if classes else ("und", 0.0)
+    margins = [float(w[at] @ x + w[-1]) for w in svms]
+    best, second = sorted(range(len(classes)), key=lambda k: (-margins[k], k))[:2]
+    return classes[best], sigmoid(2 * (margins[best] - margins[second]))
+
+
+def sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def vote(classes: list[str], svms: list, at: np.ndarray, x: np.ndarray) -> tuple[str, float]:
@@ -132,7 +150,7 @@ def vote(classes: list[str], svms: list, at: np.ndarray, x: np.ndarray) -> tuple
         margins[i] += m
         margins[j] -= m
     best = max(range(len(classes)), key=lambda k: (votes[k], margins[k], -k))
-    return classes[best], 1 / (1 + math.exp(-max(-30.0, min(30.0, 4 * margins[best] / (len(classes) - 1)))))
+    return classes[best], sigmoid(4 * margins[best] / (len(classes) - 1))
 
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:
@@ -140,7 +158,7 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
     if not len(at) or not model["families"]:
         return "und", 0.0
     x = f / math.sqrt(f @ f)
-    family, sure = vote(model["families"], model["family_svm"], at, x)
+    family, sure = surest(model["families"], model["family_svm"], at, x)
     lang, surer = vote(model["langs"][family], model["lang_svm"][family], at, x)
     return lang, sure * surer
 
@@ -148,11 +166,11 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 # --- Spark --------------------------------------------------------------------------------------
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> dict:
+def train(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
     """Fit on (doc_id, text, lang); counts of languages cover all rows, the fit a bounded sample."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
@@ -175,7 +193,7 @@ def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> Da
     """Per row of ``docs`` (doc_id, text): the predicted language of the whole text and a score."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_LANGS languages: a proven bound
+    sent = spark.sparkContext.broadcast(model)  # grows with the languages only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +203,18 @@ def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def with_language(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those that are not ``und``."""
+def with_language(docs: DataFrame, model: dict, sure: float = SURE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, which fills ``lang`` (if there) where that is null."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return kept_by_text(docs, "text", lambda: lambda texts: [predict(sent.value, t)[0] != "und" for t in texts])
+    text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [predict(sent.value, t) for t in batch.column(text).to_pylist()]
+            if lang >= 0:
+                named = [old if old is not None else new for old, (new, _) in zip(batch.column(lang).to_pylist(), found)]
+                batch = batch.set_column(lang, batch.schema.field(lang), pa.array(named, batch.schema.field(lang).type))
+            yield batch.filter(pa.array([x != "und" and s >= sure for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

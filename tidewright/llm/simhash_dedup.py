@@ -1,13 +1,14 @@
 """SimHash near-dedup: bit-sliced comparison of the distinct fingerprints, then connected components.
 
-Fingerprints of equal value are one node (named by its smallest doc_id) from the start, so a group
-of copies costs one node however large it is.  Two nodes at ``RADIUS`` differing bits or fewer
-agree on at least two of four 16-bit blocks, so each node goes to six buckets, one for each pair of
-blocks.  Buckets of up to ``SLICED`` nodes are compared bit-sliced: 64 vertical bit planes hold the
-bucket's fingerprints, one machine word a plane for each block of 64; a query's distances to a
-whole block are kept in carry-save counters (ones, twos, overflow) over the planes, and a block is
-abandoned when every member has overflowed the radius.  A bucket reports a spanning forest of its
-links, never all pairs.
+Fingerprints of equal value are one node from the start, so a group of copies costs one node however
+large it is.  Two nodes at ``RADIUS`` differing bits or fewer agree on at least two of four 16-bit
+blocks, so each node goes to six buckets, one for each pair of blocks.  Buckets of up to ``SLICED``
+nodes are compared bit-sliced: 64 vertical bit planes hold fingerprints, one machine word a plane for
+each block of 64; the distances of a whole block are kept in carry-save counters (ones, twos,
+overflow) over the planes, and a block is abandoned when every member has overflowed the radius.  A
+larger bucket's members are queries against the bucket's planes, and it reports a spanning forest of
+its links, never all pairs; buckets of up to ``SMALL`` nodes, which are nearly all of them, are
+compared many at a time, the lanes of the planes being their pairs.
 
 Larger buckets are found beforehand by counting and go another exact way: each of their nodes is
 sent to itself and to its single-bit neighbours in the two blocks the bucket leaves open.  Two
@@ -15,11 +16,16 @@ nodes of a bucket lie within two bits of each other if and only if they meet at
 no place gathers more than 33 nodes of a bucket.
 
 Components come from alternating large-star and small-star steps over the edges, each a join and an
-aggregation, written to the shared folder.
+aggregation, written to the shared folder.  A star with very many distinct fingerprints is a hot key
+of the joins; Spark's skew handling (``spark.sql.adaptive.skewJoin``) splits it, as the other side has
+one row for it.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; repeated
 rows share their component; a null doc_id counts in no minimum and gets its fingerprint's
-component; extra columns are ignored; an empty table gives an empty result.
+component (null if no row there has an id); extra columns are ignored; an empty table gives an empty
+result.  ``without_copies`` keeps one row of each component, with all its columns, clashing names or
+not: that of the smallest doc_id (a null one comes last), of equal ids that of the smallest
+fingerprint, and of rows equal in both the one whose values hash lowest.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import drop_written, ship, written
+from .common import drop_written, fresh_name, ship, written
 
-SHINGLE, RADIUS, SEED, SLICED = 3, 2, 42, 512
+SHINGLE, RADIUS, SEED, SLICED, SMALL = 3, 2, 42, 512, 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCKS = tuple(combinations(range(4), 2))
 PIECE = 1 << 16
@@ -109,9 +115,66 @@ def sliced_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
     return links
 
 
+def sliced_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) lie at ``radius`` (under 4) or fewer bits, 64 pairs to a machine word."""
+    n, words = len(a), -(-len(a) // 64)
+    lanes = np.full((words * 64, 64), 1, np.uint8)  # lanes without a pair overflow
+    lanes[:n] = np.unpackbits((a ^ b).astype(">u8").view(np.uint8)).reshape(n, 64)
+    planes = np.ascontiguousarray(np.packbits(lanes.T, axis=1, bitorder="little")).view("<u8")
+    blocks = np.arange(words)
+    ones, twos, over = (np.zeros(words, "<u8") for _ in range(3))
+    near = np.zeros(words, "<u8")
+    for step, plane in enumerate(planes):
+        differ = plane[blocks]
+        carry = ones & differ
+        ones = ones ^ differ
+        over = over | (twos & carry)
+        twos = twos ^ carry
+        over = over | ((twos & ones) if radius == 2 else twos if radius == 1 else (twos | ones) if radius == 0 else 0)
+        if step & 7 == 7:
+            going = over != np.uint64(0xFFFFFFFFFFFFFFFF)
+            if not going.all():
+                blocks, ones, twos, over = blocks[going], ones[going], twos[going], over[going]
+    near[blocks] = ~over
+    return np.unpackbits(near.view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of linked members of the same bucket; ``keys`` are sorted."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    left, right = [], []
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        links = np.array(sliced_links(fps[start : start + size], radius), np.int64).reshape(-1, 2) + start
+        left.append(links[:, 0])
+        right.append(links[:, 1])
+    small = np.repeat(sizes <= SMALL, sizes)
+    for step in range(1, SMALL):
+        at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
+        if not len(at):
+            break
+        at = at[sliced_pairs(fps[at], fps[at + step], radius)]
+        left.append(at)
+        right.append(at + step)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 # --- Spark --------------------------------------------------------------------------------------
 
 
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with all its columns and the fingerprint of ``text`` under ``name``."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and ``fp``, the fingerprint's bits as a long."""
     ship(docs.sparkSession)
@@ -137,14 +200,21 @@ def edges_of(nodes: DataFrame, sliced: int = SLICED) -> DataFrame:
     counts = written(keyed.groupBy("key").count().where("count > 1"), "simhash-buckets")
     some = keyed.join(counts, "key")
 
-    def compare(keys: pa.Table) -> pa.Table:
-        fps = keys.column("fp").to_numpy().view(np.uint64)
-        reps = keys.column("rep").to_numpy()
-        links = sliced_links(fps)
-        a, b = reps[[i for i, _ in links]], reps[[j for _, j in links]]
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets as they come, sorted; a bucket cut by a batch's end waits for the next one."""
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
+            done = int(np.searchsorted(held[0], held[0][-1]))
+            yield linked(*(h[:done] for h in held))
+            held = [h[done:] for h in held]
+        yield linked(*held)
 
-    usual = some.where(F.col("count") <= sliced).select("key", "fp", "rep").groupBy("key").applyInArrow(compare, "a long, b long")
+    def linked(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
+        i, j = bucket_links(keys, np.ascontiguousarray(fps).view(np.uint64)) if len(keys) else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[i], reps[j])), pa.array(np.maximum(reps[i], reps[j]))], names=["a", "b"])
+
+    usual = some.where(F.col("count") <= sliced).select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
     # the two blocks a bucket leaves open, for each pair of blocks: their bits
     free = F.create_map(*(x for n, pair in enumerate(BLOCKS) for x in (F.lit(n), F.array(*(F.lit(_long(1 << (16 * k + bit))) for k in range(4) if k not in pair for bit in range(16))))))
     pair = F.shiftright("key", 32).cast("int")
@@ -181,13 +251,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def component_of(nodes: DataFrame, sliced: int = SLICED) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of ``nodes`` (fp); root is the component's smallest fingerprint."""
+    roots = components(edges_of(nodes.select("fp", F.col("fp").alias("rep")), sliced))
+    return nodes.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def link_components(docs: DataFrame, shingle: int = SHINGLE, sliced: int = SLICED) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fp and component_id (smallest doc_id reachable)."""
     prints = written(fingerprints(docs, shingle), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    roots = components(edges_of(nodes.where("rep is not null"), sliced))
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(nodes.join(component_of(nodes, sliced), "fp"), "simhash-named")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(linked: DataFrame) -> DataFrame:
@@ -195,8 +271,21 @@ def digest(linked: DataFrame) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it; rows without id all stay."""
-    gone = link_components(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def without_copies(docs: DataFrame, shingle: int = SHINGLE, sliced: int = SLICED) -> DataFrame:
+    """``docs`` with one row of each component; which one, the module's text says.
+
+    Only the rows that share id and fingerprint with another kept one are grouped; all others pass by a
+    semi-join with one narrow row for each component.
+    """
+    fp, of = fresh_name("fp", docs.columns), fresh_name("rows", docs.columns)
+    rows = written(with_fingerprint(docs, fp, shingle), "simhash-rows")
+    ids = written(rows.groupBy(F.col(fp).alias("fp"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "simhash-ids")
+    named = ids.join(component_of(ids.select("fp").distinct(), sliced), "fp")
+    order = F.struct(F.col("id").isNull(), "id", "fp")
+    kept = named.groupBy("root").agg(F.min_by(F.struct("fp", "id", "n"), order).alias("k")).select(F.col("k.fp").alias("_k_fp"), F.col("k.id").alias("_k_id"), F.col("k.n").alias("_k_n"))
+    kept = written(kept, "simhash-kept")
+    same = (rows[fp] == F.col("_k_fp")) & rows["doc_id"].eqNullSafe(F.col("_k_id"))
+    once = rows.join(kept.where("_k_n = 1"), same, "left_semi").select(docs.columns)
+    whole = F.struct(*docs.columns)
+    several = rows.join(kept.where("_k_n > 1"), same, "left_semi").groupBy(fp).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias(of)).select(f"{of}.*")
+    return once.unionByName(several)
