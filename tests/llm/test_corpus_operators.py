@@ -56,9 +56,9 @@ def test_outliers_go_and_clean_rows_stay(spark):
 
 
 @pytest.mark.parametrize("kind", ["lines", "symbols", "width"])
-@pytest.mark.parametrize("share", [20, 260])
+@pytest.mark.parametrize("share", [20, 450])
 def test_each_statistic_can_reject(spark, kind, share):
-    """Every second line the same, two symbols a word, or words of double length, as single rows and as a fifth of the group."""
+    """Every second line the same, two symbols a word, or words of double length, as single rows and as three tenths of the group."""
     import random
 
     rnd = random.Random(7)
@@ -76,6 +76,15 @@ def test_each_statistic_can_reject(spark, kind, share):
     assert sum(kept[k] for k in range(1000)) >= 990 and sum(kept[5000 + k] for k in range(share)) <= 0.05 * share
 
 
+def test_chi_squared_quantiles():
+    assert abs(quality_rules.quantile(0.999) - 20.515) < 1e-3 and abs(quality_rules.quantile(0.975) - 12.833) < 1e-3 and abs(quality_rules.quantile(0.5) - 4.351) < 1e-3
+    rng = np.random.default_rng(3)
+    d = np.sort((rng.normal(size=(200_000, 5)) ** 2).sum(axis=1))
+    for share in (0.5, 0.75, 0.975):
+        inside = d[: int(share * len(d))]
+        assert abs(5 / inside.mean() - quality_rules.consistency(share)) < 0.02
+
+
 def test_concentration_matches_numpy(spark):
     """The location of the tightest share of one group, as plain concentration steps over all rows find it."""
     rng = np.random.default_rng(4)
@@ -237,6 +246,14 @@ def test_pieces_are_those_of_the_library(odd, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    rows = spark.createDataFrame([(None, "the same text again and again")] * 4000, "doc_id long, text string").repartition(4)
+    placed = packing.pack(rows, queries.vocabulary("word_bpe_49k.json"), window=64, group_tokens=2_000).collect()
+    groups = -(-sum(r.length for r in placed) // 2_000)
+    sizes = Counter(r.sequence_id % groups for r in placed)
+    assert len(sizes) == groups and max(sizes.values()) < 2 * len(placed) / groups
+
+
 def test_words_of_awkward_texts_encode_like_the_library():
     import random
 

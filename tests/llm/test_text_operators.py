@@ -126,6 +126,58 @@ def test_the_distribution_decides(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p title='hidden gem'>Keep me</p>", "Keep me"), ("<p data-note=\"x class=ad style='display:none'\">Keep me too</p>", "Keep me too"), ("<p hidden>no</p><p>yes</p>", "yes"), ("<p style='display: none'>no</p><p CLASS=ad>no</p><p>yes</p>", "yes"),
+    ("<div class='content-with-sidebar'><p>Body text</p></div>", "Body text"), ("<div class='main-sidebar'><p>Side</p></div><p>Body</p>", "Body"),
+    (f"<article><p>{BODY[0]}</p><p><a href=x>One source</a></p><p>{BODY[1]}</p></article>", f"{BODY[0]} One source {BODY[1]}"),
+    (f"<article><p>{BODY[0]}</p><ul><li><a href=x>More of this</a></li><li><a href=x>And of that</a></li><li><a href=x>And the rest</a></li></ul></article>", BODY[0]),
+])
+def test_attributes_names_and_link_lists(page, text):
+    assert html_text.extract(page) == text
+
+
+def stretches_by_hand(lengths, width, least):
+    """All maximal runs of lines whose windows hold content, begun at a line with content, from the windows one by one."""
+    n = len(lengths)
+    sums = [sum(lengths[j] for j in range(i, min(n, i + width))) for i in range(n)]
+    out, i = [], 0
+    while i < n:
+        if not lengths[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j]:
+            j += 1
+        if max(sums[i:j]) >= least:
+            out.append((i, j))
+        i = max(j, i + 1)
+    return out
+
+
+def test_the_distribution_matches_brute_force():
+    rnd = random.Random(11)
+    for _ in range(500):
+        lengths = [rnd.choice((0, 0, 0, rnd.randint(1, 400))) for _ in range(rnd.randint(0, 40))]
+        width, least = rnd.randint(1, 5), rnd.choice((0, 50, 300))
+        assert list(html_text.stretches(lengths, width, least)) == stretches_by_hand(lengths, width, least)
+        # the middle character's line, from all characters one by one
+        chars = [n for n in sorted(lengths) for _ in range(min(n, html_text.PROSE))]
+        assert html_text.typical(lengths) == (chars[(len(chars) - 1) // 2] if chars else 0)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    def took(n):
+        page = "<b><div>" + "<p>word</b></i></td></q>" * n
+        began = time.perf_counter()
+        assert html_text.extract(page).count("word") == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(32_000) < 40 * max(took(2_000), 0.002)
+
+
 def test_pages_query(spark):
     df = spark.createDataFrame([(k, None if k % 2 else "u", p, "clash") for k, (p, _) in enumerate(PAGES)] * 2, "page_id long, url string, html string, text string")
     rows = html_text.extract_pages(df).collect()

@@ -4,7 +4,7 @@ A page is stripped to lines: every block-level tag ends a line, scripts, styles,
 and other elements without prose are set aside, and each line remembers what it stands in.  A line's
 *content length* is its text's length, or zero if it stands in a menu, header, footer, sidebar,
 notice, advert or reader comments (such a line keeps its place), or if more than half of it is link
-text and it stands outside an article.  The distribution is the sum of content lengths over a
+text and it stands outside an article or among ``LIST`` such lines in a row.  The distribution is the sum of content lengths over a
 sliding window of ``WIDTH`` lines.  A *surge* is a line with content where the window's sum rises
 from nothing; a *dive* is where it falls to nothing again.  The text kept stands between those surge
 and dive points where the sum reaches ``SURGE`` of ``WIDTH`` typical lines.  The typical line is the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
 
-WIDTH, SURGE, LINKS = 3, 0.25, 0.5
+WIDTH, SURGE, LINKS, LIST = 3, 0.25, 0.5, 3
 PROSE, WEIGHT = 200, 8
 #: What HTML calls void, raw-text and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,8 +46,9 @@ ASIDE = frozenset(
 )
 #: A comment, a tag (possessive, so that no page makes it slow), a declaration, or a tag cut off by the end.
 MARK = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: Names that begin so tell what a page has, not what an element is.
+#: One attribute, its name first, so that nothing inside another one's value counts.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: What stands behind one of these in a name is what an element has, not what it is.
 ABOUT = frozenset("has with without no not is show hide".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: A new one of these ends an open one: (tag) -> tags it closes, up to the tags that shield it.
@@ -69,7 +70,8 @@ def set_aside(tag: str, attributes: str) -> bool:
         if name in ("class", "id", "role"):
             for token in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(token)]
-                if parts and parts[0] not in ABOUT and not ASIDE.isdisjoint(parts):
+                told = next((k for k, p in enumerate(parts) if p in ABOUT), len(parts))
+                if not ASIDE.isdisjoint(parts[:told]):
                     return True
     return False
 
@@ -83,6 +85,9 @@ class Lines:
         self.linked = self.aside = self.article = self.articles = self.links = 0
         self.skipped = False
         self.open: list[tuple[str, int, int]] = []
+        # where each tag is open, and where those are that shield what lies outside
+        self.places: dict[str, list[int]] = {}
+        self.shields: list[int] = []
         at = 0
         while m := MARK.search(html, at):
             self.text(html[at : m.start()])
@@ -130,6 +135,9 @@ class Lines:
             return at
         # a header inside the article holds its title
         aside, article = int(set_aside(tag, attributes) or tag == "header" and not self.article), int(tag in ARTICLE)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SHIELD:
+            self.shields.append(len(self.open))
         self.open.append((tag, aside, article))
         if aside:
             self.end_line()
@@ -141,6 +149,9 @@ class Lines:
 
     def pop(self) -> None:
         tag, aside, article = self.open.pop()
+        self.places[tag].pop()
+        if tag in SHIELD:
+            self.shields.pop()
         if article or aside:
             self.end_line()
         self.aside -= aside
@@ -148,25 +159,21 @@ class Lines:
         self.links -= tag == "a"
 
     def close_open(self, tags: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in SHIELD:
-                return
+        self.pop_to(max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1), True)
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                return
+        if found := self.places.get(tag):
             # an inline end tag doesn't reach out of a block
-            if tag in INLINE and self.open[k][0] in SHIELD:
-                return
+            self.pop_to(found[-1], tag in INLINE)
+
+    def pop_to(self, place: int, shielded: bool) -> None:
+        """Ends all that is open from ``place`` on (none if negative), unless a shield stands in between."""
+        if place < 0 or shielded and self.shields and self.shields[-1] > place:
+            return
+        while len(self.open) > place:
+            self.pop()
 
 
 def stretches(lengths: list[int], width: int, least: float) -> Iterator[tuple[int, int]]:
@@ -197,12 +204,23 @@ def typical(lengths: list[int]) -> int:
     return 0
 
 
+def content_lengths(rows: list[tuple[str, int, bool, int]]) -> list[int]:
+    """Each line's length; 0 if it is set aside, or link text outside an article or in a list of ``LIST`` such lines."""
+    out = [0 if aside else len(text) for text, _, aside, _ in rows]
+    for is_link, run in groupby(range(len(rows)), lambda i: not rows[i][2] and rows[i][1] > LINKS * len(rows[i][0])):
+        lines = list(run)
+        for i in lines if is_link else ():
+            if not rows[i][3] or len(lines) >= LIST:
+                out[i] = 0
+    return out
+
+
 def extract(html: str | None, width: int = WIDTH, surge: float = SURGE) -> str:
     """The main text of one page."""
     if not html:
         return ""
     rows = Lines(html).rows
-    lengths = [0 if aside or not article and linked > LINKS * len(text) else len(text) for text, linked, aside, article in rows]
+    lengths = content_lengths(rows)
     held: dict[int, int] = {}
     for n, (*_, article) in zip(lengths, rows):
         held[article] = held.get(article, 0) + n

@@ -1,8 +1,9 @@
 """Packing by best-fit decreasing: a segment tree over remaining capacity finds the tightest open window.
 
 Documents are tokenised whole; one of more than a window's tokens is first cut into full windows
-and a rest.  Pieces are dealt by a hash into groups of about ``GROUP_TOKENS`` tokens, so that each
-group is packed in one task of bounded size; within a group, pieces go longest first into the open
+and a rest.  Pieces are dealt by a hash of their place in the written table (not of what they hold, so
+equal rows spread like any others) into groups of about ``GROUP_TOKENS`` tokens, so that each group is
+packed in one task of bounded size; within a group, pieces go longest first into the open
 window they leave least room in, which a segment tree indexed by remaining capacity finds in
 log(window) steps.  Only each group's last windows can stay partly empty.
 
@@ -227,5 +228,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         rows = rows.drop_columns(["grp"])
         return rows.append_column("sequence_id", pa.array(np.array(number, np.int64) * groups + key[0].as_py())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # a scan of written files gives the same rows the same numbers again if a task is repeated
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(place, PLACED)

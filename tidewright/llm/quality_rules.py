@@ -1,13 +1,15 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
 Each document's whole text becomes a vector of transformed statistics.  For each language and
-source the location and scatter of the tightest ``SUPPORT`` share of its documents are estimated by
-concentration steps over *all* rows: distances under the current estimate, their quantile from a
-histogram of counts, then the moments of the rows below it.  A step shuffles only partial sums and
-counts by group, so a group with a third of all rows costs no more than another.  The steps run from
-``STARTS``: all rows' moments, and the medians with the medians of the absolute deviations or with
-the least spreads; each group keeps the estimate of the least determinant.  A document is rejected
-if its squared Mahalanobis distance exceeds the chi-squared quantile ``CUTOFF``.
+source the location and scatter of the tightest ``SUPPORT`` share of its documents (half of them, so
+that junk of less than half cannot move them) are estimated by concentration steps over *all* rows:
+distances under the current estimate, their quantile from a histogram of counts, then the moments of
+the rows below it.  A step shuffles only partial sums and counts by group, so a group with a third of
+all rows costs no more than another.  The steps run from ``STARTS``: all rows' moments, and the medians
+with the medians of the absolute deviations or with the least spreads; each group keeps the estimate of
+the least determinant.  As usual, that estimate is then made efficient by one step over the rows within
+its ``INNER`` quantile.  A document is rejected if its squared Mahalanobis distance exceeds the
+chi-squared quantile ``OUTER``.
 
 Groups of fewer than ``MIN_GROUP`` rows are put together by language, and what is still small
 altogether; if even that is small, its rows have no verdict and stay.  Each row belongs to one
@@ -22,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,9 +35,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ship, written
 
 SHINGLE, MIN_WORDS, MAX_REPEAT = 8, 20, 30
-MIN_GROUP, SUPPORT, STEPS = 200, 0.75, 6
-#: Fixed values for 5 degrees of freedom: the factor that makes the scatter of the tightest SUPPORT share consistent, and the chi-squared quantile of 0.999.
-CONSISTENCY, CUTOFF = 1.4121, 20.515
+MIN_GROUP, SUPPORT, STEPS, INNER, OUTER = 200, 0.5, 6, 0.975, 0.999
+#: Bins of squared distances: so many for each doubling, from 2**LOW to 2**HIGH; what lies beyond is in the outermost ones.
+GRAIN, LOW, HIGH = 16, -6, 12
 STARTS = ("all", "deviations", "least")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Transformed statistics and the least standard deviation of each.
@@ -46,6 +49,27 @@ FLOOR = np.full(DIM, 1e-4)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def chi_squared(x: float, dim: int) -> float:
+    """The distribution function, for an odd number of degrees of freedom."""
+    out = math.erf(math.sqrt(x / 2))
+    for k in range(1, dim, 2):
+        out -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return out
+
+
+def quantile(share: float, dim: int = DIM) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared(middle, dim) < share else (low, middle)
+    return high
+
+
+def consistency(share: float, dim: int = DIM) -> float:
+    """The factor that makes the scatter of the tightest ``share`` of normal rows that of all."""
+    return share / chi_squared(quantile(share, dim), dim + 2)
+
+
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     words = WORD.findall(text)
@@ -174,7 +198,7 @@ def distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT, steps: int = STEPS, inner: float = INNER, outer: float = OUTER) -> DataFrame:
     """Per row of ``docs``: counts, ``base_failed``, ``distance`` (null without estimate) and ``kept``.
 
     The estimates are fitted on the rows that pass the base rule; the verdict falls on every row.
@@ -185,9 +209,10 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
     first = estimates(moments(fit), 1.0).withColumn("grp", F.concat_ws("\x02", F.lit("all"), "grp"))
     model = written(first.unionByName(median_starts(fit)), "quality-model")
     # each row once for each start; a start's name leads the group's
-    fit = fit.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).select(F.concat_ws("\x02", "start", "grp").alias("grp"), *NAMES)
+    each = fit.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))).select(F.concat_ws("\x02", "start", "grp").alias("grp"), *NAMES)
+    depth = F.least(F.greatest(F.log2(F.col("d2") + 2.0 ** (LOW - 1)), F.lit(LOW)), F.lit(HIGH))
     for _ in range(steps):
-        far = fit.join(model, "grp").withColumn("d2", distance()).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 32).cast("int"))
+        far = each.join(model, "grp").withColumn("d2", distance()).withColumn("bin", F.floor(depth * GRAIN).cast("int"))
         # counts by group and bin of the distance: where the share of ``support`` is reached
         bins = far.groupBy("grp", "bin").count()
         edge = bins.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("bins"), F.sum("count").alias("all"))
@@ -198,9 +223,11 @@ def outliers(docs: DataFrame, least: int = MIN_GROUP, support: float = SUPPORT,
             return F.struct(n.alias("n"), F.coalesce(acc["bin"], F.when(n >= F.col("all") * support, x["bin"])).alias("bin"))
 
         edges = written(edge.select("grp", F.aggregate("bins", start, reach)["bin"].alias("edge")), "quality-edges")
-        model = written(estimates(moments(far.join(edges, "grp").where("bin <= edge")), CONSISTENCY), "quality-model")
+        model = written(estimates(moments(far.join(edges, "grp").where("bin <= edge")), consistency(support)), "quality-model")
     named = model.withColumn("grp", F.substring_index("grp", "\x02", -1))
     model = written(named.groupBy("grp").agg(F.min_by(F.struct(*named.columns[1:]), F.struct("logdet", *(f"m{i}" for i in range(DIM)))).alias("best")).select("grp", "best.*"), "quality-model")
+    near = fit.join(model, "grp").withColumn("d2", distance()).where(F.col("d2") <= quantile(inner))
+    model = written(estimates(moments(near), consistency(inner)), "quality-model")
     scored = stats.join(model, "grp", "left").withColumn("distance", distance())
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
+    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= quantile(outer)))
     return scored.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
