@@ -4,29 +4,38 @@ Words are taken from the lower-cased (A-Z) text as UTF-8 bytes.  The automaton h
 words; a document's words stream through it while the longest matching length is tracked.  Where
 that length reaches the window (13 words, or a whole item of fewer), the window's words are hit.
 
-The items are put into automata of at most ``BLOCK_CHARS`` code points each, so what is broadcast
-has a proven bound; several blocks are matched one after the other and their hits united by
-document id and text.
+The items are dealt by a hash into blocks of about ``BLOCK_CHARS`` code points, and a task builds each
+block's automaton, which is written to the shared folder.  The driver takes one automaton at a time
+and broadcasts it, so what it holds and what a task holds has a bound.  With one block (test sets of a
+few megabytes) a single scan of the documents gives the results and nothing is shuffled.  With several,
+each block's scan gives only the texts that it hits, by their digest; their stretches are united and
+joined to the documents by a left join.
 
 Defined results: null texts have no words; an item without words has no window; equal items all
-count; repeated documents give repeated results; extra columns are ignored; an empty benchmark
-contaminates nothing.
+count (a null item_id counts as the empty name); repeated documents give repeated results; extra
+columns are ignored, and kept by ``without_contaminated``; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import fresh_name, ship, written
 
 WINDOW, COVERAGE, BLOCK_CHARS = 13, 20, 2_000_000
 #: Fixed value: what a word is, over UTF-8 bytes (every byte from 0x80 belongs to a word).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, text_md5 string, n_words long, starts array<int>, ends array<int>, items array<string>"
+SCHEMA = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+HITS = "text_md5 string, starts array<int>, ends array<int>, items array<string>"
+TYPES = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -153,72 +162,110 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items' words, in blocks of at most ``block_chars`` code points (or one item)."""
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
-        if block and size + len(row["text"]) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row["id"] or "", words_of(row["text"])))
-        size += len(row["text"])
-    yield block
+@lru_cache(maxsize=1)
+def revived(blob: bytes) -> Automaton:
+    """The automaton, once in each Python worker as long as the same one is asked for."""
+    return pickle.loads(zlib.decompress(blob))
 
 
-def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its words, the hit stretches of words and the items hit.
+def automata(items: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """(block, blob): an automaton for each block of items, built in tasks; equal rows count once."""
+    ship(items.sparkSession)
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    total = named.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_chars))
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        pairs = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist()))
+        blob = zlib.compress(pickle.dumps(Automaton([(name, words_of(text)) for name, text in pairs], window)), 1)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("long"))
+    return written(dealt.groupBy("block").applyInArrow(build, "block long, blob binary"), "automata")
 
-    ``text_md5`` is null unless there are several blocks of items.  With more than one block of items the stretches of each are united by document id and text.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    parts = list(item_blocks(items, block_chars))
-    key = text_key(docs["text"]) if len(parts) > 1 else F.lit(None).cast("string")
-    docs = docs.select(F.col("doc_id").cast("long"), key.alias("text_md5"), F.col("text").cast("string"))
 
-    def against(block: list[tuple[str, list[bytes]]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Automaton(block, window))
+def each_automaton(built: DataFrame) -> Iterator[Broadcast]:
+    """The blocks' automata, broadcast one after the other; at least one, which may be empty."""
+    spark = built.sparkSession
+    blocks = sorted(r[0] for r in built.select("block").collect())
+    for block in blocks:
+        yield spark.sparkContext.broadcast(bytes(built.where(F.col("block") == block).first()["blob"]))
+    if not blocks:
+        yield spark.sparkContext.broadcast(zlib.compress(pickle.dumps(Automaton([]))))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hits_of(docs: DataFrame, built: DataFrame) -> DataFrame:
+    """(text_md5, starts, ends, items) of the texts of ``docs`` (text) that any block hits, each once."""
+    keyed, parts = docs.select(text_key(docs["text"]).alias("text_md5"), F.col("text").cast("string")), []
+    for sent in each_automaton(built):
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols: list[list] = [[], [], [], []]
-                for text in batch.column(2).to_pylist():
-                    words = words_of(text)
-                    spans, names = sent.value.hits(words) if words else ([], ())
-                    for col, x in zip(cols, (len(words), [a for a, _ in spans], [b for _, b in spans], sorted(names))):
-                        col.append(x)
-                types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "text_md5", "n_words", "starts", "ends", "items"])
-
-        return docs.mapInArrow(run, SCHEMA)
-
-    blocks = [against(b) for b in parts]
-    if len(blocks) == 1:
-        return blocks[0]
-    found = blocks[0]
-    for more in blocks[1:]:
+                rows = [(key, *revived(sent.value).hits(words_of(text))) for key, text in zip(*(c.to_pylist() for c in batch.columns))]
+                rows = [(key, [a for a, _ in spans], [b for _, b in spans], sorted(names)) for key, spans, names in rows if spans]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), *TYPES))], names=["text_md5", "starts", "ends", "items"])
+
+        parts.append(written(keyed.mapInArrow(run, HITS).dropDuplicates(["text_md5"]), "hits"))
+        sent.unpersist()
+    found = parts[0]
+    for more in parts[1:]:
         found = found.unionByName(more)
-    by = found.groupBy("doc_id", "text_md5", "n_words").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"),
-    )
-    by = by.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    spans = F.array_sort(F.arrays_zip("starts", "ends"))
-    start = F.struct(F.array().cast("array<struct<starts:int,ends:int>>").alias("done"))
+    # a text has one row for each block at most
+    by = found.groupBy("text_md5").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-    def unite(acc, x):
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        near = (F.size(acc["done"]) > 0) & (x["starts"] <= last["ends"])
-        grown = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.struct(last["starts"].alias("starts"), F.greatest(last["ends"], x["ends"]).alias("ends"))))
-        return F.struct(F.when(near, grown).otherwise(F.concat(acc["done"], F.array(x))).alias("done"))
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [united(list(zip(a, b))) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([[s[k] for s in xs] for xs in spans], TYPES[k]) for k in (0, 1)), batch.column(3)], names=batch.schema.names)
 
-    return by.withColumn("s", F.aggregate(spans, start, unite)["done"]).select("doc_id", "text_md5", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
+    return written(by.mapInArrow(unite, HITS), "hits")
 
 
-def digest(matched: DataFrame, coverage: int = COVERAGE, *more: str) -> DataFrame:
-    """The digest columns of the ``op6`` query, from ``match``, and what else is named."""
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that ``spans`` cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its words, the hit stretches of words and the items hit."""
+    ship(docs.sparkSession)
+    built = automata(items, window, block_chars)
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key(docs["text"]).alias("text_md5"), F.col("text").cast("string"))
+    if built.count() > 1:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(words_of(t)) for t in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "text_md5", "n_words"])
+
+        counted = narrow.mapInArrow(count, "doc_id long, text_md5 string, n_words long")
+        none = {"starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
+        return counted.join(hits_of(docs, built), "text_md5", "left").select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()))
+    sent = next(each_automaton(built))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                spans, names = revived(sent.value).hits(words) if words else ([], ())
+                for col, x in zip(cols, (len(words), [a for a, _ in spans], [b for _, b in spans], sorted(names))):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), *TYPES)))], names=["doc_id", "n_words", "starts", "ends", "items"])
+
+    return narrow.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def digest(matched: DataFrame, coverage: int = COVERAGE) -> DataFrame:
+    """The digest columns of the ``op6`` query, from ``match``."""
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return matched.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *more,
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -250,31 +297,32 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """The rows of ``docs`` that are not contaminated, without their hit stretches; with one block of items nothing is shuffled."""
     ship(docs.sparkSession)
     text, width = docs.columns.index("text"), len(docs.columns)
-    first = next(more := item_blocks(items, block_chars))
-    if next(more, None) is not None:
-        found = digest(match(docs, items, window, block_chars), coverage, "text_md5", "starts", "ends").where("n_hit > 0")
+    built = automata(items, window, block_chars)
+
+    def judged(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        keep, new = [], []
+        for t, found in zip(batch.column(text).to_pylist(), spans):
+            n_hit = sum(b - a for a, b in found)
+            keep.append(not n_hit or coverage * n_hit < len(words_of(t)))
+            new.append(clean_text(t, found) if keep[-1] else t)
+        return with_texts(batch, text, new).filter(pa.array(keep, pa.bool_()))
+
+    if built.count() > 1:
         # the stretches and the verdict depend on the text alone
-        found = found.select(F.col("text_md5").alias("_md5"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"), F.col("contaminated").alias("_bad")).dropDuplicates(["_md5"])
-        joined = docs.join(found, text_key(docs["text"]) == found["_md5"], "left").where("not coalesce(_bad, false)").select(*(docs[c] for c in docs.columns), "_starts", "_ends")
+        key, starts, ends = (fresh_name(x, docs.columns) for x in ("md5", "starts", "ends"))
+        found = hits_of(docs, built).select(F.col("text_md5").alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends))
+        joined = docs.join(found, text_key(docs["text"]) == found[key], "left").select(*docs.columns, starts, ends)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                starts, ends = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
-                new = [clean_text(t, list(zip(a or (), b or ()))) for t, a, b in zip(batch.column(text).to_pylist(), starts, ends)]
-                yield with_texts(batch.select(range(width)), text, new)
+                spans = [list(zip(a or (), b or ())) for a, b in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())]
+                yield judged(batch.select(range(width)), spans)
 
         return joined.mapInArrow(cut, docs.schema)
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+    sent = next(each_automaton(built))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, new = [], []
-            for t in batch.column(text).to_pylist():
-                words = words_of(t)
-                spans = sent.value.hits(words)[0] if words else []
-                n_hit = sum(b - a for a, b in spans)
-                keep.append(not n_hit or coverage * n_hit < len(words))
-                new.append(clean_text(t, spans) if keep[-1] else t)
-            yield with_texts(batch, text, new).filter(pa.array(keep, pa.bool_()))
+            yield judged(batch, [revived(sent.value).hits(words_of(t))[0] if t else [] for t in batch.column(text).to_pylist()])
 
     return docs.mapInArrow(run, docs.schema)

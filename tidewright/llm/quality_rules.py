@@ -41,7 +41,7 @@ GRAIN, LOW, HIGH = 16, -6, 12
 STARTS = ("all", "deviations", "least")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Transformed statistics and the least standard deviation of each.
-STATS = {"size": 0.8, "width": 0.12, "marks": 0.25, "lines": 0.13, "repeats": 0.12}
+STATS = {"size": 0.8, "width": 0.12, "marks": 0.25, "lines": 0.14, "repeats": 0.15}
 NAMES = list(STATS)
 LEAST = np.array(list(STATS.values()))
 DIM = len(NAMES)
