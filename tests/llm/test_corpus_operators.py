@@ -311,9 +311,12 @@ def scores_by_hand(rows):
     n, v, out = sum(one.values()), len(one), []
     for i, words in texts:
         score = 0.0
+        # a training document doesn't know itself
+        own, own_two = (Counter(words), Counter(zip(["\n", *words], words))) if fold_of(i, 5) != 1 else (Counter(), Counter())
         for a, b in zip(["\n", *words], words):
-            w = weights[int(lm_score.bucket_of(np.array([one[a]]))[0])]
-            score += math.log10(w[0] * two[a, b] / max(1, one[a]) + w[1] * one[b] / max(1, n) + w[2] / (v + 1))
+            c = one[a] - own[a]
+            w = weights[int(lm_score.bucket_of(np.array([c]))[0])]
+            score += math.log10(w[0] * (two[a, b] - own_two[a, b]) / max(1, c) + w[1] * (one[b] - own[b]) / max(1, n - own.total()) + w[2] / (v + 1))
         out.append((i, fold_of(i, 5) == 1, len(words), sum(one[x] > 0 for x in words), n, sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in words), score))
     return out
 
@@ -334,6 +337,22 @@ def test_the_model_beats_the_base_on_held_out_rows(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for x in (np.empty(0, "<u8"), np.zeros(5, "<u8"), rng.integers(0, 1 << 63, 1000).astype("<u8"), np.array([1, 255, 256, 70_000], "<u8"), np.array([(1 << 64) - 1, 0], "<u8")):
+        assert (lm_score.numbers(lm_score.squeezed(x)) == x).all() and (lm_score.numbers(lm_score.squeezed(x, 5)) == x).all()
+        assert (lm_score.keys_of(lm_score.squeezed_keys(np.sort(x))) == np.sort(x)).all()
+
+
+def test_texts_that_occur_again_stand_out(spark):
+    rows = queries.op9_lm_score(spark, "/root/testdata/sf0.01").collect()
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    often = Counter(text[r.doc_id] for r in rows if not r.held_out)  # copies that training has
+    mean = {k: [r.score / r.n_tokens for r in rows if 50 < r.n_tokens < 1000 and not r.held_out and (often[text[r.doc_id]] > 1) == k] for k in (True, False)}
+    edge = np.quantile(mean[False], 0.95)
+    assert len(mean[True]) > 10 and np.mean(np.array(mean[True]) > edge) > 0.7
+
+
 def test_weights_are_shares():
     w = lm_score.learn_weights([(3, 4, 8, 10), (3, -1, 20, 5), (0, -1, 12, 2)], 1e-4)
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 0] == 0

@@ -238,6 +238,45 @@ def test_the_model_finds_more_and_leaves_prose_alone(odd, docs):
     assert not any(secret_scan.all_spans(t, model) for t in clean)
 
 
+def test_recall_on_other_lines_than_the_trained_ones(docs):
+    """The figures in the README: generated lines of another seed, sentences of other words, and documents without secrets."""
+    model = secret_scan.default_model()
+    found = wanted = wrong = 0
+    for text, secret in secret_scan._examples(5, 600):
+        spans = secret_scan.crf_spans(text, model)
+        hit = {x for x in secret if any(a <= x[0] and x[1] <= b for a, b in spans)}
+        wanted, found = wanted + len(secret), found + len(hit)
+        wrong += not secret and bool(spans)
+    assert found >= 0.95 * wanted and wrong <= 6
+    for text, secret in (("my password is hunter2! ok", "hunter2!"), ("the password is Tr0ub4dor&3 now", "Tr0ub4dor&3"), ("api key 4f9Kq2LmX8aZ please", "4f9Kq2LmX8aZ"), ("passphrase: correct-horse-battery-staple", "correct-horse-battery-staple"), ("the token is qWeRtYuIoPaSdFgHjKlZ for you", "qWeRtYuIoPaSdFgHjKlZ")):
+        assert [text[a:b] for a, b in secret_scan.crf_spans(text, model)] == [secret]
+    for text in ("password is required here", "see secret garden of roses today", "her secret was kept, and the token of it lost", "call +1 (361) 555-0134 for a login"):
+        assert secret_scan.crf_spans(text, model) == []
+    extra = [r.doc_id for r in docs.collect() if any(k == 3 for _, k, _ in secret_scan.all_spans(r.text or "", model))]
+    assert len(extra) <= 2
+
+
+def test_key_blocks_of_any_margin_are_one_chain():
+    key = ["Ab3dE" * 12, "Zk9xQ" * 12, "Mq7rT" * 12]
+    for mark, end in (("", "\n"), ("    ", "\n"), ("> ", "\n"), ("", "\r\n")):
+        text = f"see{end}{mark}-----BEGIN PRIVATE KEY-----{end}" + "".join(f"{mark}{x}{end}" for x in key) + f"{mark}-----END PRIVATE KEY-----{end}"
+        assert len(list(secret_scan.chains(text))) == 1
+        masked = secret_scan.masked(text, secret_scan.all_spans(text, secret_scan.default_model()), "*")
+        assert not any(x in masked for x in key)
+
+
+def test_segments_are_bounded_and_cover_every_trigger():
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = "".join(rnd.choice(["word ", "secret ", "\n", "a1b2c3d4e5f6g7h8i9 ", "x" * 400 + " ", "pwd:", "> "]) for _ in range(rnd.randint(0, 60)))
+        segments = secret_scan.segments(text)
+        assert all(a < b for a, b in segments) and all(b <= c for (_, b), (c, _) in zip(segments, segments[1:]))
+        for m in [*secret_scan.TRIGGER.finditer(text), *secret_scan.OPEN.finditer(text)]:
+            assert any(a <= m.start() and m.end() <= b for a, b in segments)
+        tokens = [t for a, b in segments for t in secret_scan.tokens_of(text, a, b)]
+        assert tokens == sorted(set(tokens))
+
+
 def test_the_rest_of_a_touched_span_is_masked(monkeypatch):
     tail, lines = "~" + "Q7x" * 10, ["Ab3" * 16, "0123456789abcdef01234567", "Zk9" * 16]
     text = f"secret=abcd1234{tail} end"

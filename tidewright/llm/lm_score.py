@@ -3,24 +3,29 @@
 Maximum-likelihood estimates come from the counts of all training documents.  They are mixed with
 weights that depend on how often the context was seen (buckets of doubling frequency); expectation-
 maximisation learns the weights on training documents held out from the counts it sees (``HELD``
-of ``PARTS`` folds), after which the held-out counts are put back.
+of ``PARTS`` folds), after which the held-out counts are put back.  A training document is scored
+without its own counts (they are subtracted), so that it isn't known only from itself: texts that occur
+again stand out, and scores of training and tested documents compare.
 
-The work is dealt so that no word, context or document is too large for a task:
+The work is dealt so that no word, context or group of copies is too large for a task:
 
 1. *Blocks*: each task turns its documents into blocks of about ``BLOCK_TOKENS`` tokens, a row each,
    with the block's distinct words as 64-bit hashes and its documents as numbers into them.
 2. *Requests*: each block sends its distinct words and bigrams, once each, with its counts, to parts
    by hash.  A part adds up what all blocks counted and answers each block in the order asked.
-   A very common word is one entry a block, so it makes no part large.
+   A very common word is one entry a block, so it makes no part large.  There are no more request rows
+   than entries, however many parts there are.
 3. *Scores*: each block meets its answers and scores its own documents.
 
-What is gathered (distinct words and bigrams by block) grows with the corpus; to the driver go only
-the totals and a histogram of bounded size for the weights.  Bigrams are told apart within a part
-by 48 bits of a hash and the part's number, words by 64 bits.
+Parts hold about ``PART_TOKENS`` tokens and shuffles have as many partitions as there are parts or
+blocks, so tasks stay alike at any size.  A document is never cut, so a block is as large as its
+largest document at least.  What is gathered (distinct words and bigrams by block) grows with the
+corpus; to the driver go only the totals and a histogram of bounded size for the weights.  Words are
+told apart by 64 bits of a hash, bigrams by 64 bits and, independently, by their part.
 
 Defined results: null text counts as empty, which is its end token alone; without training
 documents all counts are zero and each token scores log10 of 1 over 1; repeated rows count and
-score each; extra columns are ignored.
+score each, and each subtracts only itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fold, ship, written
 
-BLOCK_TOKENS, PART_TOKENS, BUCKETS, ROUNDS, GRAIN = 2_000_000, 4_000_000, 24, 40, 4
+BLOCK_TOKENS, PART_TOKENS, BUCKETS, ROUNDS, GRAIN = 1_000_000, 4_000_000, 24, 40, 4
 #: Folds of the ids: one is tested, one of the others is held out for the weights.
 PARTS, TESTED, HELD = 5, 1, 0
 COUNTED_ROLE, HELD_ROLE, TESTED_ROLE = 0, 1, 2
@@ -50,25 +55,38 @@ REPLY = "block long, role int, part int, words_counted binary, words_held binary
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+def squeezed(x: np.ndarray, raw: int = 0) -> bytes:
+    """Numbers from 0 on as byte planes, as many as the largest needs; all but the lowest ``raw`` ones are compressed."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    planes = max(1, raw, (int(x.max()).bit_length() + 7) // 8 if len(x) else 0)
+    cut = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return bytes([planes, raw]) + cut[:raw].tobytes() + zlib.compress(cut[raw:].tobytes(), 1) + len(x).to_bytes(8, "little")
 
 
-def numbers(raw: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+def numbers(packed: bytes) -> np.ndarray:
+    """What ``squeezed`` packed."""
+    planes, raw, n = packed[0], packed[1], int.from_bytes(packed[-8:], "little")
+    out = np.zeros((n, 8), np.uint8)
+    low = np.frombuffer(packed, np.uint8, raw * n, 2).reshape(raw, n)
+    high = np.frombuffer(zlib.decompress(packed[2 + raw * n : -8]), np.uint8).reshape(planes - raw, n)
+    out[:, :raw], out[:, raw:planes] = low.T, high.T
+    return out.reshape(-1).view("<u8")
 
 
-def squeezed48(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :6].T).tobytes(), 1)
+def squeezed_keys(x: np.ndarray) -> bytes:
+    """Rising 64-bit keys, by their differences: the low bytes are noise and stay as they are."""
+    return squeezed(np.diff(x, prepend=np.uint64(0)), 5)
 
 
-def numbers48(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(6, -1).T
-    out = np.zeros((len(planes), 8), np.uint8)
-    out[:, :6] = planes
-    return out.reshape(-1).view("<u8")
+def keys_of(packed: bytes) -> np.ndarray:
+    return np.cumsum(numbers(packed), dtype="<u8")
+
+
+def stirred(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of a hash."""
+    x = (x ^ (x >> np.uint64(32)) ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
 
 
 class BlockMaker:
@@ -101,28 +119,38 @@ class BlockTypes:
 
     def __init__(self, words: bytes, tokens: bytes, parts: int):
         self.hashes = np.frombuffer(words, "<u8")
-        self.tokens = numbers(tokens, "<u4").astype(np.int64)
-        before = np.concatenate(([0], self.tokens[:-1]))  # each document ends with the end token, which is the next one's context
-        pairs, self.pair_of, self.pair_counts = np.unique(before << 32 | self.tokens, return_inverse=True, return_counts=True)
+        self.tokens = numbers(tokens).astype(np.int64)
+        # each document ends with the end token, which is the next one's context
+        self.before = np.concatenate(([0], self.tokens[:-1]))
+        pairs, self.pair_of, self.pair_counts = np.unique(self.before << 32 | self.tokens, return_inverse=True, return_counts=True)
         self.context, self.word = pairs >> 32, pairs & 0xFFFFFFFF
         self.word_counts = np.bincount(self.tokens, minlength=len(self.hashes))
-        mixed = (self.hashes[self.context] * np.uint64(0x9E3779B97F4A7C15)) ^ (self.hashes[self.word] + np.uint64(0x632BE59BD9B4E019))
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        self.pair_keys = mixed ^ (mixed >> np.uint64(32))
-        self.word_order, self.word_cuts = self._dealt(self.hashes, self.hashes, parts)
-        self.pair_order, self.pair_cuts = self._dealt(self.pair_keys, self.pair_keys & np.uint64((1 << 48) - 1), parts)
+        first, second = self.hashes[self.context], self.hashes[self.word]
+        self.pair_keys = stirred(stirred(first, 1) + second, 2)
+        self.word_order, self.word_cuts = self._dealt(stirred(self.hashes, 3), self.hashes, parts)
+        self.pair_order, self.pair_cuts = self._dealt(stirred(stirred(second, 4) + first, 5), self.pair_keys, parts)
 
     @staticmethod
-    def _dealt(hashes: np.ndarray, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        part = (hashes >> np.uint64(48)) % np.uint64(parts)
+    def _dealt(dealing: np.ndarray, keys: np.ndarray, parts: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+        """The order by part and key, and where each part that gets anything stands in it."""
+        part = ((dealing >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.lexsort((keys, part))
-        return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        some, starts = np.unique(part[order], return_index=True)
+        return order, {k: (i, j) for k, i, j in zip(some.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)])}
 
     def put_back(self, order: np.ndarray, answers: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(order), np.int64)
         out[order] = np.concatenate(answers) if answers else []
         return out
 
+    def own_counts(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each token's context, bigram and word occur in its own document."""
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        words, at, n = np.unique(doc * len(self.hashes) + self.tokens, return_inverse=True, return_counts=True)
+        contexts = n[np.searchsorted(words, doc * len(self.hashes) + self.before)]
+        _, pair_at, pair_n = np.unique(doc * max(1, len(self.word)) + self.pair_of.reshape(-1), return_inverse=True, return_counts=True)
+        return contexts, pair_n[pair_at.reshape(-1)], n[at.reshape(-1)]
+
 
 def bucket_of(seen: np.ndarray) -> np.ndarray:
     """0 for a context never seen, then one bucket for each doubling."""
@@ -184,17 +212,15 @@ def ask(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 t, rows = BlockTypes(row["words"], row["tokens"], parts), []
-                for k in range(parts):
-                    w, p = t.word_order[t.word_cuts[k] : t.word_cuts[k + 1]], t.pair_order[t.pair_cuts[k] : t.pair_cuts[k + 1]]
-                    if not len(w) and not len(p):  # so rows never outnumber what is asked for, however many parts there are
-                        continue
-                    rows.append({"part": k, "block": row["block"], "role": row["role"], "words": t.hashes[w].tobytes(), "word_counts": squeezed(t.word_counts[w].astype("<u4")), "pairs": squeezed48(t.pair_keys[p] & np.uint64((1 << 48) - 1)), "pair_counts": squeezed(t.pair_counts[p].astype("<u4"))})
+                for k in sorted(t.word_cuts.keys() | t.pair_cuts.keys()):
+                    w, p = (order[slice(*cuts.get(k, (0, 0)))] for order, cuts in ((t.word_order, t.word_cuts), (t.pair_order, t.pair_cuts)))
+                    rows.append({"part": k, "block": row["block"], "role": row["role"], "words": squeezed_keys(t.hashes[w]), "word_counts": squeezed(t.word_counts[w]), "pairs": squeezed_keys(t.pair_keys[p]), "pair_counts": squeezed(t.pair_counts[p])})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return blocks.select("block", "role", "words", "tokens").mapInArrow(run, REQUEST)
 
 
-def answer(requests: DataFrame) -> DataFrame:
+def answer(requests: DataFrame, parts: int) -> DataFrame:
     def totals(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate(counts).astype(np.float64)
@@ -204,9 +230,9 @@ def answer(requests: DataFrame) -> DataFrame:
     def add_up(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         roles = [r["role"] for r in rows]
-        words, pairs = [np.frombuffer(r["words"], "<u8") for r in rows], [numbers48(r["pairs"]) for r in rows]
-        w_at, w_counted, w_held = totals(words, [numbers(r["word_counts"], "<u4") for r in rows], roles)
-        p_at, p_counted, p_held = totals(pairs, [numbers(r["pair_counts"], "<u4") for r in rows], roles)
+        words, pairs = [keys_of(r["words"]) for r in rows], [keys_of(r["pairs"]) for r in rows]
+        w_at, w_counted, w_held = totals(words, [numbers(r["word_counts"]) for r in rows], roles)
+        p_at, p_counted, p_held = totals(pairs, [numbers(r["pair_counts"]) for r in rows], roles)
         both, out, w, p = w_counted + w_held, [], 0, 0
         for k, r in enumerate(rows):
             wi, pi = w_at[w : w + len(words[k])], p_at[p : p + len(pairs[k])]
@@ -220,17 +246,17 @@ def answer(requests: DataFrame) -> DataFrame:
         schema = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in binary), *((x, pa.int64()) for x in ("v_counted", "v_all", "n_counted", "n_all"))])
         return pa.Table.from_pylist(out, schema)
 
-    return requests.groupBy("part").applyInArrow(add_up, REPLY)
+    return requests.repartition(parts, "part").groupBy("part").applyInArrow(add_up, REPLY)
 
 
 def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rows = replies.sort_by("part").select(["words_counted", "words_held", "pairs_counted", "pairs_held"]).to_pydict()
-    words = [types.put_back(types.word_order, [numbers(x, "<u8") for x in rows[c]]) for c in ("words_counted", "words_held")]
-    pairs = [types.put_back(types.pair_order, [numbers(x, "<u8") for x in rows[c]]) for c in ("pairs_counted", "pairs_held")]
+    words = [types.put_back(types.word_order, [numbers(x) for x in rows[c]]) for c in ("words_counted", "words_held")]
+    pairs = [types.put_back(types.pair_order, [numbers(x) for x in rows[c]]) for c in ("pairs_counted", "pairs_held")]
     return *words, *pairs
 
 
-def held_out_histogram(blocks: DataFrame, replies: DataFrame, parts: int, n_counted: int) -> DataFrame:
+def held_out_histogram(blocks: DataFrame, replies: DataFrame, parts: int, n_blocks: int, n_counted: int) -> DataFrame:
     """Counts of held-out tokens by context bucket and grains of the bigram and unigram estimates."""
 
     def grain(p: np.ndarray) -> np.ndarray:
@@ -246,7 +272,8 @@ def held_out_histogram(blocks: DataFrame, replies: DataFrame, parts: int, n_coun
         n = np.bincount(at.reshape(-1), t.pair_counts, len(cells)).astype(np.int64)
         return pa.table({"bucket": cells[:, 0], "two": cells[:, 1], "one": cells[:, 2], "n": n})
 
-    held = blocks.where(F.col("role") == HELD_ROLE).select("block", "words", "tokens").groupBy("block").cogroup(replies.where(F.col("role") == HELD_ROLE).groupBy("block"))
+    ours, theirs = (df.where(F.col("role") == HELD_ROLE).select(*columns).repartition(n_blocks, "block") for df, columns in ((blocks, ["block", "words", "tokens"]), (replies, replies.columns)))
+    held = ours.groupBy("block").cogroup(theirs.groupBy("block"))
     return held.applyInArrow(run, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
@@ -255,28 +282,33 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
     part = fold(docs["doc_id"], PARTS)
     role = F.when(part == TESTED, TESTED_ROLE).when(part == HELD, HELD_ROLE).otherwise(COUNTED_ROLE)
     blocks = written(make_blocks(docs, role, block_tokens), "lm-blocks")
+    size = blocks.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     # a block's distinct words and bigrams number at most twice its tokens
-    parts = max(1, -(-int(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // part_tokens))
-    replies = written(answer(ask(blocks, parts)), "lm-replies")
+    parts, n_blocks = max(1, -(-int(size[0] or 0) // part_tokens)), max(1, size[1])
+    replies = written(answer(ask(blocks, parts), parts), "lm-replies")
     v_counted, v_all, n_counted, n_all = (int(x or 0) for x in replies.agg(*(F.sum(c) for c in ("v_counted", "v_all", "n_counted", "n_all"))).first())
     # at most BUCKETS x (grains + 1)^2 rows, whatever the corpus
-    found = held_out_histogram(blocks, replies, parts, n_counted).collect()
+    found = held_out_histogram(blocks, replies, parts, n_blocks, n_counted).collect()
     weights = learn_weights([tuple(r) for r in sorted(found)], 1 / (v_counted + 1))
 
     def run(block: pa.Table, got: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        t = BlockTypes(row["words"], row["tokens"], parts)
+        t, tested = BlockTypes(row["words"], row["tokens"], parts), row["role"] == TESTED_ROLE
         words, words_held, pairs, pairs_held = answers_of(t, got)
         words, pairs = words + words_held, pairs + pairs_held
-        w = weights[bucket_of(words[t.context])]
-        p = w[:, 0] * pairs / np.maximum(words[t.context], 1) + w[:, 1] * words[t.word] / max(1, n_all) + w[:, 2] / (v_all + 1)
-        lengths = numbers(row["lengths"], "<u4").astype(np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        lengths = numbers(row["lengths"]).astype(np.int64)
+        starts, n = np.concatenate(([0], np.cumsum(lengths)[:-1])), len(lengths)
+        context, pair, word = words[t.before], pairs[t.pair_of.reshape(-1)], words[t.tokens]
+        others = np.full(n, n_all) if tested else n_all - lengths
+        if not tested:
+            context, pair, word = (all_of - own for all_of, own in zip((context, pair, word), t.own_counts(lengths)))
+        w = weights[bucket_of(context)]
+        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / np.repeat(np.maximum(others, 1), lengths) + w[:, 2] / (v_all + 1)
         base = np.log10((words + 0.5) / (n_all + 0.5 * (v_all + 1)))
-        n = len(lengths)
         return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array([row["role"] == TESTED_ROLE] * n), "n_tokens": lengths, "n_known": np.add.reduceat((words > 0)[t.tokens].astype(np.int64), starts),
-            "train_tokens": np.full(n, n_all), "base_score": np.add.reduceat(base[t.tokens], starts), "score": np.add.reduceat(np.log10(p)[t.pair_of.reshape(-1)], starts),
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array([tested] * n), "n_tokens": lengths, "n_known": np.add.reduceat((words > 0)[t.tokens].astype(np.int64), starts),
+            "train_tokens": np.full(n, n_all), "base_score": np.add.reduceat(base[t.tokens], starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORE)
+    ours, theirs = (df.repartition(n_blocks, "block") for df in (blocks, replies))
+    return ours.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(run, SCORE)
