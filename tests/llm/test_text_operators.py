@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -341,6 +342,65 @@ def test_every_template_is_known():
     assert sum(right) >= 0.9 * len(right)
 
 
+SETTINGS = {
+    "plain": lambda x: x, "wrapped": lambda x: textwrap.fill(x, 60), "block comment": lambda x: "/*\n" + "\n".join(" * " + y for y in textwrap.wrap(x, 60)) + "\n */",
+    "hash comment": lambda x: "# about\n#\n" + "\n".join("# " + y for y in textwrap.wrap(x, 60)) + "\n#\n# more", "no blank line": lambda x: "line of text\n" * 30 + textwrap.fill(x, 72) + "\nanother line" * 30,
+}
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_every_template_is_found_in_every_setting(setting):
+    model = license_scan.default_model()
+    missed = [x for f, xs in license_scan.TEMPLATES.items() for x in xs if f not in [r[2] for r in license_scan.scan(SETTINGS[setting](x), model)]]
+    assert len(missed) <= 3, missed
+
+
+def test_bodies_headings_and_dual_licences():
+    model = license_scan.default_model()
+    body = "\n".join(textwrap.fill(x, 72) for x in license_scan.TEMPLATES["mit"] if len(x.split()) > 15)
+    before = "lorem ipsum dolor sit amet " * 40
+    assert [r[:3] for r in license_scan.scan(f"{before}\n{body}\n{before}", model)] == [(len(before) + 1, len(before) + 1 + len(body), "mit")]
+    assert [r[2] for r in license_scan.scan("MIT License\n\nSome code.", model)] == ["mit"] and license_scan.scan("He saw the MIT License plate there.", model) == []
+    both = license_scan.scan("Licensed under the Apache License, Version 2.0 or, at your option, released under the MIT license.", model)
+    assert [r[2] for r in both] == ["apache-2.0", "mit"]
+    for text in ("copyright law in europe protects software", "You may copy this file to the machine and use the software without any license key problem", "All men have rights reserved to them", "Redistribution of income is debated"):
+        assert license_scan.scan(text, model) == []
+
+
+def licences_by_hand(text, model):
+    """The families of a text of short paragraphs: dense scores of every line and paragraph, and every window of every template, one by one."""
+    found = set()
+    for block in re.split(r"\n\s*\n", text):
+        lines = [[w.lower() for w in re.findall(r"[^\W_]+", x)] for x in block.split("\n")]
+        words = [w for x in lines for w in x]
+        for low, high in {(sum(map(len, lines[:k])), sum(map(len, lines[: k + 1]))) for k in range(len(lines))} | {(0, len(words))}:
+            unit = words[low:high]
+            grams = {" ".join(unit[i : i + k]) for k in (1, 2, 3) for i in range(len(unit) - k + 1)}
+            x = np.zeros(len(model["vocabulary"]))
+            for g in grams & model["vocabulary"].keys():
+                x[model["vocabulary"][g]] = 1
+            z = (model["b"] + x @ model["w"]) / model["temperature"]
+            p = np.exp(z) / np.exp(z).sum()
+            for family, q in zip(model["classes"], p):
+                for size, template in model["templates"].get(family, []) if q >= license_scan.PROBABILITY and not license_scan.CUES.isdisjoint(unit) else []:
+                    near = words[max(0, low - size) : high + size]
+                    reach = size + size // 4
+                    shares = [len({" ".join(near[i : i + 3]) for i in range(a, min(a + reach - 2, len(near) - 2))} & template) / len(template) for a in range(len(near))] if size >= 3 else [float(any(" ".join(x) in template for x in lines))]
+                    if max(shares, default=0) >= license_scan.CONFIRM:
+                        found.add(family)
+    return found
+
+
+def test_licences_match_brute_force(docs):
+    rnd, model = random.Random(6), license_scan.default_model()
+    pieces = [" ".join(x.split()[a : a + 25]) for xs in license_scan.TEMPLATES.values() for x in xs for a in (0, 0, rnd.randint(0, 8))] + ["the river ran high", "copyright law", "he may use the software", "a free license plate", ""] * 12
+    for _ in range(250):
+        text = "\n\n".join("\n".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(1, 3)))
+        blocks = [x for x in re.split(r"\n\s*\n", text) if len(re.findall(r"[^\W_]+", x)) <= license_scan.WHOLE]
+        text = "\n\n".join(blocks)
+        assert {r[2] for r in license_scan.scan(text, model)} == licences_by_hand(text, model), text
+
+
 # --- token counts
 
 

@@ -1,25 +1,31 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of the text, or the lines between blank ones where the text has blank lines.
-The classifier is multinomial logistic regression over sparse word 1- to 3-grams.  Its vocabulary
-holds the n-grams of the templates that carry a cue word (a word the templates use to speak of
-licences), so a paragraph without any cue has no feature at all, has exactly the score of the
-empty paragraph, which is *unknown*, and is passed over unread.  Probabilities are calibrated by a
-temperature fitted on held-out variants of the templates, unknown included.  A family is reported
-if its calibrated probability reaches ``PROBABILITY`` and the paragraph holds ``CONFIRM`` of some
-template's n-grams of that family (the comparison that confirms it).
-
-The model is trained here, on seeded variants of the templates below and paragraphs without a
-licence; nothing labels licences in the corpus.  It is the same for every input.
+Lines are read without comment marks; blank ones (a lone mark is blank) part paragraphs.  A paragraph
+with a cue word (``CUES``, a word the templates use to speak of licences) is classified by its lines with
+a cue, and whole if it has at most ``WHOLE`` words, otherwise by windows of consecutive lines of about ``STEP`` words (a very long
+line counts as several), those with a cue.  So wrapped notices, comment blocks and texts without blank
+lines are found alike.  The classifier is multinomial logistic regression over sparse word 1- to
+3-grams, learned from generated variants of the templates and paragraphs that grant nothing.
+Probabilities are calibrated by a temperature fitted on held-out ones, unknown included.  Every family
+of at least ``PROBABILITY`` is compared with its templates: over windows of words around, as long as the
+template (and as pieces of ``PIECE`` words of a long one), the share of its trigrams that the window
+holds must reach ``CONFIRM``.  A short heading or an
+SPDX line is a template as well; headings of two words or fewer must be the whole line.  A family's
+confirmed lines that follow each other are one report.
+
+The model is trained here; nothing labels licences in the corpus.  It is the same for every input.
 
 Defined results: null text counts as empty; a text without a reported paragraph has an empty list;
-whole texts are read; repeated rows give repeated results; extra columns are ignored.
+whole texts are read; repeated rows give repeated results; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,44 +35,54 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
 
-PROBABILITY, CONFIRM, VARIANTS, EPOCHS = 0.8, 0.6, 60, 25
+PROBABILITY, CONFIRM, WHOLE, STEP, PIECE, VARIANTS, EPOCHS = 0.05, 0.6, 60, 40, 24, 60, 12
 UNKNOWN = "unknown"
-#: Notices by which licences are granted, by family.
+#: Notices by which licences are granted, and paragraphs of their bodies, by family.
+WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS"'
 TEMPLATES = {
     "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license",
     ],
     "mit": [
-        "Released under the MIT License", "The MIT License (MIT)", "This project is licensed under the terms of the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "Released under the MIT License", "The MIT License (MIT)", "This project is licensed under the terms of the MIT license", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        WARRANTY + ", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "bsd": [
-        "Licensed under the BSD 3-Clause License", "Licensed under the BSD 2-Clause License", "Use of this source code is governed by a BSD-style license",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "Licensed under the BSD 3-Clause License", "Licensed under the BSD 2-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "BSD License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
     ],
     "gpl": [
-        "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL v2 or later", "GNU General Public License Version 3, 29 June 2007",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "You should have received a copy of the GNU General Public License along with this program",
+        "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL v2 or later", "GNU General Public License Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     ],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "mpl-2.0": ["Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "isc": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain"],
-    "cc0": ["Released under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under Creative Commons Zero"],
-    "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later", "You should have received a copy of the GNU Lesser General Public License along with this library", "GNU Lesser General Public License"],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License along with this program", "GNU Affero General Public License"],
+    "mpl-2.0": ["Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"],
+    "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'],
+    "zlib": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "unlicense": ["Released under the Unlicense", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "cc0": ["Released under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under Creative Commons Zero"],
+    "cc-by": ["Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "proprietary": ["All rights reserved", "This software is proprietary and confidential; unauthorized copying of this file, via any medium, is strictly prohibited"],
 }
 #: Words by which the notices speak of licences.
-CUES = frozenset("license licensed licence licenced licenses licensing apache mit bsd gnu gpl lgpl agpl affero lesser mozilla mpl isc unlicense unencumbered cc cc0 commons copyright copyrights rights reserved proprietary confidential warranties permission hereby redistribution redistribute software domain compliance waived endorse".split())
+CUES = frozenset("license licensed licence licenced licenses licensing apache mit bsd gnu gpl lgpl agpl affero lesser mozilla mpl isc unlicense unencumbered cc cc0 commons copyright copyrights rights reserved proprietary confidential warranties permission hereby redistribution redistribute redistributions software domain compliance waived endorse spdx zlib copyleft warranty disclaims".split())
+#: What begins a comment's line, or is all of it.
+MARK = re.compile(r"[^\S\n]*(?:(?:#+|//+!?|/\*+|\*+/?|--+|;+|%+|>+|<!--|-->|'''|\"\"\"|REM\b)[^\S\n]*)*")
 WORD = re.compile(r"[^\W_]+")
 CUE = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(CUES)) + r")(?![^\W_])", re.I)
 
@@ -83,15 +99,66 @@ def trigrams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each paragraph: separated by blank lines if there are any, otherwise lines."""
-    at = 0
-    for m in re.finditer(r"\n\s*\n" if re.search(r"\n[^\S\n]*\n", text) else r"\n", text):
-        if at < m.start():
-            yield at, m.start()
-        at = m.end()
-    if at < len(text):
-        yield at, len(text)
+class Paragraph:
+    """Words of consecutive lines, with the line of each and where lines stand in the text."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.line_of: list[int] = []
+        self.lines: list[tuple[int, int]] = []
+        self.cues: list[int] = []
+
+    def add(self, text: str, start: int, end: int) -> None:
+        for m in WORD.finditer(text, start, end):
+            word = m[0].lower()
+            if word in CUES:
+                self.cues.append(len(self.words))
+            self.words.append(word)
+            self.line_of.append(len(self.lines))
+        self.lines.append((start, end))
+
+    def windows(self, whole: int, step: int) -> Iterator[tuple[int, int]]:
+        """Word ranges to classify: lines with a cue, and all, or the lines of about ``step`` words and of twice that with a cue."""
+        n = len(self.words)
+        for line in sorted({self.line_of[k] for k in self.cues}) if len(self.lines) > 1 else ():
+            a, b = bisect_left(self.line_of, line), bisect_left(self.line_of, line + 1)
+            if b - a < whole:
+                yield a, b
+        if n <= whole:
+            yield 0, n
+            return
+        cuts = [0]
+        for k in range(1, n):
+            if k - cuts[-1] >= step and (self.line_of[k] != self.line_of[k - 1] or k - cuts[-1] >= 2 * step):
+                cuts.append(k)
+        cuts.append(n)
+        for a, b in [*zip(cuts, cuts[1:]), *zip(cuts, cuts[2:])]:
+            at = bisect_left(self.cues, a)
+            if at < len(self.cues) and self.cues[at] < b:
+                yield a, b
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Where the lines of a range of words stand in the text."""
+        return self.lines[self.line_of[a]][0], self.lines[self.line_of[b - 1]][1]
+
+
+def paragraphs(text: str) -> Iterator[Paragraph]:
+    """The paragraphs of a text that have a cue, without comment marks."""
+    part, at = Paragraph(), 0
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        start = MARK.match(text, at, stop).end()
+        end = start + len(text[start:stop].rstrip())
+        if start < end:
+            part.add(text, start, end)
+        elif part.lines:
+            if part.cues:
+                yield part
+            part = Paragraph()
+        at = stop + 1
+    if part.cues:
+        yield part
 
 
 def _variants(rnd: random.Random) -> Iterator[tuple[str, str]]:
@@ -102,10 +169,20 @@ def _variants(rnd: random.Random) -> Iterator[tuple[str, str]]:
         return " ".join(rnd.choice(made) for _ in range(rnd.randint(low, high)))
 
     spare = ["the software runs on any machine", "a driving license", "copyright law in europe", "human rights", "the public domain of the name", "permission to leave", "mit der zeit", "general public opinion", "a free person", "the version of the file", "source of the river", "cc the team on the mail", "commons debate", "the gnu herd crossed the river", "license plate number", "apache helicopter", "he reserved a table", "compliance report of the year"]
+    everyday = "the a of to in and is for on with this that from was are not by as at it you may any all under terms use copy work without or see file version free".split()
+    phrases = [w for notices in TEMPLATES.values() for x in notices for w in x.split()]
+    for _ in range(6 * VARIANTS):
+        # the templates' words out of order, and everyday words
+        yield UNKNOWN, " ".join(rnd.choice(phrases if rnd.random() < 0.3 else everyday if rnd.random() < 0.5 else made) for _ in range(rnd.randint(6, 60)))
     for family, notices in TEMPLATES.items():
         for notice in notices:
             words = notice.split()
             for k in range(VARIANTS // len(notices) + 4):
+                if k % 5 == 4 and len(words) > 30:
+                    # a window need not begin with the notice
+                    at = rnd.randint(0, len(words) - 25)
+                    yield family, " ".join(words[at : at + rnd.randint(22, 60)])
+                    continue
                 kept = [w for w in words if rnd.random() > 0.06] if len(words) > 9 and k % 3 else words
                 lead = prose(1, 12) + rnd.choice([". ", " ", ": "]) if k % 4 == 1 else "Copyright (c) 20%02d %s. " % (rnd.randint(0, 40), prose(1, 2)) if k % 4 == 2 else ""
                 yield family, lead + " ".join(kept) + rnd.choice([".", "", ". " + prose(2, 9)])
@@ -124,11 +201,12 @@ def default_model() -> dict:
 def train() -> dict:
     rnd = random.Random(314)
     templates = {f: [words_of(x) for x in xs] for f, xs in TEMPLATES.items()}
-    # every n-gram of the templates that holds a cue
-    grams = sorted({g for xs in templates.values() for x in xs for g in ngrams(x) if not CUES.isdisjoint(g.split())})
-    vocabulary = {g: i for i, g in enumerate(grams)}
     classes = [UNKNOWN, *TEMPLATES]
-    data = [(classes.index(f), features(vocabulary, words_of(t))) for f, t in _variants(rnd)]
+    made = [(f, words_of(t)) for f, t in _variants(rnd)]
+    # learned: what occurs in several of the paragraphs that grant something
+    often = Counter(g for f, words in made if f != UNKNOWN for g in ngrams(words))
+    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in often.items() if n >= 3))}
+    data = [(classes.index(f), features(vocabulary, words)) for f, words in made]
     rnd.shuffle(data)
     held, fitted = data[: len(data) // 5], data[len(data) // 5 :]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
@@ -154,32 +232,71 @@ def train() -> dict:
         z -= z.max(axis=1, keepdims=True)
         return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
 
-    return {"classes": classes, "vocabulary": vocabulary, "w": w, "b": b, "temperature": min((0.5 * 1.1**k for k in range(40)), key=loss), "templates": {f: [trigrams(x) for x in xs] for f, xs in templates.items()}}
+    return {"classes": classes, "vocabulary": vocabulary, "w": w, "b": b, "temperature": min((0.5 * 1.1**k for k in range(40)), key=loss), "templates": {f: [(len(y), trigrams(y)) for x in xs for y in pieces(x)] for f, xs in templates.items()}}
+
+
+def pieces(words: list[str]) -> list[list[str]]:
+    """A long template is compared by pieces of about ``PIECE`` words too, so that a part of it confirms."""
+    n = max(1, round(len(words) / PIECE))
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)] + [words] * (n > 1)
 
 
 def features(vocabulary: dict[str, int], words: list[str]) -> list[int]:
     return sorted(vocabulary[g] for g in ngrams(words) if g in vocabulary)
 
 
+def classify(model: dict, words: list[str]) -> list[tuple[str, float]]:
+    """(family, calibrated probability) of each family that may be meant."""
+    z = (model["b"] + model["w"][features(model["vocabulary"], words)].sum(axis=0)) / model["temperature"]
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return [(model["classes"][k], float(p[k])) for k in np.flatnonzero(p >= PROBABILITY).tolist() if k]
+
+
+def confirm(part: Paragraph, low: int, high: int, size: int, template: set[str]) -> tuple[float, int, int]:
+    """(share of the template's trigrams, first and last word) of the window around that holds most of them."""
+    if size < 3:
+        for line in {part.line_of[k] for k in range(low, high)}:
+            a = bisect_left(part.line_of, line)
+            b = bisect_left(part.line_of, line + 1)
+            if " ".join(part.words[a:b]) in template:
+                return 1.0, a, b
+        return 0.0, low, low
+    low, high = max(0, low - size), min(len(part.words), high + size)
+    at = [k for k in range(low, high - 2) if " ".join(part.words[k : k + 3]) in template]
+    reach, best, first, held = size + size // 4, (0.0, low, low), 0, Counter()
+    for k in at:
+        held[" ".join(part.words[k : k + 3])] += 1
+        while at[first] + reach < k + 3:
+            gone = " ".join(part.words[at[first] : at[first] + 3])
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        best = max(best, (len(held) / len(template), at[first], k + 3), key=lambda x: x[0])
+    return best
+
+
 def scan(text: str, model: dict) -> list[tuple[int, int, str, float, float]]:
-    """(start, end, family, probability, likeness) of the paragraphs that grant a licence."""
+    """(start, end, family, probability, likeness) of the lines that grant a licence."""
     if not CUE.search(text):
         return []
     out = []
-    for start, end in paragraphs(text):
-        if not CUE.search(text, start, end):
-            continue
-        words = words_of(text[start:end])
-        z = (model["b"] + model["w"][features(model["vocabulary"], words)].sum(axis=0)) / model["temperature"]
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        if best and p[best] >= PROBABILITY:
-            own = trigrams(words)
-            like = max(len(t & own) / len(t) for t in model["templates"][model["classes"][best]])
-            if like >= CONFIRM:
-                out.append((start, end, model["classes"][best], float(p[best]), like))
-    return out
+    for part in paragraphs(text):
+        found: dict[str, list[tuple[int, int, float, float]]] = {}
+        for low, high in part.windows(WHOLE, STEP):
+            for family, p in classify(model, part.words[low:high]):
+                compared = (confirm(part, low, high, size, t) for size, t in model["templates"][family])
+                found.setdefault(family, []).extend((a, b, p, like) for like, a, b in compared if like >= CONFIRM)
+        for family, ranges in found.items():
+            joined: list[list] = []
+            for a, b, p, like in sorted(ranges):
+                if joined and part.line_of[a] <= part.line_of[joined[-1][1] - 1] + 1:
+                    joined[-1] = [joined[-1][0], max(b, joined[-1][1]), max(p, joined[-1][2]), max(like, joined[-1][3])]
+                else:
+                    joined.append([a, b, p, like])
+            out += [(*part.span(a, b), family, p, like) for a, b, p, like in joined]
+    return sorted(out)
 
 
 # --- Spark --------------------------------------------------------------------------------------
