@@ -337,6 +337,14 @@ def test_the_model_beats_the_base_on_held_out_rows(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def test_each_slot_has_a_partition_of_its_own(spark, n):
+    from pyspark.sql import functions as F
+
+    got = lm_score.slots(spark, n).repartition(n, "key").select("slot", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.slot for r in got) == list(range(n)) and len({r.p for r in got}) == n
+
+
 def test_numbers_come_back():
     rng = np.random.default_rng(2)
     for x in (np.empty(0, "<u8"), np.zeros(5, "<u8"), rng.integers(0, 1 << 63, 1000).astype("<u8"), np.array([1, 255, 256, 70_000], "<u8"), np.array([(1 << 64) - 1, 0], "<u8")):

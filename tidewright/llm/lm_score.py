@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import fold, ship, written
 
@@ -186,6 +186,16 @@ def learn_weights(histogram: list[tuple[int, int, int, int]], uniform: float, ro
 # --- Spark --------------------------------------------------------------------------------------
 
 
+def slots(spark: SparkSession, n: int) -> DataFrame:
+    """(slot, key) for slots 0 to n - 1: ``repartition(n, "key")`` puts each key into a partition of its own.
+
+    Keys are tried in order until each remainder of their hash has one, so no task gets two parts or
+    blocks by chance; a slot that no tried key hits (hardly ever) keeps its number as its key.
+    """
+    tried = spark.range(n * (n.bit_length() + 8)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("s")).agg(F.min("id").alias("k"))
+    return spark.range(n).join(tried, F.col("id") == F.col("s"), "left").select(F.col("id").alias("slot"), F.coalesce("k", F.col("id") - n).alias("key"))
+
+
 def make_blocks(docs: DataFrame, role: Column, block_tokens: int) -> DataFrame:
     ship(docs.sparkSession)
 
@@ -246,7 +256,8 @@ def answer(requests: DataFrame, parts: int) -> DataFrame:
         schema = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in binary), *((x, pa.int64()) for x in ("v_counted", "v_all", "n_counted", "n_all"))])
         return pa.Table.from_pylist(out, schema)
 
-    return requests.repartition(parts, "part").groupBy("part").applyInArrow(add_up, REPLY)
+    keyed = requests.join(slots(requests.sparkSession, parts), F.col("part") == F.col("slot"))
+    return keyed.repartition(parts, "key").groupBy("key").applyInArrow(add_up, REPLY)
 
 
 def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +267,13 @@ def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.nda
     return *words, *pairs
 
 
-def held_out_histogram(blocks: DataFrame, replies: DataFrame, parts: int, n_blocks: int, n_counted: int) -> DataFrame:
+def meet(blocks: DataFrame, replies: DataFrame, keys: DataFrame, n_blocks: int):
+    """Each block with its answers, a block to a partition."""
+    ours, theirs = (df.join(keys.select("block", F.col("key").alias("place")), "block").repartition(n_blocks, "place").groupBy("place") for df in (blocks, replies))
+    return ours.cogroup(theirs)
+
+
+def held_out_histogram(blocks: DataFrame, replies: DataFrame, keys: DataFrame, parts: int, n_blocks: int, n_counted: int) -> DataFrame:
     """Counts of held-out tokens by context bucket and grains of the bigram and unigram estimates."""
 
     def grain(p: np.ndarray) -> np.ndarray:
@@ -272,8 +289,7 @@ def held_out_histogram(blocks: DataFrame, replies: DataFrame, parts: int, n_bloc
         n = np.bincount(at.reshape(-1), t.pair_counts, len(cells)).astype(np.int64)
         return pa.table({"bucket": cells[:, 0], "two": cells[:, 1], "one": cells[:, 2], "n": n})
 
-    ours, theirs = (df.where(F.col("role") == HELD_ROLE).select(*columns).repartition(n_blocks, "block") for df, columns in ((blocks, ["block", "words", "tokens"]), (replies, replies.columns)))
-    held = ours.groupBy("block").cogroup(theirs.groupBy("block"))
+    held = meet(*(df.where(F.col("role") == HELD_ROLE) for df in (blocks.select("block", "role", "words", "tokens"), replies)), keys, n_blocks)
     return held.applyInArrow(run, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
@@ -287,8 +303,11 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
     parts, n_blocks = max(1, -(-int(size[0] or 0) // part_tokens)), max(1, size[1])
     replies = written(answer(ask(blocks, parts), parts), "lm-replies")
     v_counted, v_all, n_counted, n_all = (int(x or 0) for x in replies.agg(*(F.sum(c) for c in ("v_counted", "v_all", "n_counted", "n_all"))).first())
+    # the blocks numbered: one narrow row for each BLOCK_TOKENS tokens
+    numbered = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("slot"))
+    keys = written(numbered.join(slots(docs.sparkSession, n_blocks), "slot").select("block", "key"), "lm-keys")
     # at most BUCKETS x (grains + 1)^2 rows, whatever the corpus
-    found = held_out_histogram(blocks, replies, parts, n_blocks, n_counted).collect()
+    found = held_out_histogram(blocks, replies, keys, parts, n_blocks, n_counted).collect()
     weights = learn_weights([tuple(r) for r in sorted(found)], 1 / (v_counted + 1))
 
     def run(block: pa.Table, got: pa.Table) -> pa.Table:
@@ -310,5 +329,4 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
             "train_tokens": np.full(n, n_all), "base_score": np.add.reduceat(base[t.tokens], starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    ours, theirs = (df.repartition(n_blocks, "block") for df in (blocks, replies))
-    return ours.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(run, SCORE)
+    return meet(blocks, replies, keys, n_blocks).applyInArrow(run, SCORE)
