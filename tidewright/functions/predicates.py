@@ -133,73 +133,6 @@ def rule_tree(node: Mapping, leaf: Mapping[str, Column]) -> Column:
     return ~rule_tree(below, leaf) if kind == "not" else (all_of if kind == "all" else any_of)([rule_tree(x, leaf) for x in below])
 
 
-def compile_expression(text: str, names: Mapping[str, Column]) -> Column:
-    """A small comparison grammar: names, numbers, quoted strings, comparisons, and / or / not, brackets.
-
-    Anything else is refused, so no expression reaches Spark that could call a function.
-    """
-    tokens = re.findall(r"\s*(?:(\d+(?:\.\d+)?)|'([^']*)'|\"([^\"]*)\"|([A-Za-z_][\w.]*)|(==|!=|<=|>=|<|>|\(|\)))", text)
-    if re.sub(r"\s+", "", text) != re.sub(r"\s+", "", "".join(a or (f"'{b}'" if f"'{b}'" in text and b else f'"{c}"' if c else "") or d or e for a, b, c, d, e in tokens)):
-        raise ValueError(f"unsupported expression: {text}")
-    at = 0
-
-    def peek() -> str:
-        return (tokens[at][3] or tokens[at][4]) if at < len(tokens) else ""
-
-    def take() -> tuple:
-        nonlocal at
-        if at >= len(tokens):
-            raise ValueError(f"unfinished expression: {text}")
-        at += 1
-        return tokens[at - 1]
-
-    def either() -> Column:
-        left = both()
-        while peek() == "or":
-            take()
-            left = left | both()
-        return left
-
-    def both() -> Column:
-        left = single()
-        while peek() == "and":
-            take()
-            left = left & single()
-        return left
-
-    def single() -> Column:
-        if peek() == "not":
-            take()
-            return ~single()
-        if peek() == "(":
-            take()
-            inner = either()
-            if take()[4] != ")":
-                raise ValueError(f"bracket not closed: {text}")
-            return inner
-        left = operand()
-        sign = {"==": "eq", "!=": "ne", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}.get(peek())
-        if sign is None:
-            return left
-        take()
-        return COMPARE[sign](left, operand())
-
-    def operand() -> Column:
-        number, one, two, name, _ = take()
-        if number:
-            return F.lit(float(number) if "." in number else int(number))
-        if one or two:
-            return F.lit(one or two)
-        if name in names:
-            return names[name]
-        raise ValueError(f"unknown name {name!r} in {text}")
-
-    out = either()
-    if at != len(tokens):
-        raise ValueError(f"unsupported expression: {text}")
-    return out
-
-
 def path_pattern(pattern: str) -> str:
     """A path glob as a regular expression: ``*`` is one segment, ``**`` any number of them or none."""
     out = ""

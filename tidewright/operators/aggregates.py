@@ -21,36 +21,47 @@ def latest(value: Column, at: Column) -> Column:
     return F.max_by(value, at)
 
 
-def nearest_rank_p95(value: Column) -> Column:
-    """The ceil(0.95 n)-th value; NULL below 20 values, where it would be the maximum."""
-    return F.when(F.count(value) >= MIN_FOR_P95, ranked(value, lambda n: F.ceil(F.lit(0.95) * n)))
+Place = Callable[[Column], Column]
 
 
-def ranked(value: Column, place: Callable[[Column], Column]) -> Column:
-    """The value at a 1-based place of the sorted values, clamped to [1, n]; NULL of no values."""
-    ordered = F.array_sort(F.collect_list(value))
-    n = F.size(ordered)
-    return F.when(n > 0, F.get(ordered, F.least(F.greatest(place(n), F.lit(1)), n).cast("int") - 1))
+def nearest_rank(share: float, least: int = MIN_FOR_P95) -> Place:
+    """Place ceil(share n); none below ``least`` values, where it would be the maximum."""
+    return lambda n: F.when(n >= least, F.ceil(F.lit(share) * n))
 
 
-def rounded_rank(value: Column, p: float) -> Column:
-    """Place round(p / 100 n), half to even; 0.0 of no values."""
-    return F.coalesce(ranked(value, lambda n: F.bround(F.lit(p / 100.0) * n)), F.lit(0.0))
+def rounded_rank(p: float) -> Place:
+    """Place round(p / 100 n), half to even."""
+    return lambda n: F.bround(F.lit(p / 100.0) * n)
 
 
-def truncated_rank(value: Column, p: float) -> Column:
-    """Place int(p / 100 n); NULL of no values."""
-    return ranked(value, lambda n: F.floor(F.lit(p / 100.0) * n))
+def truncated_rank(p: float) -> Place:
+    """Place int(p / 100 n)."""
+    return lambda n: F.floor(F.lit(p / 100.0) * n)
 
 
-def spread_rank(value: Column, p: float) -> Column:
+def spread_rank(p: float) -> Place:
     """Place round(p / 100 (n - 1)) + 1, half to even."""
-    return ranked(value, lambda n: F.bround(F.lit(p / 100.0) * (n - 1)) + 1)
+    return lambda n: F.bround(F.lit(p / 100.0) * (n - 1)) + 1
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Place]) -> DataFrame:
+    """By key the values at 1-based places of the sorted values, clamped to [1, n]; keys without values have no row.
+
+    Equal values are counted first; the running counts of a key's distinct values go by a window, which
+    spills, so no task holds a key's values in an array.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    key = Window.partitionBy(*keys)
+    upto = counts.withColumn("_upto", F.sum("_n").over(key.orderBy(value))).withColumn("_all", F.sum("_n").over(key))
+    n = F.col("_all")
+    return upto.groupBy(*keys).agg(*(F.min(F.when(place(n).isNotNull() & (F.col("_upto") >= F.least(F.greatest(place(n), F.lit(1)), n)), F.col(value))).alias(name) for name, place in places.items()))
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    c = F.col(value)
-    return df.groupBy(*keys).agg(rounded_rank(c, 50).alias("p50"), rounded_rank(c, 95).alias("p95"), rounded_rank(c, 99).alias("p99"), F.coalesce(F.max(c), F.lit(0.0)).alias("max"))
+    """Rounded places and the maximum; 0.0 of no values."""
+    places = ranked_values(df, keys, value, {"p50": rounded_rank(50), "p95": rounded_rank(95), "p99": rounded_rank(99)})
+    top = df.groupBy(*keys).agg(F.max(value).alias("max"))
+    return top.join(places, list(keys), "left").select(*keys, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "p99", "max")))
 
 
 def metric_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

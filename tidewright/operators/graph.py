@@ -6,18 +6,11 @@ executors cost one round at most.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's folder; a folder of ours only where none is set (as in tests)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewright-"))
-    return df.checkpoint(eager=True)
+from ..session import cut
 
 
 def neighbours(edges: DataFrame, node: object) -> DataFrame:
@@ -53,14 +46,14 @@ def density(nodes: int, edges: int) -> float:
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable in either direction; labels jump, so rounds are few."""
-    both = _cut(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = _cut(nodes.select("node", F.col("node").alias("component")))
+    both = cut(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut(nodes.select("node", F.col("node").alias("component")))
     for _ in range(rounds):
         near = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
-        lower = _cut(lower)
+        lower = cut(lower)
         heads = lower.select(F.col("node").alias("h"), F.col("component").alias("top"))
-        jumped = _cut(lower.join(heads, F.col("component") == F.col("h"), "left").select("node", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
+        jumped = cut(lower.join(heads, F.col("component") == F.col("h"), "left").select("node", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
         labels = jumped.select("node", "component")
         if jumped.where("component <> was").isEmpty():
             return labels
@@ -73,16 +66,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Edges to unknown nodes don't count.  Peels off, round by round, the nodes without open predecessors.
     """
     known = nodes.select("node").distinct()
-    left = _cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst"))
-    open_nodes, done, level = _cut(known), None, 0
+    left = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst"))
+    open_nodes, done, level = cut(known), None, 0
     while True:
         free = open_nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti")
-        layer = _cut(free.withColumn("level", F.lit(level)))
+        layer = cut(free.withColumn("level", F.lit(level)))
         if layer.isEmpty():
             break
         done = layer if done is None else done.unionAll(layer)
-        open_nodes = _cut(open_nodes.join(layer, "node", "left_anti"))
-        left = _cut(left.join(layer.select(F.col("node").alias("src")), "src", "left_anti"))
+        open_nodes = cut(open_nodes.join(layer, "node", "left_anti"))
+        left = cut(left.join(layer.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
     rest = open_nodes.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionAll(rest)
@@ -102,15 +95,13 @@ def on_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return behind.join(ahead, "node", "left_semi")
 
 
-def reachable(edges: DataFrame, start: object, most: int = 64) -> DataFrame:
-    """Every node that can be reached from ``start`` (itself only through a cycle)."""
-    step = edges.select("src", "dst").distinct()
-    seen = front = _cut(step.where(F.col("src") == F.lit(start)).select(F.col("dst").alias("node")).distinct())
-    for _ in range(most):
-        front = _cut(front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = _cut(seen.unionAll(front))
+def reachable(edges: DataFrame, start: object) -> DataFrame:
+    """Every node that can be reached from ``start`` (itself only through a cycle); as many rounds as the longest way has steps."""
+    step = cut(edges.select("src", "dst").distinct())
+    seen = front = cut(step.where(F.col("src") == F.lit(start)).select(F.col("dst").alias("node")).distinct())
+    while not front.isEmpty():
+        front = cut(front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = cut(seen.unionAll(front))
     return seen
 
 
@@ -119,36 +110,36 @@ def creates_cycle(edges: DataFrame, src: object, dst: object) -> bool:
     return src == dst or not reachable(edges, dst).where(F.col("node") == F.lit(src)).isEmpty()
 
 
-def dominators(nodes: DataFrame, edges: DataFrame, root: object, rounds: int = 64) -> DataFrame:
+def dominators(nodes: DataFrame, edges: DataFrame, root: object) -> DataFrame:
     """(node, dominators): the nodes on every path from ``root``, by fixpoint over arrays; for service graphs.
 
     Only nodes that can be reached are listed.
     """
-    inside = _cut(reachable(edges, root).unionAll(nodes.where(F.col("node") == F.lit(root)).select("node")).distinct())
-    steps = _cut(edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("src")), "src").join(inside.select(F.col("node").alias("dst")), "dst").where(F.col("dst") != F.lit(root)))
+    inside = cut(reachable(edges, root).unionAll(nodes.where(F.col("node") == F.lit(root)).select("node")).distinct())
+    steps = cut(edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("src")), "src").join(inside.select(F.col("node").alias("dst")), "dst").where(F.col("dst") != F.lit(root)))
     # NULL stands for "all nodes", which an intersection leaves out
-    now = _cut(inside.select("node", F.when(F.col("node") == F.lit(root), F.array("node")).alias("dominators")))
-    for _ in range(rounds):
+    now = cut(inside.select("node", F.when(F.col("node") == F.lit(root), F.array("node")).alias("dominators")))
+    # a round takes each node's set closer to its final one; they only shrink, so this ends
+    while True:
         above = steps.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.collect_list("dominators").alias("all"))
         met = F.aggregate(F.slice("all", 2, 1_000_000), F.get("all", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
         known = F.col("all").isNotNull() & (F.size("all") > 0)
-        after = _cut(now.join(above, F.col("node") == F.col("dst"), "left").select("node", F.when(known, F.array_sort(F.array_union(F.array("node"), met))).otherwise(F.col("dominators")).alias("dominators"), F.col("dominators").alias("was")))
+        after = cut(now.join(above, F.col("node") == F.col("dst"), "left").select("node", F.when(known, F.array_sort(F.array_union(F.array("node"), met))).otherwise(F.col("dominators")).alias("dominators"), F.col("dominators").alias("was")))
         if after.where(~F.col("dominators").eqNullSafe(F.col("was"))).isEmpty():
             return after.select("node", "dominators")
         now = after.select("node", "dominators")
-    raise RuntimeError("dominators have not settled")
 
 
-def valid_chain(jobs: DataFrame, target: object, most: int = 100) -> DataFrame:
-    """Walks parent links from a job to its root: (step, job_id, problem); NULL problem: the link is sound.
+def valid_chain(jobs: DataFrame, target: object) -> DataFrame:
+    """Walks parent links from a job to its root, however many: (step, job_id, problem); NULL problem: the link is sound.
 
     Jobs: job_id, parent_id, kind, status.
     """
     root, sound = F.col("kind").isin("full", "snapshot", "continuous"), F.col("status").isin("completed", "verified")
     front, out = jobs.where(F.col("job_id") == F.lit(target)).withColumn("step", F.lit(0)).withColumn("seen", F.array("job_id")), None
-    for k in range(most):
+    while True:  # a repeated job is a problem, so this ends
         problem = F.when(~sound, "not_completed").when(~root & F.col("parent_id").isNull(), "no_parent").when(F.array_contains("seen", F.col("parent_id")), "cycle")
-        here = _cut(front.withColumn("problem", problem))
+        here = cut(front.withColumn("problem", problem))
         out = here if out is None else out.unionByName(here)
         ahead = here.where(problem.isNull() & ~root).select("parent_id", "seen", "step")
         if ahead.isEmpty():
@@ -178,14 +169,15 @@ def self_times(spans: DataFrame) -> DataFrame:
     return spans.join(busy, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("blocking_time", F.lit(0)).alias("blocking_time"), (F.col("duration") - F.coalesce("blocking_time", F.lit(0))).alias("self_time"))
 
 
-def critical_path(spans: DataFrame, most: int = 64) -> DataFrame:
+def critical_path(spans: DataFrame) -> DataFrame:
     """(trace_id, depth, span_id): from each root to its last-finishing blocking child, and so on; ties by id."""
     end = F.col("start_at") + F.col("duration")
     last = spans.where("blocking and parent_span_id is not null").groupBy("trace_id", "parent_span_id").agg(F.max(F.struct(end.alias("e"), F.col("span_id"))).alias("m")).select(F.col("trace_id").alias("t"), F.col("parent_span_id").alias("p"), F.col("m.span_id").alias("child"))
-    front = _cut(spans.where("parent_span_id is null").select("trace_id", F.lit(0).alias("depth"), "span_id"))
-    out = front
-    for d in range(1, most):
-        front = _cut(front.join(last, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("p"))).select("trace_id", F.lit(d).alias("depth"), F.col("child").alias("span_id")))
+    front = cut(spans.where("parent_span_id is null").select("trace_id", F.lit(0).alias("depth"), "span_id"))
+    out, d = front, 0
+    while True:  # each span has one parent, and roots have none, so no span comes twice
+        d += 1
+        front = cut(front.join(last, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("p"))).select("trace_id", F.lit(d).alias("depth"), F.col("child").alias("span_id")))
         if front.isEmpty():
             break
         out = out.unionAll(front)

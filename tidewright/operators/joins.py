@@ -27,11 +27,34 @@ def correlate(alerts: DataFrame, candidates: DataFrame, window: int) -> DataFram
     """Each alert's parent: among candidates within the window before it, those that share a reference value first,
     then the most severe, then the latest, then the smallest id.
 
-    Columns of both: id, at, rank (0 most severe), refs (array of reference values).
+    Columns of both: id, at, rank (0 most severe), refs (array of reference values).  No pairs are made:
+    of each severity only the latest candidate before an alert can be its parent (or the one before
+    that, if the latest is the alert itself), and a running maximum over window-wide buckets finds it,
+    once among all candidates and once among those of each reference value.
     """
-    pairs = range_join(alerts, candidates, [], "at", "at", window).where("id <> r_id").withColumn("shared", F.arrays_overlap("refs", "r_refs"))
-    best = F.struct((~F.coalesce("shared", F.lit(False))).alias("apart"), F.col("r_rank"), (-seconds(F.col("r_at"))).alias("ago"), F.col("r_id"))
-    return pairs.groupBy("id").agg(F.min(best).alias("b")).select("id", F.col("b.r_id").alias("parent_id"), F.when(F.col("b.apart"), "time").otherwise("dependency").alias("kind"))
+    from pyspark.sql import Window
+
+    ranks = sorted(r[0] for r in candidates.select("rank").distinct().collect())  # severities are few
+    bucket = F.floor(seconds(F.col("at")) / window).cast("long")
+
+    def latest(apart: bool) -> DataFrame:
+        keys = ["bucket"] if apart else ["bucket", "ref"]
+        # a candidate serves its own bucket and the next one
+        own = candidates.select("id", "at", "rank", *([] if apart else [F.explode("refs").alias("ref")])).withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+        before = Window.partitionBy(*keys, "rank").orderBy("at", F.desc("id"))
+        one = F.struct("at", "id")
+        known = own.withColumn("c", F.struct(one.alias("last"), F.lag(one).over(before).alias("prior"))).select(*keys, "at", "id", F.lit(0).alias("side"), "rank", "c")
+        asked = alerts.select("id", "at", *([] if apart else [F.explode(F.array_distinct("refs")).alias("ref")])).withColumn("bucket", bucket).select(*keys, "at", "id", F.lit(1).alias("side"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast(known.schema["c"].dataType).alias("c"))
+        upto = Window.partitionBy(*keys).orderBy("at", "side", F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = known.unionByName(asked).select("id", "at", "side", *(F.last(F.when(F.col("rank") == r, F.col("c")), ignorenulls=True).over(upto).alias(f"c{k}") for k, r in enumerate(ranks)))
+        options = [F.when(F.col(f"c{k}.last.id") == F.col("id"), F.col(f"c{k}.prior")).otherwise(F.col(f"c{k}.last")) for k in range(len(ranks))]
+        found = [F.when(seconds(F.col("at")) - seconds(o["at"]) <= window, F.struct(F.lit(apart).alias("apart"), F.lit(r).alias("rank"), (-seconds(o["at"])).alias("ago"), o["id"].alias("r_id"))) for o, r in zip(options, ranks)]
+        return both.where("side = 1").select("id", F.coalesce(*found).alias("b") if found else F.lit(None)).where("b is not null")
+
+    if not ranks:
+        return alerts.select("id", F.col("id").alias("parent_id"), F.lit("time").alias("kind")).limit(0)
+    best = latest(True).unionByName(latest(False)).groupBy("id").agg(F.min("b").alias("b"))
+    return best.select("id", F.col("b.r_id").alias("parent_id"), F.when(F.col("b.apart"), "time").otherwise("dependency").alias("kind"))
 
 
 def asof_join(requests: DataFrame, points: DataFrame, keys: Sequence[str], requested_at: str, available_at: str, point: str) -> DataFrame:
@@ -56,19 +79,24 @@ def restore_refusal(found_at: Column, first_at: Column, expires_at: Column, now:
     return F.when(first_at.isNull(), "no_points_available").when(found_at.isNull(), "requested_before_earliest").when(F.coalesce(expires_at <= now, F.lit(False)), "point_expired")
 
 
-def interval_join(df: DataFrame, key: str, ident: str, start: str, end: str, slack: float = 0.0, width: float = 86400.0) -> DataFrame:
+def interval_join(df: DataFrame, key: str, ident: str, start: str, end: str, slack: float = 0.0, width: float | None = None) -> DataFrame:
     """Pairs of one key whose intervals, the first padded by ``slack`` seconds, overlap strictly; each pair once.
 
-    Intervals go to the ``width``-second buckets they touch; a pair is kept only in the bucket where
-    the later of both starts lies, so an overlap of many buckets is found once.
+    Two intervals overlap just if the later start lies inside the other one: starts go to one bucket each,
+    intervals to the buckets that they touch.  A bucket is as wide as the median interval, unless given,
+    so most intervals touch two.
     """
-    s, e = seconds(F.col(start)) - slack, seconds(F.col(end)) + slack
-    spread = df.withColumn("s", s).withColumn("e", e).withColumn("bucket", F.explode(F.sequence(F.floor(s / width), F.floor(e / width))))
-    left, right = spread.alias("a"), spread.alias("b")
-    later = F.floor(F.greatest(F.col("a.s"), F.col("b.s") + slack) / width)
-    meets = (F.col("a.s") < F.col("b.e") - slack) & (F.col("b.s") + slack < F.col("a.e"))
-    pairs = left.join(right, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
-    return pairs.where(meets & (F.col("a.bucket") == later)).select(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias("left_id"), F.col(f"b.{ident}").alias("right_id"))
+    s, e = seconds(F.col(start)), seconds(F.col(end))
+    if width is None:
+        width = max(1.0, float(df.agg(F.percentile_approx(e - s, 0.5)).first()[0] or 0.0) + 2 * slack)
+    spans = df.select(F.col(key).alias("k"), F.col(ident).alias("i"), s.alias("s"), e.alias("e"))
+    # what lies in the reach of an interval's padding counts as well
+    held = spans.select("k", F.col("i").alias("hi"), F.col("s").alias("hs"), F.col("e").alias("he"), F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") + slack) / width))).alias("bucket"))
+    points = spans.withColumn("bucket", F.floor(F.col("s") / width))
+    # the later start (equal starts: the larger id) lies in the other interval
+    later = (F.col("s") > F.col("hs")) | ((F.col("s") == F.col("hs")) & (F.col("i") > F.col("hi")))
+    pairs = held.join(points, ["k", "bucket"]).where(later & (F.col("hi") != F.col("i")) & (F.col("s") < F.col("he") + slack) & (F.col("hs") - slack < F.col("e")))
+    return pairs.select(F.col("k").alias(key), F.least("hi", "i").alias("left_id"), F.greatest("hi", "i").alias("right_id"))
 
 
 def conflict_kinds(schedule: Column, sides: Sequence[tuple[str, Column, Column]]) -> Column:

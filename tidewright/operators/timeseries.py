@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import seconds
-from .aggregates import REDUCERS, nearest_rank_p95
+from .aggregates import REDUCERS, nearest_rank, ranked_values
 
 
 def downsample(df: DataFrame, keys: Sequence[str], at: str, value: str, width: int, function: str) -> DataFrame:
@@ -24,9 +24,9 @@ def grid(df: DataFrame, keys: Sequence[str], at: str, value: str, width: int, or
     half-open window is marked.
     """
     index = F.floor((seconds(F.col(at)) - F.lit(origin)) / width).cast("long")
-    full = df.withColumn("bucket", index).groupBy(*keys, "bucket").agg(
-        F.count(value).alias("samples"), F.max(value).alias("peak"), F.avg(value).alias("mean"), F.min(value).alias("minimum"), nearest_rank_p95(F.col(value)).alias("p95")
-    )
+    dealt = df.withColumn("bucket", index)
+    full = dealt.groupBy(*keys, "bucket").agg(F.count(value).alias("samples"), F.max(value).alias("peak"), F.avg(value).alias("mean"), F.min(value).alias("minimum"))
+    full = full.join(ranked_values(dealt, [*keys, "bucket"], value, {"p95": nearest_rank(0.95)}), [*keys, "bucket"], "left")
     # the span comes from the buckets, which are far fewer than the samples
     span = full.groupBy(*keys).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
     every = span.select(*keys, F.explode(F.sequence("low", "high")).alias("bucket"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scoring import seconds
 
@@ -91,19 +93,26 @@ def onsets(df: DataFrame, keys: Sequence[str], at: str, ident: str, window_start
 def resolution_groups(df: DataFrame, keys: Sequence[str], at: str, ident: str, tolerance: float) -> DataFrame:
     """Groups that begin at an anchor and take what follows within ``tolerance`` seconds of it (not of each other).
 
-    A fold over the sorted times of one key; (key, id, group, size of the group).
+    (key, id, group, size of the group).  Rows stream by key and time through a task that remembers one
+    anchor, so no key's history is gathered.
     """
-    ordered = df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seconds(F.col(at)).alias("t"), F.col(ident).alias("i")))).alias("xs"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(float("-inf")).alias("anchor"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["t"] - acc["anchor"] > tolerance
-        g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(g.alias("g"), F.when(new, x["t"]).otherwise(acc["anchor"]).alias("anchor"), F.array_append(acc["out"], g).alias("out"))
-
-    numbered = ordered.withColumn("gs", F.aggregate("xs", start, step)["out"]).select(*keys, F.explode(F.arrays_zip("xs", "gs")).alias("z"))
-    out = numbered.select(*keys, F.col("z.xs.i").alias(ident), F.col("z.gs").alias("group_no"))
-    return out.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy(*keys, "group_no")))
+    t, rows = "_t", df.where(F.col(at).isNotNull())
+    narrow = rows.select(*keys, ident, seconds(F.col(at)).alias(t)).repartition(*keys).sortWithinPartitions(*keys, t, ident)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, anchor, group = None, 0.0, 0
+        for batch in batches:
+            out = []
+            for key, moment in zip(zip(*(batch[k] for k in keys)), batch[t]):
+                if key != now:
+                    now, anchor, group = key, moment, 0
+                elif moment - anchor > tolerance:
+                    anchor, group = moment, group + 1
+                out.append(group)
+            yield batch.drop(columns=t).assign(group_no=np.array(out, np.int32))
+
+    numbered = narrow.mapInPandas(number, T.StructType([*(narrow.schema[c] for c in (*keys, ident)), T.StructField("group_no", T.IntegerType())]))
+    return numbered.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy(*keys, "group_no")))
 
 
 def assign(roster: DataFrame, keys: Sequence[str], required: Sequence[str], prefer_on_call: bool = True) -> DataFrame:

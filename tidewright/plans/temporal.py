@@ -28,7 +28,7 @@ def downsample_anchored(spark: SparkSession, sf: str) -> DataFrame:
 
 GRID = """
 WITH b AS (SELECT event_type, user_id % 5 AS shard, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS bucket, count(value) AS samples, max(value) AS peak,
-  CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END AS p95 FROM events WHERE user_id % 7 = 0 GROUP BY ALL),
+  CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END AS p95 FROM events GROUP BY ALL),
 g AS (SELECT event_type, shard, unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM b GROUP BY event_type, shard),
 p AS (SELECT event_type, shard, bucket, coalesce(samples, 0) AS samples, peak, p95, bucket * 21600 < 1704758400 AND 1704672000 < bucket * 21600 + 21600 AS excluded,
   least(1.0, coalesce(samples, 0) / 6.0) AS coverage FROM g LEFT JOIN b USING (event_type, shard, bucket))
@@ -36,7 +36,7 @@ p AS (SELECT event_type, shard, bucket, coalesce(samples, 0) AS samples, peak, p
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).where("user_id % 7 = 0").withColumn("shard", F.col("user_id") % 5)
+    e = events(spark, sf).withColumn("shard", F.col("user_id") % 5)
     return TS.grid(e, ["event_type", "shard"], "ts", "value", 21600, cadence=3600, excluded=[(1704672000.0, 1704758400.0)])
 
 
@@ -62,8 +62,10 @@ SELECT user_id, CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END
 FROM events GROUP BY user_id
 """)
 def percentile_variants(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return events(spark, sf).groupBy("user_id").agg(A.nearest_rank_p95(v).alias("nearest"), F.round(F.percentile(v, 0.95), 6).alias("linear"), A.rounded_rank(v, 95).alias("rounded"), A.truncated_rank(v, 95).alias("truncated"), A.spread_rank(v, 95).alias("spread"))
+    e = events(spark, sf)
+    linear = e.groupBy("user_id").agg(F.round(F.percentile("value", 0.95), 6).alias("linear"))
+    places = {"nearest": A.nearest_rank(0.95), "rounded": A.rounded_rank(95), "truncated": A.truncated_rank(95), "spread": A.spread_rank(95)}
+    return linear.join(A.ranked_values(e, ["user_id"], "value", places), "user_id", "left")
 
 
 @query("""
@@ -183,11 +185,11 @@ def autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT event_type, event_id, value / 1000 AS p FROM events WHERE event_id < 200), s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) + 1) * p) AS s FROM p)
+WITH p AS (SELECT event_type, event_id, value / 1000 AS p FROM events), s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) + 1) * p) AS s FROM p)
 SELECT event_type, event_id, round(max(s) OVER (PARTITION BY event_type ORDER BY p, event_id ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM s
 """)
 def holm_adjusted(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).where("event_id < 200").select("event_type", "event_id", (F.col("value") / 1000).alias("p"))
+    e = events(spark, sf).select("event_type", "event_id", (F.col("value") / 1000).alias("p"))
     return ST.holm(e, ["event_type"], "p", "event_id").select("event_type", "event_id", F.round("adjusted", 9).alias("adjusted"))
 
 
@@ -241,13 +243,13 @@ def signal_onsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id <= 30),
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 w AS (SELECT user_id, event_id, r, t AS anchor, 0 AS g FROM e WHERE r = 1 UNION ALL
   SELECT e.user_id, e.event_id, e.r, CASE WHEN e.t - w.anchor > 86400 THEN e.t ELSE w.anchor END, CASE WHEN e.t - w.anchor > 86400 THEN g + 1 ELSE g END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
 SELECT user_id, event_id, g AS group_no, count(*) OVER (PARTITION BY user_id, g) AS members FROM w
 """)
 def resolution_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return WN.resolution_groups(events(spark, sf).where("user_id <= 30"), ["user_id"], "ts", "event_id", 86400)
+    return WN.resolution_groups(events(spark, sf), ["user_id"], "ts", "event_id", 86400)
 
 
 @query("""
@@ -362,13 +364,13 @@ def quota_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders WHERE o_custkey <= 200), u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS w, CAST(price * 100 AS BIGINT) AS c FROM lineitem JOIN o ON o_orderkey = l_orderkey),
+WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders), u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS w, CAST(price * 100 AS BIGINT) AS c FROM lineitem JOIN o ON o_orderkey = l_orderkey),
 e AS (SELECT *, c * w AS x, CAST(sum(w) OVER (PARTITION BY l_orderkey) AS BIGINT) AS t FROM u), f AS (SELECT *, x // t AS fl, x % t AS rest FROM e),
 k AS (SELECT *, c - sum(fl) OVER (PARTITION BY l_orderkey) AS short, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber, l_partkey, l_suppkey) AS p FROM f)
 SELECT l_orderkey, l_linenumber, CAST((fl + CASE WHEN p <= short THEN 1 ELSE 0 END) AS BIGINT) AS cents FROM k
 """)
 def money_split(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where("o_custkey <= 200").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    o = load(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
     lines = load(spark, sf, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("line", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     return money.split_money(lines, ["l_orderkey"], "price", "l_quantity", "line").select("l_orderkey", "l_linenumber", (F.col("share") * 100).cast("long").alias("cents"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -18,6 +20,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt to all cores if it comes in fewer partitions: for dear work over the rows of a small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where all tasks run on this machine."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    path = context.getConf().get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+    if not found.isDefined():
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder: later rounds of an iteration don't carry the earlier ones' plans."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def tenant_scope(df: DataFrame, organization: Column, organization_id: object, project: Column | None = None, project_id: object = None, super_admin: bool = False) -> DataFrame:
     """Rows of one organisation (and project); only a super admin may leave the organisation out."""
     if super_admin:

@@ -1,10 +1,8 @@
-"""Row files: CSV and JSON by Spark's readers, YAML by a Python data source, reports in several formats."""
+"""Row files: CSV and JSON by Spark's readers, reports in several formats."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -39,60 +37,6 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-SCALAR = re.compile(r"^(?:(true|false)|(null|~|)|(-?\d+)|(-?\d+\.\d*(?:[eE][-+]?\d+)?))$")
-
-
-def yaml_scalar(text: str) -> object:
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
-        return json.loads(text) if text[0] == '"' else text[1:-1].replace("''", "'")
-    m = SCALAR.match(text)
-    if not m:
-        return text
-    if m[1]:
-        return m[1] == "true"
-    return None if m[2] is not None else int(m[3]) if m[3] else float(m[4])
-
-
-def yaml_rows(text: str) -> list[dict[str, object]]:
-    """A sequence of flat mappings; an empty document has no rows; anything else is an error."""
-    rows: list[dict[str, object]] = []
-    for number, line in enumerate(text.splitlines(), 1):
-        body = line.rstrip()
-        if not body.strip() or body.lstrip().startswith("#") or body.strip() in ("---", "...", "[]"):
-            continue
-        if body.startswith("- "):
-            rows.append({})
-            body = body[2:]
-        elif not body.startswith("  ") or not rows:
-            raise ValueError(f"line {number}: a YAML source must be a sequence of mappings")
-        key, colon, value = body.strip().partition(":")
-        if not colon:
-            raise ValueError(f"line {number}: a YAML source must be a sequence of mappings")
-        rows[-1][str(yaml_scalar(key))] = yaml_scalar(value)
-    return rows
-
-
-def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of YAML files, one file a task at most; values go through JSON into the schema."""
-    import pandas as pd
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame({"value": [json.dumps(r) for r in yaml_rows(bytes(content).decode("utf-8-sig"))]}, dtype="object")
-
-    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "value string")
-    return texts.select(F.from_json("value", schema).alias("r")).select("r.*")
-
-
-def write_yaml(df: DataFrame, path: str) -> None:
-    """A mapping for each row; values are written as JSON, which YAML reads."""
-    fields = [F.concat(F.lit("- " if k == 0 else "  "), F.lit(json.dumps(c)), F.lit(": "), F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null"))) for k, c in enumerate(df.columns)]
-    filled = [F.when(F.endswith(f, F.lit(": ")), F.concat(f, F.lit("null"))).otherwise(f) for f in fields]
-    df.select(F.concat_ws("\n", *filled).alias("value")).write.mode("overwrite").text(path)
-
-
 def html_cell(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))

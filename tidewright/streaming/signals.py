@@ -5,7 +5,7 @@ The same functions take batch and streaming DataFrames wherever Spark allows tha
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -112,37 +112,22 @@ def adaptive_ratio(df: DataFrame, at: str, target_per_second: float) -> DataFram
     return df.groupBy(F.window(at, "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("second"), F.least(F.lit(1.0), F.lit(target_per_second) / F.col("n")).alias("ratio"))
 
 
-class Dispatcher:
-    """Handlers by event name in order of priority; a batch goes to all, failures are collected."""
+def fan_out(batch: DataFrame, handlers: Sequence[tuple[int, Column | str, Callable[[DataFrame], None]]]) -> list[Exception]:
+    """Each handler (priority, predicate, function) gets the rows it asks for, highest priority first; failures are collected.
 
-    def __init__(self) -> None:
-        self.handlers: list[tuple[int, int, str, Callable[[DataFrame], None], Column | str | None]] = []
-
-    def register(self, name: str, handler: Callable[[DataFrame], None], priority: int = 0, predicate: Column | str | None = None) -> None:
-        self.handlers.append((-priority, len(self.handlers), name, handler, predicate))
-
-    def dispatch(self, batch: DataFrame, name_column: str = "event_type") -> list[tuple[str, Exception]]:
-        failed: list[tuple[str, Exception]] = []
-        batch.persist()
-        try:
-            for _, _, name, handler, predicate in sorted(self.handlers, key=lambda h: h[:2]):
-                rows = batch.where(F.col(name_column) == name)
-                try:
-                    handler(rows if predicate is None else rows.where(predicate))
-                except Exception as problem:  # noqa: BLE001  a handler's failure must not keep the others from running
-                    failed.append((name, problem))
-        finally:
-            batch.unpersist()
-        return failed
-
-    def attach(self, stream: DataFrame, checkpoint: str, **options: Any) -> Any:
-        """Runs the handlers for each micro-batch."""
-
-        def each(batch: DataFrame, _: int) -> None:
-            if failed := self.dispatch(batch):
-                raise RuntimeError(f"{len(failed)} handlers failed: {failed[0]}")
-
-        return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
+    For ``foreachBatch``: the batch is read once for all of them.
+    """
+    failed: list[Exception] = []
+    batch.persist()
+    try:
+        for _, predicate, handle in sorted(handlers, key=lambda h: -h[0]):
+            try:
+                handle(batch.where(predicate))
+            except Exception as problem:  # noqa: BLE001  a handler's failure must not keep the others from running
+                failed.append(problem)
+    finally:
+        batch.unpersist()
+    return failed
 
 
 def snapshot_then_updates(current: DataFrame, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> Any:
@@ -151,9 +136,12 @@ def snapshot_then_updates(current: DataFrame, stream: DataFrame, sink: Callable[
     return stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame], None]) -> None:
-    """Runs a stream over all that is there, batch by batch, and waits for it."""
-    stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream over all that is there, batch by batch, and waits for it.
+
+    The sink gets a batch and its number, which is the same again if a restart repeats the batch.
+    """
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def transitions(df: DataFrame, allowed: Mapping[str, list[str]], current: str, target: str) -> DataFrame:
