@@ -99,6 +99,12 @@ def interval_join(df: DataFrame, key: str, ident: str, start: str, end: str, sla
     return pairs.select(F.col("k").alias(key), F.least("hi", "i").alias("left_id"), F.greatest("hi", "i").alias("right_id"))
 
 
+def overlapping_entries(df: DataFrame, starts_at: str, ends_at: str, until: str, start: Column, end: Column, kind: Column | None = None) -> DataFrame:
+    """Calendar entries that could touch a range: begun before its end and, with their recurrence, not over before its start."""
+    found = df.where((F.col(starts_at) < end) & (F.coalesce(F.col(until), F.col(ends_at)) >= start))
+    return found if kind is None else found.where(kind)
+
+
 def conflict_kinds(schedule: Column, sides: Sequence[tuple[str, Column, Column]]) -> Column:
     """The kinds of conflict of an overlapping pair: the schedule, and each dimension with a shared value."""
     return F.array_compact(F.array(F.when(schedule, F.lit("schedule")), *(F.when(schedule & F.arrays_overlap(a, b), F.lit(kind)) for kind, a, b in sides)))

@@ -148,6 +148,26 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block: in
     return top_per_query(reduce(DataFrame.unionByName, parts), k, ident).withColumn("score", F.greatest(F.lit(0.0), "score"))
 
 
+def search_keyword(chunks: DataFrame, terms: Sequence[str], text: str, owners: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """Chunks that hold any of the terms, in any case; with ``owners`` only those of the documents listed there."""
+    if not terms:
+        return chunks.limit(0)
+    found = chunks.where(reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(t.lower())) for t in terms)))
+    return found if owners is None else found.join(owners.select(key), key, "left_semi")
+
+
+def search_text(df: DataFrame, text: str, query: str, mode: str, least: float = 0.3) -> DataFrame:
+    """Rows by ``contains`` (any case), ``words`` (all of the query's words) or ``trigram`` (similarity above ``least``)."""
+    c = F.col(text)
+    if mode == "contains":
+        return df.where(F.contains(F.lower(c), F.lit(query.lower())))
+    if mode == "words":
+        return df.where(F.size(F.array_except(search_tokens(F.lit(query)), search_tokens(c))) == 0)
+    if mode == "trigram":
+        return df.withColumn("similarity", trigram_similarity(c, F.lit(query))).where(F.col("similarity") > least)
+    raise ValueError(f"unknown search mode {mode}")
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all trigrams of the padded lower-case texts."""
 

@@ -89,6 +89,30 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return sized.join(slopes, list(keys)).groupBy(*keys, "slope").agg(F.median(F.col(y) - F.col("slope") * F.col(x)).alias("intercept"))
 
 
+MIN_FOR_RESIDUALS = 20
+
+
+def residual_interval(df: DataFrame, fit: DataFrame, keys: Sequence[str], x: str, y: str, at: float, confidence: float) -> DataFrame:
+    """Around a Theil-Sen prediction at ``at`` the band of the residuals' quantiles; keys of under 20 points (this library's bound) have none."""
+    rows = df.join(fit, list(keys)).withColumn("_e", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    band = rows.groupBy(*keys, "slope", "intercept").agg(F.count(F.lit(1)).alias("n"), F.percentile("_e", low).alias("_l"), F.percentile("_e", high).alias("_h")).where(F.col("n") >= MIN_FOR_RESIDUALS)
+    mid = F.col("slope") * at + F.col("intercept")
+    return band.select(*keys, "n", mid.alias("predicted"), (mid + F.col("_l")).alias("lower"), (mid + F.col("_h")).alias("upper"))
+
+
+def exhaustion(fit: DataFrame, now: float, ceiling: float) -> DataFrame:
+    """Buckets from ``now`` until the fitted line reaches a ceiling: 0 if it is there, NULL if it never will be; with a refusal where nothing was fitted well."""
+    value = F.col("intercept") + F.col("slope") * now
+    left = F.when(value >= ceiling, 0.0).when(F.col("slope") > 0, (ceiling - value) / F.col("slope"))
+    return fit.withColumn("current_value", value).withColumn("buckets_left", left).withColumn("refusal", F.when(F.col("fit_class") == "constant", "constant_series").when(F.col("slope") <= 0, "not_growing"))
+
+
+def expected_false_positives(comparisons: Column, level: float = 0.01) -> Column:
+    """How many of so many comparisons look significant by chance."""
+    return comparisons * level
+
+
 def variance_inflation(rho: Column, least: float = 0.2, cap: float = 0.9) -> Column:
     """sqrt((1 + r) / (1 - r)), r capped at 0.9; 1 below 0.2 (this library's bound) or unmeasured."""
     r = F.least(rho, F.lit(cap))

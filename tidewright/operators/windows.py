@@ -115,6 +115,33 @@ def resolution_groups(df: DataFrame, keys: Sequence[str], at: str, ident: str, t
     return numbered.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy(*keys, "group_no")))
 
 
+def validation_backlog(df: DataFrame, validated: str, expires_at: str, now: Column, order: Sequence[Column]) -> DataFrame:
+    """What isn't validated and hasn't expired, newest first by ``order``."""
+    return df.where(~F.coalesce(F.col(validated), F.lit(False)) & ~F.coalesce(now >= F.col(expires_at), F.lit(False))).orderBy(*order)
+
+
+def timeline(df: DataFrame, keys: Sequence[str], at: str, ident: str, censored: str, tolerance: float) -> DataFrame:
+    """(key, id, censored, unplaceable, group_no, members): onsets with a time in resolution groups, the rest kept visible."""
+    groups = resolution_groups(df, keys, at, ident, tolerance)
+    marked = df.select(*keys, ident, F.col(censored).alias("censored"), (F.col(at).isNull() & ~F.col(censored)).alias("unplaceable"))
+    return marked.join(groups, [*keys, ident], "left")
+
+
+def resolved_configuration(df: DataFrame, keys: Sequence[str], platform: str, environment: str, enabled: str, order: str, value: str, *, on: str, within: str) -> DataFrame:
+    """By key the value in force: enabled entries of the environment; those of the platform beat those of none, later ones earlier ones."""
+    fitting = df.where(F.col(enabled) & (F.col(environment) == within) & (F.col(platform).isNull() | (F.col(platform) == on)))
+    return fitting.groupBy(*keys).agg(F.max_by(value, F.struct(F.col(platform).isNotNull(), F.col(order))).alias("value"))
+
+
+def chosen_instances(df: DataFrame, keys: Sequence[str], ident: str, healthy: str, circuit_open: str, connections: str, counter: int) -> DataFrame:
+    """By service, of the healthy instances behind closed circuits: the least loaded (ties by id) and the round-robin's next."""
+    viable = df.where(F.col(healthy) & ~F.col(circuit_open))
+    least = viable.groupBy(*keys).agg(F.min(F.struct(connections, ident)).alias("l"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(ident)) - 1
+    turn = viable.withColumn("_p", place).join(least, list(keys)).where(F.col("_p") == F.lit(counter) % F.col("n"))
+    return turn.select(*keys, F.col(f"l.{ident}").alias("least_connections"), F.col(ident).alias("round_robin"))
+
+
 def assign(roster: DataFrame, keys: Sequence[str], required: Sequence[str], prefer_on_call: bool = True) -> DataFrame:
     """By key the responder: on call, else with all skills, else anyone available; least loaded, then id.
 
