@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each over all that its predecessor kept."""
+"""From raw documents to packed sequences: five stages, each over all that its predecessor kept.
+
+Defined results: rows are judged one by one, so repeated rows and ids that several texts share are fine;
+null texts go in the first stage; a null doc_id is kept like any other until its group of near copies
+has a row with an id; an empty table stays empty; extra columns, whatever their names, are carried
+along up to packing.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +21,12 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, or no letter) go."""
+    """Documents without a sure language (null text, no letter, or a score under the operator's bound) go; a null ``lang`` gets the predicted one."""
     return language_id.with_language(docs, language_id.train(docs.where(fold(docs["doc_id"], 4) != 2)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
+    """One row of each group of near copies stays: the one with the smallest id."""
     return simhash_dedup.without_copies(docs)
 
 

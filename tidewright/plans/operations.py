@@ -78,7 +78,7 @@ WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT do
 """)
 def word_batches(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("b")
-    return load(spark, sf, "documents").withColumn("b", J.batches_of(F.split("text", " "), 7)).select("doc_id", F.size(b).cast("long").alias("batches"), F.size(F.element_at(b, -1)).cast("long").alias("last_size"), F.size(F.flatten(b)).cast("long").alias("flat"), F.size(F.array_distinct(F.flatten(b))).cast("long").alias("once"))
+    return load(spark, sf, "documents").withColumn("w", F.split("text", " ")).withColumn("b", J.batches_of(F.col("w"), 7)).select("doc_id", F.size(b).cast("long").alias("batches"), F.size(F.element_at(b, -1)).cast("long").alias("last_size"), F.size(F.flatten(b)).cast("long").alias("flat"), F.size(F.array_distinct(F.flatten(b))).cast("long").alias("once"))
 
 
 @query("""
