@@ -388,3 +388,51 @@ def test_pipeline_stages(spark, sf_dir):
     assert ids[2][1] == ids[2][0] - bad
     packed = C.run(spark, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids[3][1]
+
+
+def test_pipeline_like_plain_python(spark, odd, odd_rows, none, tmp_path):
+    """Every stage against a plain version: repeated ids with equal and other texts, null ids, clashing columns, an empty table."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as C
+    from tidewright.llm import decontaminate, language_id, secret_scan
+    from tidewright.llm.common import fold, written
+
+    passage = "these thirteen words are one item of a test and must not be left anywhere"
+    other = " ".join(f"word{k}" for k in range(400))
+    more = [(5, f"{odd_rows[5][1]} and so on", None, "s", 1, "", 0, "", "", 0.0, ""), (5, odd_rows[7][1], "en", "s", 1, "", 0, "", "", 0.0, ""), (6000, passage, "en", "s", 1, "", 0, "", "", 0.0, ""), (6001, f"{other} {passage} {other}", "en", "s", 7, "", 0, "", "", 0.0, ""), (6002, f"{other} the token is qWeRtYuIoPaSdFgHjKlZ", "en", "s", 7, "", 0, "", "", 0.0, "")]
+    docs = odd.unionAll(spark.createDataFrame(more, odd.schema)).repartition(3)
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = language_id.train(docs.where(fold(docs["doc_id"], 4) != 2))
+    automaton, crf = decontaminate.Automaton([("1", decontaminate.words_of(passage))]), secret_scan.default_model()
+
+    def plain(stage, rows):
+        if stage == "language_id":
+            found = [(r, language_id.predict(model, r.text)) for r in rows]
+            return Counter((r.doc_id, r.text, r.lang or lang) for r, (lang, sure) in found if lang != "und" and sure >= language_id.SURE)
+        if stage == "simhash_dedup":
+            return kept_by_hand([(r.doc_id, r.text) for r in rows])
+        if stage == "decontamination":
+            spans = [(r, automaton.hits(decontaminate.words_of(r.text))[0]) for r in rows]
+            return Counter((r.doc_id, decontaminate.clean_text(r.text, s)) for r, s in spans if not s or 20 * sum(b - a for a, b in s) < len(decontaminate.words_of(r.text)))
+        return Counter((r.doc_id, secret_scan.masked(r.text, secret_scan.all_spans(r.text, crf), "[SECRET]")) for r in rows)
+
+    for start in (docs, none):
+        now = start
+        for name, stage in C.STAGES[:-1]:
+            out = written(stage(spark, now, str(tmp_path)), "test-stage")
+            assert out.columns == start.columns
+            want, rows = plain(name, now.collect()), out.collect()
+            if name == "language_id":
+                assert Counter((r.doc_id, r.text, r.lang) for r in rows) == want
+            elif name == "simhash_dedup":
+                assert sorted((r.doc_id is None, r.doc_id or 0, fingerprint_by_hand(r.text)) for r in rows) == want
+            else:
+                assert Counter((r.doc_id, r.text) for r in rows) == want
+            now = out
+        packed = C.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in now.collect())
+        if start is docs:
+            left = {r.doc_id: r.text for r in now.collect()}
+            assert 6000 not in left and passage not in left[6001] and "qWeRtY" not in left[6002] and left[6001].startswith("word0")
+            assert {5, 6001, 6002} <= left.keys() and now.where(F.col("doc_id") == 5).count() >= 2
