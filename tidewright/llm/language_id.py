@@ -14,7 +14,7 @@ of weights for each family and each pair of a family's languages), not with the
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without any labelled
 row every text is ``und``; one learned language is predicted for all with score 1; extra columns
-are ignored.  ``with_language`` keeps the rows whose language is sure by ``SURE`` or more (so never
+are ignored.  ``with_language`` keeps the rows whose language is sure by ``SURE``, a coin's throw on each level, or more (so never
 ``und``), and writes the prediction where ``lang`` is null; an empty table stays empty.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ship
 
-BITS, PER_LANG, EPOCHS, SURE = 15, 600, 12, 0.5
+BITS, PER_LANG, EPOCHS, SURE = 15, 600, 12, 0.25
 PIECE = 1 << 18
 #: The families of languages; any other language is a family of its own.
 FAMILIES = {
