@@ -38,11 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fold, ship, written
 
+MAX_BROADCAST_BLOCKS = 4_000_000
 BLOCK_TOKENS, PART_TOKENS, BUCKETS, ROUNDS, GRAIN = 1_000_000, 4_000_000, 24, 40, 4
 #: Folds of the ids: one is tested, one of the others is held out for the weights.
 PARTS, TESTED, HELD = 5, 1, 0
@@ -50,8 +51,8 @@ COUNTED_ROLE, HELD_ROLE, TESTED_ROLE = 0, 1, 2
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b"\n"
 BLOCK = "block long, role int, n_tokens long, doc_ids array<long>, lengths binary, words binary, tokens binary"
-REQUEST = "part int, block long, role int, words binary, word_counts binary, pairs binary, pair_counts binary"
-REPLY = "block long, role int, part int, words_counted binary, words_held binary, pairs_counted binary, pairs_held binary, v_counted long, v_all long, n_counted long, n_all long"
+REQUEST = "place long, part int, block long, role int, words binary, word_counts binary, pairs binary, pair_counts binary"
+REPLY = "place long, block long, role int, part int, words_counted binary, words_held binary, pairs_counted binary, pairs_held binary, v_counted long, v_all long, n_counted long, n_all long"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -186,14 +187,16 @@ def learn_weights(histogram: list[tuple[int, int, int, int]], uniform: float, ro
 # --- Spark --------------------------------------------------------------------------------------
 
 
-def slots(spark: SparkSession, n: int) -> DataFrame:
-    """(slot, key) for slots 0 to n - 1: ``repartition(n, "key")`` puts each key into a partition of its own.
+def slots(spark: SparkSession, n: int) -> list[int]:
+    """Keys for slots 0 to n - 1: ``repartition(n, key)`` puts each into a partition of its own.
 
-    Keys are tried in order until each remainder of their hash has one, so no task gets two parts or
-    blocks by chance; a slot that no tried key hits (hardly ever) keeps its number as its key.
+    Numbers are tried in order until each remainder of their hash has one, so no task gets two parts or
+    blocks by chance; a slot that none hits (hardly ever) gets a number of its own.  There is one key
+    for each ``PART_TOKENS`` or ``BLOCK_TOKENS`` tokens.
     """
-    tried = spark.range(n * (n.bit_length() + 8)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("s")).agg(F.min("id").alias("k"))
-    return spark.range(n).join(tried, F.col("id") == F.col("s"), "left").select(F.col("id").alias("slot"), F.coalesce("k", F.col("id") - n).alias("key"))
+    tried = spark.range(n * (n.bit_length() + 8)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot")).agg(F.min("id").alias("key"))
+    found = {r["slot"]: r["key"] for r in tried.collect()}
+    return [found.get(k, k - n) for k in range(n)]
 
 
 def make_blocks(docs: DataFrame, role: Column, block_tokens: int) -> DataFrame:
@@ -216,21 +219,21 @@ def make_blocks(docs: DataFrame, role: Column, block_tokens: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), role.cast("int").alias("role"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
-def ask(blocks: DataFrame, parts: int) -> DataFrame:
+def ask(blocks: DataFrame, parts: int, keys: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *((x, pa.binary()) for x in ("words", "word_counts", "pairs", "pair_counts"))])
+        schema = pa.schema([("place", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *((x, pa.binary()) for x in ("words", "word_counts", "pairs", "pair_counts"))])
         for batch in batches:
             for row in batch.to_pylist():
                 t, rows = BlockTypes(row["words"], row["tokens"], parts), []
                 for k in sorted(t.word_cuts.keys() | t.pair_cuts.keys()):
                     w, p = (order[slice(*cuts.get(k, (0, 0)))] for order, cuts in ((t.word_order, t.word_cuts), (t.pair_order, t.pair_cuts)))
-                    rows.append({"part": k, "block": row["block"], "role": row["role"], "words": squeezed_keys(t.hashes[w]), "word_counts": squeezed(t.word_counts[w]), "pairs": squeezed_keys(t.pair_keys[p]), "pair_counts": squeezed(t.pair_counts[p])})
+                    rows.append({"place": keys[k], "part": k, "block": row["block"], "role": row["role"], "words": squeezed_keys(t.hashes[w]), "word_counts": squeezed(t.word_counts[w]), "pairs": squeezed_keys(t.pair_keys[p]), "pair_counts": squeezed(t.pair_counts[p])})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return blocks.select("block", "role", "words", "tokens").mapInArrow(run, REQUEST)
 
 
-def answer(requests: DataFrame, parts: int) -> DataFrame:
+def answer(requests: DataFrame, parts: int, places: Broadcast) -> DataFrame:
     def totals(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate(counts).astype(np.float64)
@@ -249,15 +252,14 @@ def answer(requests: DataFrame, parts: int) -> DataFrame:
             w, p = w + len(words[k]), p + len(pairs[k])
             first = k == 0  # the part's totals, once
             out.append({
-                "block": r["block"], "role": r["role"], "part": r["part"], "words_counted": squeezed(w_counted[wi]), "words_held": squeezed(w_held[wi]), "pairs_counted": squeezed(p_counted[pi]), "pairs_held": squeezed(p_held[pi]),
+                "place": places.value[r["block"]], "block": r["block"], "role": r["role"], "part": r["part"], "words_counted": squeezed(w_counted[wi]), "words_held": squeezed(w_held[wi]), "pairs_counted": squeezed(p_counted[pi]), "pairs_held": squeezed(p_held[pi]),
                 "v_counted": first * int((w_counted > 0).sum()), "v_all": first * int((both > 0).sum()), "n_counted": first * int(w_counted.sum()), "n_all": first * int(both.sum()),
             })
         binary = ("words_counted", "words_held", "pairs_counted", "pairs_held")
-        schema = pa.schema([("block", pa.int64()), ("role", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in binary), *((x, pa.int64()) for x in ("v_counted", "v_all", "n_counted", "n_all"))])
+        schema = pa.schema([("place", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in binary), *((x, pa.int64()) for x in ("v_counted", "v_all", "n_counted", "n_all"))])
         return pa.Table.from_pylist(out, schema)
 
-    keyed = requests.join(slots(requests.sparkSession, parts), F.col("part") == F.col("slot"))
-    return keyed.repartition(parts, "key").groupBy("key").applyInArrow(add_up, REPLY)
+    return requests.repartition(parts, "place").groupBy("place").applyInArrow(add_up, REPLY)
 
 
 def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,13 +269,17 @@ def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.nda
     return *words, *pairs
 
 
-def meet(blocks: DataFrame, replies: DataFrame, keys: DataFrame, n_blocks: int):
+def meet(blocks: DataFrame, replies: DataFrame, places: Broadcast):
     """Each block with its answers, a block to a partition."""
-    ours, theirs = (df.join(keys.select("block", F.col("key").alias("place")), "block").repartition(n_blocks, "place").groupBy("place") for df in (blocks, replies))
+    n = max(1, len(places.value))
+    # one narrow row for each block
+    keys = blocks.sparkSession.createDataFrame(list(places.value.items()), "block long, place long")
+    placed = blocks.join(F.broadcast(keys) if n <= MAX_BROADCAST_BLOCKS else keys, "block")
+    ours, theirs = (df.repartition(n, "place").groupBy("place") for df in (placed, replies))
     return ours.cogroup(theirs)
 
 
-def held_out_histogram(blocks: DataFrame, replies: DataFrame, keys: DataFrame, parts: int, n_blocks: int, n_counted: int) -> DataFrame:
+def held_out_histogram(blocks: DataFrame, replies: DataFrame, places: Broadcast, parts: int, n_counted: int) -> DataFrame:
     """Counts of held-out tokens by context bucket and grains of the bigram and unigram estimates."""
 
     def grain(p: np.ndarray) -> np.ndarray:
@@ -289,7 +295,7 @@ def held_out_histogram(blocks: DataFrame, replies: DataFrame, keys: DataFrame, p
         n = np.bincount(at.reshape(-1), t.pair_counts, len(cells)).astype(np.int64)
         return pa.table({"bucket": cells[:, 0], "two": cells[:, 1], "one": cells[:, 2], "n": n})
 
-    held = meet(*(df.where(F.col("role") == HELD_ROLE) for df in (blocks.select("block", "role", "words", "tokens"), replies)), keys, n_blocks)
+    held = meet(*(df.where(F.col("role") == HELD_ROLE) for df in (blocks.select("block", "role", "words", "tokens"), replies)), places)
     return held.applyInArrow(run, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
 
 
@@ -298,16 +304,14 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
     part = fold(docs["doc_id"], PARTS)
     role = F.when(part == TESTED, TESTED_ROLE).when(part == HELD, HELD_ROLE).otherwise(COUNTED_ROLE)
     blocks = written(make_blocks(docs, role, block_tokens), "lm-blocks")
-    size = blocks.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    numbers_of = sorted(tuple(r) for r in blocks.select("block", "n_tokens").collect())  # one for each block
     # a block's distinct words and bigrams number at most twice its tokens
-    parts, n_blocks = max(1, -(-int(size[0] or 0) // part_tokens)), max(1, size[1])
-    replies = written(answer(ask(blocks, parts), parts), "lm-replies")
+    parts, spark = max(1, -(-sum(n for _, n in numbers_of) // part_tokens)), docs.sparkSession
+    places = spark.sparkContext.broadcast(dict(zip((b for b, _ in numbers_of), slots(spark, max(1, len(numbers_of))))))
+    replies = written(answer(ask(blocks, parts, slots(spark, parts)), parts, places), "lm-replies")
     v_counted, v_all, n_counted, n_all = (int(x or 0) for x in replies.agg(*(F.sum(c) for c in ("v_counted", "v_all", "n_counted", "n_all"))).first())
-    # the blocks numbered: one narrow row for each BLOCK_TOKENS tokens
-    numbered = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("slot"))
-    keys = written(numbered.join(slots(docs.sparkSession, n_blocks), "slot").select("block", "key"), "lm-keys")
     # at most BUCKETS x (grains + 1)^2 rows, whatever the corpus
-    found = held_out_histogram(blocks, replies, keys, parts, n_blocks, n_counted).collect()
+    found = held_out_histogram(blocks, replies, places, parts, n_counted).collect()
     weights = learn_weights([tuple(r) for r in sorted(found)], 1 / (v_counted + 1))
 
     def run(block: pa.Table, got: pa.Table) -> pa.Table:
@@ -329,4 +333,4 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
             "train_tokens": np.full(n, n_all), "base_score": np.add.reduceat(base[t.tokens], starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    return meet(blocks, replies, keys, n_blocks).applyInArrow(run, SCORE)
+    return meet(blocks, replies, places).applyInArrow(run, SCORE)
