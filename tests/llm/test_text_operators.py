@@ -52,6 +52,14 @@ def test_one_language_and_ties(spark, odd):
     assert [w.tolist() for w in again["family_svm"]] == [w.tolist() for w in first["family_svm"]]
 
 
+def test_training_sample_is_bounded_where_an_id_or_a_text_fills_the_table(spark, monkeypatch):
+    """Most rows have no id, and most of those hold one text: the fit gets distinct texts, about as many as the bound says."""
+    monkeypatch.setattr(language_id, "fit", lambda rows: rows)
+    data = [(None, "das ist der eine Text", "de")] * 3000 + [(None, f"ein anderer Text {'abcdefghij'[k % 10]} {chr(97 + k // 10 % 26)}{chr(97 + k // 260)}", "de") for k in range(2000)]
+    rows = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), per_lang=100)
+    assert 15 <= len(rows) <= 100
+
+
 def test_votes_and_margins_match_plain_scores():
     """Prediction from dense frequency vectors, SVM by SVM, with the languages of many families."""
     rnd = random.Random(4)

@@ -8,7 +8,7 @@ languages of one family by one for each pair; votes decide, summed margins break
 the product of both levels' confidence.
 
 The SVMs are fitted on at most about ``PER_LANG`` labelled rows for each language, drawn by a hash
-of the id from all labelled rows (at small sizes: all of them); that bound is a parameter.  Every
+of the text from all labelled rows (at small sizes: all of them) and each text once; that bound is a parameter.  Every
 language that labels a row is learned.  What is fitted and broadcast grows with the languages (128 KB
 of weights for each family and each pair of a family's languages), not with the rows.
 
@@ -167,14 +167,14 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
-    """Fit on (doc_id, text, lang); counts of languages cover all rows, the fit a bounded sample."""
+    """Fit on (text, lang); counts of languages cover all rows, the fit a bounded sample of distinct texts, however often a text or an id repeats."""
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
-    drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
             columns = [batch.column(0), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([f.astype(np.float32) for _, f in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "slots", "shares"])
 
-    sample = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(profiles, "lang string, slots array<int>, shares array<float>")
+    sample = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text").distinct().mapInArrow(profiles, "lang string, slots array<int>, shares array<float>")
     # a bounded sample; sorted so that the fit doesn't depend on the order in which rows arrive
     got = sample.toArrow()
     data = sorted(zip(got.column("lang").to_pylist(), (np.array(x, np.int64) for x in got.column("slots").to_pylist()), (np.array(x) for x in got.column("shares").to_pylist())), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
