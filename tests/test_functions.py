@@ -417,3 +417,17 @@ def test_unicode_fold_is_nfkd(spark):
     texts = ["Ångström", "ﬁne", "日本", "plain"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.ascii_fold(F.col("t"))).collect()]
     assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+
+
+def test_bm25_is_the_same_with_few_terms_and_with_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"disk full on node-{k % 3} " + "disk " * (k % 4) + ("net down" if k % 2 else "")) for k in range(20)] + [(20, None), (21, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "disk full disk"), (2, "NET node-1"), (3, "nothing"), (4, None)], "query_id long, text string")
+
+    def scores(asked):
+        return sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in R.bm25(docs, asked).collect())
+
+    inside = scores(queries)
+    assert {q for q, _, _ in inside} == {1, 2} and len([r for r in inside if r[0] == 1]) == 20
+    assert scores(queries.limit(0)) == []
+    monkeypatch.setattr(R, "MAX_TERMS", 2)
+    assert scores(queries) == inside

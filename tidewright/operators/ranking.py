@@ -15,18 +15,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import SEARCH_TOKEN, search_tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
+MAX_TERMS = 5000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of documents with a matched term; a repeated query term counts each time.
 
-    docs: doc_id, text; queries: query_id, text.  Only postings of query terms are joined.
+    docs: doc_id, text; queries: query_id, text.  Only postings of query terms leave a document's array of
+    tokens: up to ``MAX_TERMS`` distinct terms are tested inside the array, more by a join on the terms.
     """
     tokens = docs.select("doc_id", search_tokens(F.col("text")).alias("ts"))
-    lengths = tokens.select("doc_id", F.size("ts").alias("len"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean")).first()
     wanted = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = tokens.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    terms = wanted.select("term").distinct()
+    few = [r["term"] for r in terms.limit(MAX_TERMS + 1).collect()]
+    length = F.size("ts").alias("len")
+    if len(few) <= MAX_TERMS:
+        found = tokens.select("doc_id", length, F.explode(F.filter("ts", lambda t: t.isin(few))).alias("term"))
+    else:
+        found = tokens.select("doc_id", length, F.explode("ts").alias("term")).join(terms, "term", "left_semi")
+    postings = found.groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / float(size["mean"] or 1.0)))
