@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, license_scan, lm_score, packing, quality_rules, secret_scan, simhash_dedup, token_count
+from . import centroid_clustering, conversation_repair, decontaminate, expected_sql, html_text, language_id, license_scan, lm_score, packing, quality_rules, secret_scan, simhash_dedup, source_mixing, token_count
 from .common import fold, table
 
 
@@ -58,10 +58,29 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_secret_scan, op4_license_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op9_lm_score, op10_token_count)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.digest(*centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.digest(*source_mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (
+    op1_language_id, op2_html_text, op3_secret_scan, op4_license_scan, op5_quality_rules, op6_decontamination, op7_simhash_dedup, op8_packing, op9_lm_score, op10_token_count,
+    op11_centroid_clustering, op12_source_mixing, op13_conversation_repair,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
+    "op11_centroid_clustering": expected_sql.clustering(),
+    "op12_source_mixing": expected_sql.mixing(),
+    "op13_conversation_repair": expected_sql.repair(),
     "op6_decontamination": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
