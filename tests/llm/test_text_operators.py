@@ -130,6 +130,21 @@ DECIDED = [
 ]
 
 
+DECIDED += [
+    # short bare lines beside the prose, without any name
+    (f"<div>Home</div><div>Shop now</div><p>{BODY[0]}</p><p>{BODY[1]}</p>", f"{BODY[0]} {BODY[1]}"),
+    (f"<p>{BODY[0]}</p><p>{BODY[1]}</p><div>Subscribe to our letter today. Offer ends soon.</div>", f"{BODY[0]} {BODY[1]}"),
+    (f"<table><tr><td>Menu</td><td><p>{BODY[0]}</p><p>{BODY[1]}</p></td></tr></table>", f"{BODY[0]} {BODY[1]}"),
+    # a short last paragraph behind elements that are set aside; a heading; prose in bare lines
+    (f"<p>{BODY[0]}</p><p>{BODY[1]}</p><nav>a</nav><nav>b</nav><nav>c</nav><p>It ended well.</p>", f"{BODY[0]} {BODY[1]} It ended well."),
+    (f"<h1>On mills</h1><p>{BODY[0]}</p>", f"On mills {BODY[0]}"),
+    (f"<div>{BODY[0]}</div><div>Yes.</div><div>{BODY[1]}</div><div>He left.</div>", f"{BODY[0]} Yes. {BODY[1]} He left."),
+    # names that are about the article
+    (f"<article><p class='story-tags-note'>{BODY[0]}</p><div class='notice-period'><p>{BODY[1]}</p></div></article>", f"{BODY[0]} {BODY[1]}"),
+    (f"<article><section class='search-results-study'><p>{BODY[0]}</p></section><ul class='tags-list'><li>one</li></ul><div class='related-posts'><p>{BODY[1]}</p></div></article>", BODY[0]),
+]
+
+
 @pytest.mark.parametrize(("page", "text"), DECIDED)
 def test_the_distribution_decides(page, text):
     assert html_text.extract(page) == text

@@ -4,13 +4,22 @@ A page is stripped to lines: every block-level tag ends a line, scripts, styles,
 and other elements without prose are set aside, and each line remembers what it stands in.  A line's
 *content length* is its text's length, or zero if it stands in a menu, header, footer, sidebar,
 notice, advert or reader comments (such a line keeps its place), or if more than half of it is link
-text and it stands outside an article or among ``LIST`` such lines in a row.  The distribution is the sum of content lengths over a
-sliding window of ``WIDTH`` lines.  A *surge* is a line with content where the window's sum rises
-from nothing; a *dive* is where it falls to nothing again.  The text kept stands between those surge
-and dive points where the sum reaches ``SURGE`` of ``WIDTH`` typical lines.  The typical line is the
-one in which the middle character of the content stands, a line counting ``PROSE`` characters at
+text and it stands outside an article or among ``LIST`` such lines in a row.
+
+Class and id names set an element aside by their words; inside an article only if the name is about
+nothing else (its head, the last word that isn't a ``GENERIC`` one, is such a word): ``story-tags-note`` is a note, ``tags-list`` a list of tags.
+
+The distribution is the sum of content lengths over a sliding window of ``WIDTH`` lines.  Content is first
+parted where the sum is nothing; a part counts if its sum reaches ``SURGE`` of ``WIDTH`` typical lines
+somewhere.  The *surge point* of a part is the first line whose strength reaches ``SURGE`` of a typical line, the *dive point* is
+behind the last one, and the text kept stands between them.  A line's strength is its content length; a line in an element for prose
+(paragraph, list item, quotation, preformatted) has enough of it in any case, a heading as much as the line that follows, and a bare line (in a div, a
+table cell) only ``BARE`` of its length, unless it ends a sentence on a page whose prose stands in bare lines.
+So short bare lines beside the article (a menu without a name, a box) fall outside, and short ones amid it stay.
+
+The typical line is the one in which the middle character of the content stands, a line counting ``PROSE`` characters at
 most, so neither many short lines nor one huge paragraph move it.  An article (or main) element that
-holds half of the page's content or more only gives its lines the weight ``WEIGHT``, and windows
+holds half of the page's content or more gives its lines the weight ``WEIGHT`` (and strength enough), and windows
 don't reach over an article's bounds.
 
 Defined results: a null or empty page gives the empty text; unclosed tags, truncated pages and
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
 
-WIDTH, SURGE, LINKS, LIST = 3, 0.25, 0.5, 3
+WIDTH, SURGE, LINKS, LIST, BARE = 3, 0.25, 0.5, 3, 0.5
 PROSE, WEIGHT = 200, 8
 #: What HTML calls void, raw-text and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +47,11 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 DROPPED = frozenset("script style textarea title noscript template iframe noembed noframes xmp head nav footer aside form button select option svg math canvas object audio video menu dialog fieldset datalist map".split())
 ARTICLE = frozenset("article main".split())
+PROSE_TAGS = frozenset("p li dd dt blockquote pre figcaption summary article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of names that say where something stands, not what it is.
+GENERIC = frozenset("section sections box boxes list wrapper wrap container content block area bar bars button buttons link links post posts item items panel left right top bottom inner outer row col column unit slot group main title heading header body text banner form strip card cards zone holder icon icons".split())
+SENTENCE_END = re.compile(r"""[.!?\u2026:;][\s"'\u00BB\u201D\u2019)\]]*$""")
 #: Words of class, id and role names of what isn't part of the article.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer foot masthead topbar"
@@ -57,7 +71,7 @@ SHIELD = frozenset("ul ol dl table article main section div body html".split())
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def set_aside(tag: str, attributes: str) -> bool:
+def set_aside(tag: str, attributes: str, in_article: bool = False) -> bool:
     """True if the element isn't part of the article by its tag or by its class, id or role."""
     if tag in DROPPED:
         return True
@@ -70,17 +84,26 @@ def set_aside(tag: str, attributes: str) -> bool:
         if name in ("class", "id", "role"):
             for token in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(token)]
-                told = next((k for k, p in enumerate(parts) if p in ABOUT), len(parts))
-                if not ASIDE.isdisjoint(parts[:told]):
+                told = parts[: next((k for k, p in enumerate(parts) if p in ABOUT), len(parts))]
+                if in_article and name != "role":
+                    # the head of the name decides
+                    head = next((p for p in reversed(told) if p not in GENERIC and not p.isdigit()), None)
+                    told = [p for p in told if p == head]
+                if not ASIDE.isdisjoint(told):
                     return True
     return False
 
 
 class Lines:
-    """The lines of a page: (text, length of its link text, set aside, number of the outermost article it stands in or 0)."""
+    """The lines of a page: (text, length of its link text, set aside, number of the outermost article it stands in or 0).
+
+    ``kinds`` says of each line what it stands in: "p" an element for prose, "h" a heading, "" anything else.
+    """
 
     def __init__(self, html: str):
         self.rows: list[tuple[str, int, bool, int]] = []
+        self.kinds: list[str] = []
+        self.blocks: list[str] = []
         self.parts: list[str] = []
         self.linked = self.aside = self.article = self.articles = self.links = 0
         self.skipped = False
@@ -114,8 +137,12 @@ class Lines:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
                 self.rows.append((text, self.linked, False, self.articles if self.article else 0))
-        if self.skipped:
-            self.rows.append(("", 0, True, self.articles if self.article else 0))
+                block = self.blocks[-1] if self.blocks else ""
+                self.kinds.append("p" if block in PROSE_TAGS else "h" if block in HEADINGS else "")
+        at = self.articles if self.article else 0
+        if self.skipped and not (self.rows and self.rows[-1][2:] == (True, at)):  # a run of what is set aside is one line
+            self.rows.append(("", 0, True, at))
+            self.kinds.append("")
         self.parts, self.linked, self.skipped = [], 0, False
 
     def start(self, tag: str, attributes: str, empty: bool, html: str, at: int) -> int:
@@ -134,13 +161,15 @@ class Lines:
         if empty and tag in ("svg", "path"):
             return at
         # a header inside the article holds its title
-        aside, article = int(set_aside(tag, attributes) or tag == "header" and not self.article), int(tag in ARTICLE)
+        aside, article = int(set_aside(tag, attributes, self.article > 0) or tag == "header" and not self.article), int(tag in ARTICLE)
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in SHIELD:
             self.shields.append(len(self.open))
         self.open.append((tag, aside, article))
         if aside:
             self.end_line()
+        if tag not in INLINE:
+            self.blocks.append(tag)
         self.aside += aside
         self.articles += article and not self.article
         self.article += article
@@ -154,6 +183,8 @@ class Lines:
             self.shields.pop()
         if article or aside:
             self.end_line()
+        if tag not in INLINE:
+            self.blocks.pop()
         self.aside -= aside
         self.article -= article
         self.links -= tag == "a"
@@ -176,22 +207,40 @@ class Lines:
             self.pop()
 
 
-def stretches(lengths: list[int], width: int, least: float) -> Iterator[tuple[int, int]]:
+def stretches(lengths: list[int], width: int, least: float, strengths: list[float] | None = None, strong: float = 0.0) -> Iterator[tuple[int, int]]:
     """(surge, dive) line numbers, end exclusive, of the distribution of ``lengths``."""
     n, start, peak = len(lengths), None, 0
-    sums = [sum(lengths[i : i + width]) for i in range(n)]
-    for i in range(n):
+    sums = [sum(lengths[i : i + width]) for i in range(n)] + [0]
+    for i in range(n + 1):
         if start is None:
-            if lengths[i] and sums[i]:
+            if i < n and lengths[i] and sums[i]:
                 start, peak = i, sums[i]
         elif not sums[i]:
             if peak >= least:
-                yield start, i
+                # from the first to the last line that is strong enough
+                strong_ones = [k for k in range(start, i) if strengths is None or strengths[k] >= strong]
+                if strong_ones:
+                    yield strong_ones[0], strong_ones[-1] + 1
             start = None
         else:
             peak = max(peak, sums[i])
-    if start is not None and peak >= least:
-        yield start, n
+
+
+def strengths_of(rows: list[tuple[str, int, bool, int]], kinds: list[str], lengths: list[int], heavy: list[bool], strong: float) -> list[float]:
+    """How much each line speaks for prose; see the module's text."""
+    tagged = sum(n for n, kind in zip(lengths, kinds) if kind == "p")
+    in_prose = 2 * tagged > sum(lengths)
+    out = [0.0] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        if not lengths[i]:
+            continue
+        if heavy[i] or kinds[i] == "p" or not kinds[i] and not in_prose and SENTENCE_END.search(rows[i][0]):
+            out[i] = max(lengths[i], strong)
+        elif kinds[i] == "h":
+            out[i] = max(lengths[i], next((out[k] for k in range(i + 1, len(rows)) if lengths[k]), 0.0))
+        else:
+            out[i] = lengths[i] * BARE
+    return out
 
 
 def typical(lengths: list[int]) -> int:
@@ -219,17 +268,20 @@ def extract(html: str | None, width: int = WIDTH, surge: float = SURGE) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    rows = Lines(html).rows
+    lines = Lines(html)
+    rows = lines.rows
     lengths = content_lengths(rows)
     held: dict[int, int] = {}
     for n, (*_, article) in zip(lengths, rows):
         held[article] = held.get(article, 0) + n
-    total = sum(held.values())
-    weighted = [n * WEIGHT if article and 2 * held[article] >= total else n for n, (*_, article) in zip(lengths, rows)]
-    least, out = surge * width * typical(lengths), []
+    total, usual = sum(held.values()), typical(lengths)
+    heavy = [bool(article) and 2 * held[article] >= total for *_, article in rows]
+    weighted = [n * WEIGHT if h else n for n, h in zip(lengths, heavy)]
+    least, strong, out = surge * width * usual, surge * usual, []
+    strengths = strengths_of(rows, lines.kinds, lengths, heavy, strong)
     for _, run in groupby(range(len(rows)), lambda i: rows[i][3]):
         part = list(run)
-        kept = stretches([weighted[i] for i in part], width, least)
+        kept = stretches([weighted[i] for i in part], width, least, [strengths[i] for i in part], strong)
         out += [rows[i][0] for a, b in kept for i in part[a:b] if lengths[i]]
     return " ".join(out)
 
