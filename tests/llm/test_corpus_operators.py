@@ -409,8 +409,8 @@ def test_pipeline_like_plain_python(spark, odd, odd_rows, none, tmp_path):
 
     def plain(stage, rows):
         if stage == "language_id":
-            found = [(r, language_id.predict(model, r.text)) for r in rows]
-            return Counter((r.doc_id, r.text, r.lang or lang) for r, (lang, sure) in found if lang != "und" and sure >= language_id.SURE)
+            found = [(r, language_id.judge(model, r.text)) for r in rows]
+            return Counter((r.doc_id, r.text, r.lang or lang) for r, (lang, _, known) in found if lang != "und" and known >= model["bound"])
         if stage == "simhash_dedup":
             return kept_by_hand([(r.doc_id, r.text) for r in rows])
         if stage == "decontamination":

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, html_text, language_id, license_scan, queries, secret_scan, token_count
-from tidewright.llm.common import fold_of
+from tidewright.llm.common import fold, fold_of
 
 
 # --- language ID
@@ -32,7 +32,7 @@ def test_language_of_odd_rows(odd, none):
     und = {r.doc_id for r in rows if r.lang_pred == "und"}
     assert und == {None, 1000, 1001, 1002, 1003}
     assert {r.lang_pred for r in rows} == {"und", "en", "de", "fr", "es"}
-    sure = {r.doc_id for r in rows if r.lang_pred != "und" and r.score >= language_id.SURE}
+    sure = {r.doc_id for r in odd.collect() for lang, _, known in [language_id.judge(model, r.text)] if lang != "und" and known >= model["bound"]}
     stays = language_id.with_language(odd, model).collect()
     assert {r.doc_id for r in stays} == sure and 50 < len(sure)
     guess = {r.doc_id: r.lang_pred for r in rows}
@@ -54,10 +54,40 @@ def test_one_language_and_ties(spark, odd):
 
 def test_training_sample_is_bounded_where_an_id_or_a_text_fills_the_table(spark, monkeypatch):
     """Most rows have no id, and most of those hold one text: the fit gets distinct texts, about as many as the bound says."""
-    monkeypatch.setattr(language_id, "fit", lambda rows: rows)
+    monkeypatch.setattr(language_id, "fit", lambda rows, each: rows)
     data = [(None, "das ist der eine Text", "de")] * 3000 + [(None, f"ein anderer Text {'abcdefghij'[k % 10]} {chr(97 + k // 10 % 26)}{chr(97 + k // 260)}", "de") for k in range(2000)]
     rows = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), per_lang=100)
-    assert 15 <= len(rows) <= 100
+    assert 60 <= len(rows) <= 150
+
+
+def test_every_labelled_language_is_learned(spark, docs):
+    """A language whose 30,000 rows hold three texts, beside ordinary ones."""
+    few = ["el perro duerme en la casa de la abuela", "la niña come pan con queso y aceitunas", "mañana iremos todos a la playa con los primos"]
+    rows = spark.range(30_000).select(F.element_at(F.array(*map(F.lit, few)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("es").alias("lang"))
+    model = language_id.train(docs.select("text", "lang").where("lang in ('en', 'de')").unionAll(rows))
+    assert sorted(x for langs in model["langs"].values() for x in langs) == ["de", "en", "es"]
+    assert [language_id.predict(model, t)[0] for t in few] == ["es"] * 3
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = spark.range(50).select(F.lit("some words").alias("text"), F.concat(F.lit("x"), F.col("id")).alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(rows, max_langs=40)
+    assert len(language_id.train(rows.where("id < 40"), max_langs=40)["families"]) == 40
+
+
+JUNK = ["zzzz qqqq", "kjhsdf kjhsdfkjh sdkjfh", "xkcd wqp zvbn", "qqqq xxxx jjjj", "Привет как дела", "你好 世界"]
+
+
+def test_noise_is_rejected_and_short_and_mixed_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs.where(fold(docs["doc_id"], 4) != 2))
+    texts = [r.text for r in docs.where(fold(docs["doc_id"], 4) == 2).collect() if r.text and any(c.isalpha() for c in r.text)]
+    short = [" ".join(t.split()[:3]) for t in texts if len(t.split()) > 3 and all(w.strip(".,").isalpha() for w in t.split()[:3])]
+    mixed = [a[:200] + " " + b[:200] for a, b in zip(texts, texts[1:])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(JUNK + texts + short + mixed)], "doc_id long, text string")
+    stays = {r.doc_id for r in language_id.with_language(df, model).collect()}
+    assert stays == set(range(len(JUNK), len(JUNK + texts + short + mixed)))
 
 
 def test_votes_and_margins_match_plain_scores():

@@ -7,21 +7,25 @@ told apart by one linear SVM for each family against the rest, so their number m
 languages of one family by one for each pair; votes decide, summed margins break ties.  ``score`` is
 the product of both levels' confidence.
 
-The SVMs are fitted on at most about ``PER_LANG`` labelled rows for each language, drawn by a hash
-of the text from all labelled rows (at small sizes: all of them) and each text once; that bound is a parameter.  Every
-language that labels a row is learned.  What is fitted and broadcast grows with the languages (128 KB
-of weights for each family and each pair of a family's languages), not with the rows.
+The SVMs are fitted, a task for each, on about ``PER_LANG`` labelled rows for each language (fewer if ``SAMPLE`` in all would be passed), drawn by a hash
+of the text from all labelled rows and each text once.  A language's share is ``PER_LANG`` over its number of *distinct* texts,
+so every language that labels a row is learned, however often its texts repeat; those bounds are parameters, and more than
+``MAX_LANGS`` languages are refused, as the model (128 KB of weights for each family and each pair of a family's languages) goes to every task.
+
+Beside the SVMs the model knows which n-grams each language's sample holds twice or more.  The share of a text's n-grams that the
+two best families know tells language from noise: a sixth of the sample, left out of that count, sets the bound,
+``SLACK`` times as far from 1 as the least of its shares, ``MOST`` at most (numbers, keys and marks among sound prose are no n-grams of it).
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without any labelled
 row every text is ``und``; one learned language is predicted for all with score 1; extra columns
-are ignored.  ``with_language`` keeps the rows whose language is sure by ``SURE``, a coin's throw on each level, or more (so never
+are ignored.  ``with_language`` keeps the rows whose language is known by that bound (never
 ``und``), and writes the prediction where ``lang`` is null; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ship
 
-BITS, PER_LANG, EPOCHS, SURE = 15, 600, 12, 0.25
+BITS, PER_LANG, SAMPLE, MAX_LANGS, EPOCHS, SLACK, MOST, LEFT_OUT = 15, 600, 20_000, 300, 12, 2.0, 0.85, 6
 PIECE = 1 << 18
 #: The families of languages; any other language is a family of its own.
 FAMILIES = {
@@ -108,23 +112,54 @@ def fit_pair(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.nda
     return w
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict:
-    """From (language, slots, frequencies): families, languages, the weights of each family and of each pair of languages."""
+Row = tuple[str, np.ndarray, np.ndarray]
+Problem = tuple[list[str], list[str]]
+
+
+def unit(rows: list[Row]) -> list[Row]:
+    return [(lang, at, f / max(1e-12, math.sqrt(f @ f))) for lang, at, f in rows if len(at)]
+
+
+def solve(rows: list[Row], problem: Problem) -> np.ndarray:
+    """The weights that tell the languages of one side from those of the other."""
+    sides = {lang: y for y, side in ((1.0, problem[0]), (-1.0, problem[1])) for lang in side}
+    some = [(at, x, sides[lang]) for lang, at, x in rows if lang in sides]
+    return fit_pair([s[:2] for s in some], np.array([s[2] for s in some])).astype(np.float32)
+
+
+def fit(rows: list[Row], each: Callable[[list[Row], list[Problem]], list[np.ndarray]] = lambda rows, problems: [solve(rows, p) for p in problems]) -> dict:
+    """From (language, slots, frequencies): families, languages, the weights of each family and of each pair of languages, and what is known.
+
+    ``each`` solves the problems, each by itself.
+    """
     langs = sorted({r[0] for r in rows})
     families = sorted({FAMILY.get(x, x) for x in langs})
     by = {f: [x for x in langs if FAMILY.get(x, x) == f] for f in families}
-    unit = [(lang, at, f / max(1e-12, math.sqrt(f @ f))) for lang, at, f in rows if len(at)]
-
-    def pairs(classes: list[str], of) -> list[tuple[int, int, np.ndarray]]:
-        out = []
-        for i, j in combinations(range(len(classes)), 2):
-            some = [(at, x, 1.0 if of(lang) == classes[i] else -1.0) for lang, at, x in unit if of(lang) in (classes[i], classes[j])]
-            out.append((i, j, fit_pair([s[:2] for s in some], np.array([s[2] for s in some])).astype(np.float32)))
-        return out
-
-    features, of = [(at, x) for _, at, x in unit], [FAMILY.get(lang, lang) for lang, _, _ in unit]
-    against = [fit_pair(features, np.where(np.array(of) == f, 1.0, -1.0)).astype(np.float32) for f in families] if len(families) > 1 else []
-    return {"families": families, "langs": by, "family_svm": against, "lang_svm": {f: pairs(by[f], str) for f in families}}
+    problems: list[Problem] = [(by[f], [x for x in langs if x not in by[f]]) for f in families] if len(families) > 1 else []
+    pairs = [(f, i, j) for f in families for i, j in combinations(range(len(by[f])), 2)]
+    weights = each(unit(rows), problems + [([by[f][i]], [by[f][j]]) for f, i, j in pairs])
+    lang_svm: dict[str, list] = {f: [] for f in families}
+    for (f, i, j), w in zip(pairs, weights[len(problems) :]):
+        lang_svm[f].append((i, j, w))
+    model = {"families": families, "langs": by, "family_svm": weights[: len(problems)], "lang_svm": lang_svm}
+    counts = {f: np.zeros(1 << BITS, np.int32) for f in families}
+    counted = {x: np.zeros(1 << BITS, np.int32) for x in langs}
+    for k, (lang, at, _) in enumerate(rows):
+        if k % LEFT_OUT:
+            counted[lang][at] += 1
+    for x in langs:
+        counts[FAMILY.get(x, x)] |= counted[x] > 1
+    model["known"] = {f: c.astype(bool) for f, c in counts.items()}
+    least = min((known_share(model, at, f) for k, (_, at, f) in enumerate(rows) if not k % LEFT_OUT and len(at)), default=0.0)
+    return model | {"bound": min(MOST, 1 - SLACK * (1 - least))}
+
+
+def known_share(model: dict, at: np.ndarray, f: np.ndarray) -> float:
+    """The share of a text's n-grams that its two best families know."""
+    x = f / max(1e-12, math.sqrt(f @ f))
+    margins = [float(w[at] @ x + w[-1]) for w in model["family_svm"]] or [0.0]
+    best = sorted(range(len(margins)), key=lambda k: (-margins[k], k))[:2]
+    return float(f[np.logical_or.reduce([model["known"][model["families"][k]][at] for k in best])].sum())
 
 
 def surest(classes: list[str], svms: list[np.ndarray], at: np.ndarray, x: np.ndarray) -> tuple[str, float]:
@@ -154,27 +189,38 @@ def vote(classes: list[str], svms: list, at: np.ndarray, x: np.ndarray) -> tuple
 
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:
+    return judge(model, text)[:2]
+
+
+def judge(model: dict, text: str | None) -> tuple[str, float, float]:
+    """Language, score and the known share of n-grams."""
     at, f = profile(text) if text else (np.empty(0, np.int64), None)
     if not len(at) or not model["families"]:
-        return "und", 0.0
+        return "und", 0.0, 0.0
     x = f / math.sqrt(f @ f)
     family, sure = surest(model["families"], model["family_svm"], at, x)
     lang, surer = vote(model["langs"][family], model["lang_svm"][family], at, x)
-    return lang, sure * surer
+    return lang, sure * surer, known_share(model, at, f)
 
 
 # --- Spark --------------------------------------------------------------------------------------
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
-    """Fit on (text, lang); counts of languages cover all rows, the fit a bounded sample of distinct texts, however often a text or an id repeats."""
-    ship(labelled.sparkSession)
+def train(labelled: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> dict:
+    """Fit on (text, lang); distinct texts are counted over all rows, the fit takes a bounded sample of them, however often a text or an id repeats."""
+    spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().collect()
+    mark = F.xxhash64("text", F.lit(17))
+    # one more than allowed tells that there are too many
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(mark, 0.02).alias("texts")).limit(max_langs + 1).collect()
     if not counts:
         return fit([])
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
-    drawn = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    if len(counts) > max_langs:
+        raise ValueError(f"over {max_langs} languages label the rows; clean the column, or raise max_langs")
+    most = min(per_lang, sample / len(counts))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["texts"]))))
+    drawn = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,18 +228,33 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> dict:
             columns = [batch.column(0), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([f.astype(np.float32) for _, f in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "slots", "shares"])
 
-    sample = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text").distinct().mapInArrow(profiles, "lang string, slots array<int>, shares array<float>")
+    some = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text").distinct().mapInArrow(profiles, "lang string, slots array<int>, shares array<float>")
     # a bounded sample; sorted so that the fit doesn't depend on the order in which rows arrive
-    got = sample.toArrow()
+    got = some.toArrow()
     data = sorted(zip(got.column("lang").to_pylist(), (np.array(x, np.int64) for x in got.column("slots").to_pylist()), (np.array(x) for x in got.column("shares").to_pylist())), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    return fit(data)
+
+    def in_tasks(rows: list[Row], problems: list[Problem]) -> list[np.ndarray]:
+        if not problems:
+            return []
+        sent = spark.sparkContext.broadcast((rows, problems))  # bounded by ``sample`` and ``max_langs``
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([solve(*(sent.value[0], sent.value[1][k])).tobytes()], pa.binary())], names=["id", "weights"])
+
+        found = spark.range(0, len(problems), 1, len(problems)).mapInArrow(run, "id long, weights binary").collect()
+        sent.unpersist()
+        return [np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["id"])]
+
+    return fit(data, in_tasks)
 
 
 def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the predicted language of the whole text and a score."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # grows with the languages only
+    sent = spark.sparkContext.broadcast(model)  # bounded by ``max_langs``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,18 +264,18 @@ def identify(docs: DataFrame, model: dict, held_out: Column | None = None) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def with_language(docs: DataFrame, model: dict, sure: float = SURE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, which fills ``lang`` (if there) where that is null."""
+def with_language(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` whose text is in a known language, which fills ``lang`` (if there) where that is null."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [predict(sent.value, t) for t in batch.column(text).to_pylist()]
+            found = [judge(sent.value, t) for t in batch.column(text).to_pylist()]
             if lang >= 0:
-                named = [old if old is not None else new for old, (new, _) in zip(batch.column(lang).to_pylist(), found)]
+                named = [old if old is not None else new for old, (new, *_) in zip(batch.column(lang).to_pylist(), found)]
                 batch = batch.set_column(lang, batch.schema.field(lang), pa.array(named, batch.schema.field(lang).type))
-            yield batch.filter(pa.array([x != "und" and s >= sure for x, s in found], pa.bool_()))
+            yield batch.filter(pa.array([x != "und" and known >= sent.value["bound"] for x, _, known in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
