@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a sure language (null text, no letter, or a score under the operator's bound) go; a null ``lang`` gets the predicted one."""
+    """Documents without a known language (null text, no letter, or fewer known n-grams than the operator's bound asks for) go; a null ``lang`` gets the predicted one."""
     return language_id.with_language(docs, language_id.train(docs.where(fold(docs["doc_id"], 4) != 2)))
 
 

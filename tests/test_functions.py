@@ -251,7 +251,7 @@ def test_graphs(spark):
     assert {r.node: sorted(r.dominators) for r in G.dominators(nodes, diamond, "a").collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "d"]}
     assert [(r.node, r.level) for r in G.topological_order(nodes, diamond).collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
-    assert {r.node for r in G.on_cycle(nodes, loop).collect()} == {"a", "b"}
+    assert {r.node for r in G.cycles(nodes, loop).collect()} == {"a", "b"}
     assert G.creates_cycle(diamond, "d", "a") and not G.creates_cycle(diamond, "a", "d")
     with pytest.raises(Exception, match="cycle"):
         G.topological_order(nodes, loop).collect()

@@ -7,8 +7,9 @@ executors cost one round at most.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
 
@@ -63,22 +64,59 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100)
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest predecessor; NULL on or behind a cycle.
 
-    Edges to unknown nodes don't count.  Peels off, round by round, the nodes without open predecessors.
+    Edges to unknown nodes don't count.  A round settles the nodes without open predecessors, then folds every
+    node with a single open predecessor into the top of its chain (or tree) by pointer doubling: its level is
+    the larger of a floor and the top's level plus an offset, and such maps compose.  So chains and trees cost
+    the logarithm of their depth; only nodes where several open ways meet are met round by round.
     """
     known = nodes.select("node").distinct()
-    left = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst"))
-    open_nodes, done, level = cut(known), None, 0
+    left = edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst")
+    left = cut(left.withColumn("weight", F.lit(1)))
+    # open nodes with the level that settled predecessors ask for at least
+    open_nodes = cut(known.withColumn("floor", F.lit(0)))
+    settled, folded = [], []
     while True:
-        free = open_nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti")
-        layer = cut(free.withColumn("level", F.lit(level)))
-        if layer.isEmpty():
+        entered = left.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ways"), F.min("src").alias("before"), F.min("weight").alias("weight"))
+        state = cut(open_nodes.join(entered, "node", "left"))
+        free = state.where("ways is null").select("node", F.col("floor").alias("level"))
+        single = state.where("ways = 1 and before <> node")
+        # the map of a single node: (top, floor, offset); tops are the first ancestors that are not single
+        chain = _chained(single.select("node", F.col("before").alias("top"), "floor", F.col("weight").alias("offset")))
+        if free.isEmpty() and chain.isEmpty():
             break
-        done = layer if done is None else done.unionAll(layer)
-        open_nodes = cut(open_nodes.join(layer, "node", "left_anti"))
-        left = cut(left.join(layer.select(F.col("node").alias("src")), "src", "left_anti"))
-        level += 1
-    rest = open_nodes.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionAll(rest)
+        settled.append(free)
+        folded.append(chain)
+        open_nodes = state.join(free, "node", "left_anti").join(chain, "node", "left_anti").select("node", "floor")
+        # folded sources hand their edges to their tops, and settled sources raise floors
+        handed = left.join(chain.select(F.col("node").alias("dst")), "dst", "left_anti").join(chain.select(F.col("node").alias("src"), "top", F.col("floor").alias("least"), "offset"), "src", "left")
+        handed = handed.select(F.coalesce("top", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("offset", F.lit(0))).alias("weight"), (F.col("least") + F.col("weight")).alias("ask"))
+        handed = cut(handed.join(free.select(F.col("node").alias("src"), "level"), "src", "left"))
+        asks = handed.select(F.col("dst").alias("node"), F.greatest(F.col("level") + F.col("weight"), "ask").alias("ask")).where("ask is not null").groupBy("node").agg(F.max("ask").alias("ask"))
+        open_nodes = cut(open_nodes.join(asks, "node", "left").select("node", F.greatest("floor", F.coalesce("ask", F.lit(0))).alias("floor")))
+        left = cut(handed.where("level is null").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    out = cut(reduce(DataFrame.unionAll, settled, open_nodes.select("node", F.lit(None).cast("int").alias("level"))))
+    for chain in reversed(folded):
+        found = chain.join(out.select(F.col("node").alias("top"), "level"), "top").select("node", F.when(F.col("level").isNotNull(), F.greatest("floor", F.col("level") + F.col("offset"))).alias("level"))
+        out = cut(out.unionAll(found))
+    return out
+
+
+def _chained(single: DataFrame) -> DataFrame:
+    """The maps (node, top, floor, offset) of nodes whose ``top`` is a node before them, composed until no top has a map of its own.
+
+    Nodes on a ring of such nodes, and behind one, have no top and are left out.
+    """
+    maps = cut(single)
+    heads = maps.select(F.col("node").alias("top"), F.col("top").alias("next_top"), F.col("floor").alias("next_floor"), F.col("offset").alias("next_offset"))
+    steps = max(1, maps.count()).bit_length() + 1
+    for _ in range(steps):  # the way doubles, so after these steps only rings are left
+        grown = maps.join(heads, "top", "left")
+        floor = F.greatest("floor", F.col("next_floor") + F.col("offset"))
+        maps = cut(grown.select("node", F.coalesce("next_top", "top").alias("top"), floor.alias("floor"), (F.col("offset") + F.coalesce("next_offset", F.lit(0))).alias("offset"), F.col("next_top").isNotNull().alias("moved")))
+        if maps.where("moved").isEmpty():
+            break
+        heads = maps.select(F.col("node").alias("top"), F.col("top").alias("next_top"), F.col("floor").alias("next_floor"), F.col("offset").alias("next_offset"))
+    return maps.where("not moved").drop("moved")
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,22 +125,154 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return leveled.withColumn("level", F.coalesce("level", F.raise_error(F.lit("the graph has a cycle")).cast("int"))).orderBy("level", "node")
 
 
-def on_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that peeling from both ends leaves: those on a cycle, or between two."""
-    behind = levels(nodes, edges).where("level is null").select("node")
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ahead = levels(nodes, flipped).where("level is null").select("node")
-    return behind.join(ahead, "node", "left_semi")
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the strongly connected component, named by its smallest node; nodes of no cycle are alone.
+
+    Edges to unknown nodes don't count.  Rounds of: trimming nodes without a way in or out; folding chains (one way
+    in, one way out) into single edges by pointer doubling, which also closes rings; then forward-backward
+    colouring, after which only edges within a colour are left.  A folded node belongs to the component of its
+    chain's ends if these are in one component.
+    """
+    known = cut(nodes.select("node").distinct())
+    left = edges.select("src", "dst").where("src <> dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst")
+    left = cut(left.select("src", "dst"))
+    found, folded = [], []
+    while not left.isEmpty():
+        # trimming, and the degrees of what remains
+        both = F.col("ins").isNotNull() & F.col("outs").isNotNull()
+        ins = left.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("before"))
+        outs = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("after"))
+        inner = cut(ins.join(outs, "node", "full").where(both))
+        trimmed = cut(left.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        if trimmed.count() < left.count():
+            left = trimmed
+            if inner.where("ins = 1 and outs = 1").isEmpty():
+                continue
+        links = inner.where("ins = 1 and outs = 1")
+        chains, rings = _rings(links)
+        if not links.isEmpty():
+            found.append(rings)
+            folded.append(chains)
+            gone = cut(links.select("node"))
+            ends = chains.select(F.col("start").alias("src"), F.col("stop").alias("dst")).where("src <> dst")
+            rest = left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+            left = cut(rest.unionAll(ends).distinct())
+            continue
+        colours = _spread(left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct(), left)
+        same = cut(left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
+        # what reaches, within a colour, the node that the colour is named by
+        back = cut(colours.where("node = colour").select("node", "colour"))
+        front = back
+        while not front.isEmpty():
+            up = same.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "colour").distinct()
+            front = cut(up.join(back, "node", "left_anti"))
+            back = cut(back.unionAll(front))
+        found.append(back.select("node", F.col("colour").alias("component")))
+        left = cut(same.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    out = reduce(DataFrame.unionAll, found) if found else known.limit(0).select("node", F.col("node").alias("component"))
+    for chains in reversed(folded):
+        # an end that stands in no list is alone, unless both ends are the same node
+        ends = chains.join(out.select(F.col("node").alias("start"), F.col("component").alias("a")), "start", "left").join(out.select(F.col("node").alias("stop"), F.col("component").alias("b")), "stop", "left")
+        ends = ends.withColumn("a", F.coalesce("a", "start")).withColumn("b", F.coalesce("b", "stop"))
+        joined = ends.where("a = b").select("node", F.col("a").alias("component"))
+        alone = ends.where("a = b and a = start").select(F.col("start").alias("node"), F.col("a").alias("component")).distinct().join(out, "node", "left_anti")
+        out = cut(out.unionAll(joined).unionAll(alone))
+    named = out.groupBy("component").agg(F.min("node").alias("name"))
+    return known.join(out.join(named, "component").select("node", "name"), "node", "left").select("node", F.coalesce("name", "node").alias("component"))
+
+
+def _rings(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains (node, start, stop: the nodes before and behind the chain) and rings (node, component) of nodes with one way in and one out."""
+    ways = cut(links.select("node", "before", "after", F.col("node").alias("low")))
+    for _ in range(max(1, ways.count()).bit_length() + 1):  # the way doubles, so after these steps only rings have ends that are inside
+        a = ways.select(F.col("node").alias("before"), F.col("before").alias("further"), F.col("low").alias("l"))
+        z = ways.select(F.col("node").alias("after"), F.col("after").alias("later"))
+        grown = ways.drop("moved").join(a, "before", "left").join(z, "after", "left")
+        ways = cut(grown.select("node", F.coalesce("further", "before").alias("before"), F.coalesce("later", "after").alias("after"), F.least("low", "l").alias("low"), (F.col("further").isNotNull() | F.col("later").isNotNull()).alias("moved")))
+        if ways.where("moved").isEmpty():
+            break
+    # every node of a ring has seen the whole ring by now
+    return ways.where("not moved").select("node", F.col("before").alias("start"), F.col("after").alias("stop")), ways.where("moved").select("node", F.col("low").alias("component"))
+
+
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, colour): the largest node from which a node can be reached; colours also jump to the colour of their own node."""
+    now = cut(nodes.select("node", F.col("node").alias("colour")))
+    while True:
+        near = edges.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("m"))
+        higher = cut(now.join(near, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("was")))
+        heads = higher.select(F.col("node").alias("h"), F.col("colour").alias("top"))
+        after = cut(higher.join(heads, F.col("colour") == F.col("h"), "left").select("node", F.greatest("colour", F.coalesce("top", "colour")).alias("colour"), "was"))
+        now = after.select("node", "colour")
+        if after.where("colour <> was").isEmpty():
+            return now
+
+
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, node) of every component that holds a cycle: of two nodes or more, or a node with an edge to itself."""
+    parts = cut(strong_components(nodes, edges))
+    some = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(parts, "node").select("component")
+    return parts.join(some.unionAll(loops).distinct(), "component", "left_semi").select("component", "node")
+
+
+def cycle_members(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ()) -> DataFrame:
+    """(members): each cycle's nodes as a sorted array; ``kinds`` of edges, if named, are the only ones that count."""
+    usable = edges.where(F.col("kind").isin(list(kinds))) if kinds else edges
+    return cycles(nodes, usable).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members")
+
+
+def cycle_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, place, node): one closed way a component, from its smallest node round to it again.
+
+    In a component every node keeps its smallest successor there.  Following these ends on rings, found by
+    doubling the steps; of several rings of a component the one with the smallest node is told.
+    """
+    inside = cut(cycles(nodes, edges))
+    known = edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("src"), "component"), "src").join(inside.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst")
+    step = cut(known.where("component = other").groupBy("component", F.col("src").alias("node")).agg(F.min("dst").alias("next")))
+    far, rounds = step.select("node", "next"), max(1, step.count()).bit_length()
+    for _ in range(rounds):  # where 2 ** rounds steps lead is on a ring
+        far = cut(far.join(far.select(F.col("node").alias("next"), F.col("next").alias("later")), "next").select("node", F.col("later").alias("next")))
+    ring = cut(step.join(far.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("component", "node", "next"))
+    # the smallest node of a ring by doubling, then the way to it from each node
+    low = ring.select("node", "next", F.col("node").alias("low"))
+    for _ in range(rounds):
+        low = cut(low.join(low.select(F.col("node").alias("next"), F.col("next").alias("later"), F.col("low").alias("l")), "next").select("node", F.col("later").alias("next"), F.least("low", "l").alias("low")))
+    told = low.join(ring.select("component", "node"), "node").withColumn("best", F.min("low").over(Window.partitionBy("component"))).where("low = best").select("node", "component", "low")
+    left = cut(ring.join(told.select("node", "low"), "node").select("component", "node", "low", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"), F.lit(1).alias("steps")))
+    for _ in range(rounds):
+        ahead = left.select(F.col("node").alias("next"), F.col("next").alias("later"), F.col("steps").alias("more"))
+        left = cut(left.join(ahead, "next", "left").select("component", "node", "low", F.col("later").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    size = left.groupBy("component").agg(F.max("steps").alias("n"), F.first("low").alias("low"))
+    placed = left.join(size.select("component", "n"), "component").select("component", (F.col("n") - F.col("steps")).alias("place"), "node")
+    return placed.unionAll(size.select("component", F.col("n").alias("place"), F.col("low").alias("node")))
 
 
 def reachable(edges: DataFrame, start: object) -> DataFrame:
-    """Every node that can be reached from ``start`` (itself only through a cycle); as many rounds as the longest way has steps."""
+    """(node): every node that can be reached from ``start``, itself only through a cycle."""
     step = cut(edges.select("src", "dst").distinct())
-    seen = front = cut(step.where(F.col("src") == F.lit(start)).select(F.col("dst").alias("node")).distinct())
+    first = step.select(F.lit(start).alias("node")).limit(1)
+    found = cut(_spanning(step.where("src <> dst"), first).select("node"))
+    back = step.where(F.col("dst") == F.lit(start)).join(found.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).limit(1)
+    return found.where(F.col("node") != F.lit(start)).unionAll(back)
+
+
+def _spanning(step: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, parent): a tree of distinct edges without loops over all that the ``start`` nodes reach.
+
+    Nodes with one way in are passed over as chains, so only nodes where several ways meet cost a round each.
+    """
+    entered = cut(step.join(start.select(F.col("node").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("parent")))
+    chain = cut(_chained(entered.where("n = 1").select("node", F.col("parent").alias("top"), F.lit(0).alias("floor"), F.lit(1).alias("offset"))).select("node", "top"))
+    hops = step.join(entered.where("n > 1").select(F.col("node").alias("dst")), "dst").join(chain.select(F.col("node").alias("src"), "top"), "src", "left")
+    hops = cut(hops.select(F.coalesce("top", "src").alias("from"), F.col("dst").alias("to"), F.col("src").alias("via")))
+    seen = front = cut(start.select("node", F.lit(None).cast(dict(start.dtypes)["node"]).alias("parent")))
     while not front.isEmpty():
-        front = cut(front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        ahead = front.join(hops, F.col("from") == F.col("node")).groupBy("to").agg(F.min("via").alias("parent"))
+        front = cut(ahead.select(F.col("to").alias("node"), "parent").join(seen, "node", "left_anti"))
         seen = cut(seen.unionAll(front))
-    return seen
+    return seen.unionAll(chain.join(seen.select(F.col("node").alias("top")), "top").join(entered.select("node", "parent"), "node").select("node", "parent"))
 
 
 def creates_cycle(edges: DataFrame, src: object, dst: object) -> bool:
@@ -110,24 +280,124 @@ def creates_cycle(edges: DataFrame, src: object, dst: object) -> bool:
     return src == dst or not reachable(edges, dst).where(F.col("node") == F.lit(src)).isEmpty()
 
 
-def dominators(nodes: DataFrame, edges: DataFrame, root: object) -> DataFrame:
-    """(node, dominators): the nodes on every path from ``root``, by fixpoint over arrays; for service graphs.
+def dominator_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, parent, depth) of every node that the ``roots`` (node) reach: ``parent`` is the immediate dominator.
 
-    Only nodes that can be reached are listed.
+    NULL is the parent of a root and of a node that several roots reach by separate ways (depth 1).  Begins with a
+    tree of shortest ways and moves every node up to the deepest node that all its predecessors stand below, until
+    nothing moves; dominators of a node are above it all the time, so the last tree is the dominator tree.
+    Where predecessors meet is found by lifting them to one depth and then together, by powers of two.
     """
-    inside = cut(reachable(edges, root).unionAll(nodes.where(F.col("node") == F.lit(root)).select("node")).distinct())
-    steps = cut(edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("src")), "src").join(inside.select(F.col("node").alias("dst")), "dst").where(F.col("dst") != F.lit(root)))
-    # NULL stands for "all nodes", which an intersection leaves out
-    now = cut(inside.select("node", F.when(F.col("node") == F.lit(root), F.array("node")).alias("dominators")))
-    # a round takes each node's set closer to its final one; they only shrink, so this ends
-    while True:
-        above = steps.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.collect_list("dominators").alias("all"))
-        met = F.aggregate(F.slice("all", 2, 1_000_000), F.get("all", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
-        known = F.col("all").isNotNull() & (F.size("all") > 0)
-        after = cut(now.join(above, F.col("node") == F.col("dst"), "left").select("node", F.when(known, F.array_sort(F.array_union(F.array("node"), met))).otherwise(F.col("dominators")).alias("dominators"), F.col("dominators").alias("was")))
-        if after.where(~F.col("dominators").eqNullSafe(F.col("was"))).isEmpty():
-            return after.select("node", "dominators")
-        now = after.select("node", "dominators")
+    step = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    start = cut(roots.select("node").distinct())
+    tree = depths(_spanning(step, start))
+    inside = tree.select("node")
+    ways = cut(step.join(inside.select(F.col("node").alias("src")), "src").join(start.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"), F.col("src").alias("at")))
+    # only nodes with several predecessors can move
+    several = ways.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    ways = cut(ways.join(several, "node", "left_semi"))
+    while not ways.isEmpty():
+        met = _meeting(ways, tree)
+        moved = tree.join(met, "node", "left").withColumn("new", F.when(F.col("found"), F.col("top")).otherwise(F.col("parent")))
+        moved = cut(moved.select("node", F.col("new").alias("parent"), (~F.col("new").eqNullSafe(F.col("parent"))).alias("changed")))
+        if moved.where("changed").isEmpty():
+            break
+        tree = depths(moved.select("node", "parent"))
+    return tree
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """(node, parent, depth) of a tree (node, parent), its roots at depth 1, by pointer doubling."""
+    now = cut(tree.select("node", "parent", F.col("parent").alias("up"), F.lit(1).alias("depth")))
+    while not now.where("up is not null").isEmpty():
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        now = cut(now.join(above, "up", "left").select("node", "parent", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return now.select("node", "parent", "depth")
+
+
+def _lifts(tree: DataFrame) -> list[DataFrame]:
+    """Tables (node, up) of the ancestors 1, 2, 4, ... steps above."""
+    out, now = [], cut(tree.where("parent is not null").select("node", F.col("parent").alias("up")))
+    while not now.isEmpty():
+        out.append(now)
+        now = cut(now.join(now.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+    return out
+
+
+def _meeting(ways: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, found, top): the deepest tree node at or above all nodes ``at`` of a node's ``ways``; NULL if only the place above the roots is."""
+    lifts = _lifts(tree)
+    now = ways.join(tree.select(F.col("node").alias("at"), "depth"), "at")
+    now = now.withColumn("least", F.min("depth").over(Window.partitionBy("node")))
+    for k in range(len(lifts) - 1, -1, -1):
+        up = lifts[k].select(F.col("node").alias("at"), "up")
+        high = F.col("depth") - (1 << k) >= F.col("least")
+        now = now.join(up, "at", "left").select("node", F.when(high, F.col("up")).otherwise(F.col("at")).alias("at"), F.when(high, F.col("depth") - (1 << k)).otherwise(F.col("depth")).alias("depth"), "least")
+    now = cut(now.select("node", "at").distinct())
+    for k in range(len(lifts) - 1, -1, -1):
+        up = lifts[k].select(F.col("node").alias("at"), "up")
+        mine = Window.partitionBy("node")
+        higher = now.join(up, "at", "left").withColumn("apart", F.min("up").over(mine) < F.max("up").over(mine))
+        now = cut(higher.select("node", F.when(F.col("apart"), F.col("up")).otherwise(F.col("at")).alias("at")).distinct())
+    now = now.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node"))).join(tree.select(F.col("node").alias("at"), "parent"), "at")
+    return now.select("node", F.lit(True).alias("found"), F.when(F.col("n") > 1, F.col("parent")).otherwise(F.col("at")).alias("top")).distinct()
+
+
+def dominated(tree: DataFrame) -> DataFrame:
+    """(node, dominates): how many other nodes each node of a tree (node, parent) has below it, by doubling."""
+    counts = cut(tree.select("node", F.lit(1).cast("long").alias("n")))
+    for up in _lifts(tree):
+        below = up.join(counts, "node").groupBy(F.col("up").alias("node")).agg(F.sum("n").alias("more"))
+        counts = cut(counts.join(below, "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    return counts.select("node", (F.col("n") - 1).alias("dominates"))
+
+
+def dominator_pairs(tree: DataFrame) -> DataFrame:
+    """(node, dominator): every node on all ways to ``node``, itself included; as many rows as the depths add up to."""
+    pairs = cut(tree.select("node", F.col("node").alias("dominator")))
+    for up in _lifts(tree):
+        pairs = cut(pairs.unionAll(pairs.join(up.select(F.col("node").alias("dominator"), "up"), "dominator").select("node", F.col("up").alias("dominator"))))
+    return pairs
+
+
+def dominators(nodes: DataFrame, edges: DataFrame, root: object, kinds: Sequence[str] = ()) -> DataFrame:
+    """(node, dominators): the nodes on every path from ``root``, sorted; only nodes that can be reached, none if ``root`` isn't there.
+
+    Edges of other ``kinds`` than those named (all if none) don't count.
+    """
+    usable = edges.where(F.col("kind").isin(list(kinds))) if kinds else edges
+    tree = dominator_tree(usable, nodes.where(F.col("node") == F.lit(root)))
+    return dominator_pairs(tree).groupBy("node").agg(F.sort_array(F.collect_list("dominator")).alias("dominators"))
+
+
+#: Bands of an edge's confidence, from the least on.
+BANDS = ("weak", "likely", "proven")
+
+
+def topology(edges: DataFrame, missing: DataFrame | None = None, entries: DataFrame | None = None, least: str = "weak", many: int = 3, hard: Sequence[str] = ("sync_call",)) -> DataFrame:
+    """One row a service: fan-in, fan-out, cycle, entry, unnamed callers, services that depend on it alone, and why it is critical.
+
+    Edges: src, dst, kind, band (of ``BANDS``); those under ``least`` don't count.  ``missing`` has a row (callee) for each span
+    whose caller was not seen.  Entries are the given services, or those that nothing calls.  Cycles count all
+    edges; dominators only the ``hard`` ones, from all entries together, and a service that dominates ``many`` others or more is a
+    single point of failure.
+    """
+    kept = cut(edges.where(F.array_position(F.array(*map(F.lit, BANDS)), F.col("band")) > BANDS.index(least)).select("src", "dst", "kind").distinct())
+    pairs = kept.select("src", "dst").distinct()
+    nodes = cut(pairs.select(F.col("src").alias("node")).unionAll(pairs.select(F.col("dst").alias("node"))).distinct())
+    table = nodes.join(degrees(pairs), "node", "left")
+    table = table.join(cycles(nodes, pairs).select("node", F.lit(True).alias("in_cycle")), "node", "left")
+    starts = cut(entries.select("node").distinct().join(nodes, "node", "left_semi") if entries is not None else nodes.join(pairs.select(F.col("dst").alias("node")), "node", "left_anti"))
+    below = dominated(dominator_tree(kept.where(F.col("kind").isin(list(hard))), starts))
+    table = table.join(below, "node", "left").join(starts.withColumn("is_entry", F.lit(True)), "node", "left")
+    if missing is not None:
+        table = table.join(missing.groupBy(F.col("callee").alias("node")).agg(F.count(F.lit(1)).alias("unnamed")), "node", "left")
+    unnamed = F.coalesce("unnamed", F.lit(0)).cast("long") if missing is not None else F.lit(0).cast("long")
+    table = table.select("node", "fan_in", "fan_out", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), F.coalesce("is_entry", F.lit(False)).alias("is_entry"), unnamed.alias("unnamed_callers"), F.coalesce("dominates", F.lit(0)).cast("long").alias("dominates"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("fan_in") >= many, "high_fan_in"), F.when(F.col("dominates") >= many, "dominates_many"), F.when(F.col("in_cycle"), "in_cycle"), F.when(F.col("unnamed_callers") > 0, "unobserved_dependents"),
+    ))
+    return table.withColumn("single_point_of_failure", F.col("dominates") >= many).withColumn("criticality_inputs", reasons)
 
 
 def valid_chain(jobs: DataFrame, target: object) -> DataFrame:
@@ -158,8 +428,6 @@ def self_times(spans: DataFrame) -> DataFrame:
     Spans: trace_id, span_id, parent_span_id, start_at, duration, blocking.  Children's intervals are
     clipped to the parent and merged by a running maximum of ends.
     """
-    from pyspark.sql import Window
-
     kids = spans.where("blocking and parent_span_id is not null").select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("start_at").alias("s"), (F.col("start_at") + F.col("duration")).alias("e"))
     inside = kids.join(spans.select("trace_id", "span_id", F.col("start_at").alias("ps"), (F.col("start_at") + F.col("duration")).alias("pe")), ["trace_id", "span_id"])
     clipped = inside.withColumn("s", F.greatest("s", "ps")).withColumn("e", F.least("e", "pe")).where("e > s")

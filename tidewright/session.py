@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,9 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder: later rounds of an iteration don't carry the earlier ones' plans."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read back, so that later rounds of an iteration don't carry the earlier ones' plans.
+
+    Unlike checkpoint() this gives the rows' true size: a checkpoint keeps the estimate of the plan that made it, and
+    estimates of joins multiply from round to round until working them out takes minutes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tenant_scope(df: DataFrame, organization: Column, organization_id: object, project: Column | None = None, project_id: object = None, super_admin: bool = False) -> DataFrame:
