@@ -321,8 +321,9 @@ def scores_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "part"), [(2_000_000, 4_000_000), (500, 300)])
-def test_scores_match_brute_force(odd, docs, none, block, part):
+@pytest.mark.parametrize(("block", "part", "places"), [(2_000_000, 4_000_000, 4096), (500, 300, 4096), (500, 300, 3)])
+def test_scores_match_brute_force(odd, docs, none, block, part, places, monkeypatch):
+    monkeypatch.setattr(lm_score, "MAX_PLACES", places)
     for df in (odd, docs.where("doc_id < 60")):
         order = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
         want = sorted(scores_by_hand([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]), key=order)

@@ -18,7 +18,8 @@ The work is dealt so that no word, context or group of copies is too large for a
 3. *Scores*: each block meets its answers and scores its own documents.
 
 Parts hold about ``PART_TOKENS`` tokens and shuffles have as many partitions as there are parts or
-blocks, so tasks stay alike at any size.  A document is never cut, so a block is as large as its
+blocks, up to ``MAX_PLACES``: then a partition holds several, which a task works off one by one, so what a task holds stays alike at any
+size.  Up to that number the driver knows the blocks' numbers, beyond it only how many there are.  Blocks and answers are deleted once the scores are written.  A document is never cut, so a block is as large as its
 largest document at least.  What is gathered (distinct words and bigrams by block) grows with the
 corpus; to the driver go only the totals and a histogram of bounded size for the weights.  Words are
 told apart by 64 bits of a hash, bigrams by 64 bits and, independently, by their part.
@@ -41,9 +42,10 @@ import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fold, ship, written
+from .common import drop_written, fold, ship, written
 
-MAX_BROADCAST_BLOCKS = 4_000_000
+#: Partitions of a shuffle at most; beyond that many blocks or parts a partition holds several, one after the other.
+MAX_PLACES = 4096
 BLOCK_TOKENS, PART_TOKENS, BUCKETS, ROUNDS, GRAIN = 1_000_000, 4_000_000, 24, 40, 4
 #: Folds of the ids: one is tested, one of the others is held out for the weights.
 PARTS, TESTED, HELD = 5, 1, 0
@@ -191,8 +193,8 @@ def slots(spark: SparkSession, n: int) -> list[int]:
     """Keys for slots 0 to n - 1: ``repartition(n, key)`` puts each into a partition of its own.
 
     Numbers are tried in order until each remainder of their hash has one, so no task gets two parts or
-    blocks by chance; a slot that none hits (hardly ever) gets a number of its own.  There is one key
-    for each ``PART_TOKENS`` or ``BLOCK_TOKENS`` tokens.
+    blocks by chance; a slot that none hits (hardly ever) gets a number of its own.  Only for ``MAX_PLACES`` slots at
+    most: beyond that many parts or blocks share a partition, dealt by the hash of their number.
     """
     tried = spark.range(n * (n.bit_length() + 8)).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot")).agg(F.min("id").alias("key"))
     found = {r["slot"]: r["key"] for r in tried.collect()}
@@ -219,7 +221,7 @@ def make_blocks(docs: DataFrame, role: Column, block_tokens: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), role.cast("int").alias("role"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
-def ask(blocks: DataFrame, parts: int, keys: list[int]) -> DataFrame:
+def ask(blocks: DataFrame, parts: int, keys: list[int] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("place", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("role", pa.int32()), *((x, pa.binary()) for x in ("words", "word_counts", "pairs", "pair_counts"))])
         for batch in batches:
@@ -227,13 +229,13 @@ def ask(blocks: DataFrame, parts: int, keys: list[int]) -> DataFrame:
                 t, rows = BlockTypes(row["words"], row["tokens"], parts), []
                 for k in sorted(t.word_cuts.keys() | t.pair_cuts.keys()):
                     w, p = (order[slice(*cuts.get(k, (0, 0)))] for order, cuts in ((t.word_order, t.word_cuts), (t.pair_order, t.pair_cuts)))
-                    rows.append({"place": keys[k], "part": k, "block": row["block"], "role": row["role"], "words": squeezed_keys(t.hashes[w]), "word_counts": squeezed(t.word_counts[w]), "pairs": squeezed_keys(t.pair_keys[p]), "pair_counts": squeezed(t.pair_counts[p])})
+                    rows.append({"place": keys[k] if keys else k, "part": k, "block": row["block"], "role": row["role"], "words": squeezed_keys(t.hashes[w]), "word_counts": squeezed(t.word_counts[w]), "pairs": squeezed_keys(t.pair_keys[p]), "pair_counts": squeezed(t.pair_counts[p])})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return blocks.select("block", "role", "words", "tokens").mapInArrow(run, REQUEST)
 
 
-def answer(requests: DataFrame, parts: int, places: Broadcast) -> DataFrame:
+def answer(requests: DataFrame, parts: int, places: Broadcast | None) -> DataFrame:
     def totals(keys: list[np.ndarray], counts: list[np.ndarray], roles: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate(counts).astype(np.float64)
@@ -252,14 +254,14 @@ def answer(requests: DataFrame, parts: int, places: Broadcast) -> DataFrame:
             w, p = w + len(words[k]), p + len(pairs[k])
             first = k == 0  # the part's totals, once
             out.append({
-                "place": places.value[r["block"]], "block": r["block"], "role": r["role"], "part": r["part"], "words_counted": squeezed(w_counted[wi]), "words_held": squeezed(w_held[wi]), "pairs_counted": squeezed(p_counted[pi]), "pairs_held": squeezed(p_held[pi]),
+                "place": places.value[r["block"]] if places else r["block"], "block": r["block"], "role": r["role"], "part": r["part"], "words_counted": squeezed(w_counted[wi]), "words_held": squeezed(w_held[wi]), "pairs_counted": squeezed(p_counted[pi]), "pairs_held": squeezed(p_held[pi]),
                 "v_counted": first * int((w_counted > 0).sum()), "v_all": first * int((both > 0).sum()), "n_counted": first * int(w_counted.sum()), "n_all": first * int(both.sum()),
             })
         binary = ("words_counted", "words_held", "pairs_counted", "pairs_held")
         schema = pa.schema([("place", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in binary), *((x, pa.int64()) for x in ("v_counted", "v_all", "n_counted", "n_all"))])
         return pa.Table.from_pylist(out, schema)
 
-    return requests.repartition(parts, "place").groupBy("place").applyInArrow(add_up, REPLY)
+    return requests.repartition(min(parts, MAX_PLACES), "place").groupBy("place").applyInArrow(add_up, REPLY)
 
 
 def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,17 +271,19 @@ def answers_of(types: BlockTypes, replies: pa.Table) -> tuple[np.ndarray, np.nda
     return *words, *pairs
 
 
-def meet(blocks: DataFrame, replies: DataFrame, places: Broadcast):
-    """Each block with its answers, a block to a partition."""
-    n = max(1, len(places.value))
-    # one narrow row for each block
-    keys = blocks.sparkSession.createDataFrame(list(places.value.items()), "block long, place long")
-    placed = blocks.join(F.broadcast(keys) if n <= MAX_BROADCAST_BLOCKS else keys, "block")
+def meet(blocks: DataFrame, replies: DataFrame, places: Broadcast | None):
+    """Each block with its answers: a block to a partition, or ``MAX_PLACES`` partitions of many blocks each."""
+    if places is None:
+        n, placed = MAX_PLACES, blocks.withColumn("place", F.col("block"))
+    else:
+        n = max(1, len(places.value))
+        # one narrow row for each block
+        placed = blocks.join(F.broadcast(blocks.sparkSession.createDataFrame(list(places.value.items()), "block long, place long")), "block")
     ours, theirs = (df.repartition(n, "place").groupBy("place") for df in (placed, replies))
     return ours.cogroup(theirs)
 
 
-def held_out_histogram(blocks: DataFrame, replies: DataFrame, places: Broadcast, parts: int, n_counted: int) -> DataFrame:
+def held_out_histogram(blocks: DataFrame, replies: DataFrame, places: Broadcast | None, parts: int, n_counted: int) -> DataFrame:
     """Counts of held-out tokens by context bucket and grains of the bigram and unigram estimates."""
 
     def grain(p: np.ndarray) -> np.ndarray:
@@ -304,11 +308,14 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
     part = fold(docs["doc_id"], PARTS)
     role = F.when(part == TESTED, TESTED_ROLE).when(part == HELD, HELD_ROLE).otherwise(COUNTED_ROLE)
     blocks = written(make_blocks(docs, role, block_tokens), "lm-blocks")
-    numbers_of = sorted(tuple(r) for r in blocks.select("block", "n_tokens").collect())  # one for each block
+    n_blocks, n_tokens = blocks.agg(F.count("*"), F.sum("n_tokens")).first()
     # a block's distinct words and bigrams number at most twice its tokens
-    parts, spark = max(1, -(-sum(n for _, n in numbers_of) // part_tokens)), docs.sparkSession
-    places = spark.sparkContext.broadcast(dict(zip((b for b, _ in numbers_of), slots(spark, max(1, len(numbers_of))))))
-    replies = written(answer(ask(blocks, parts, slots(spark, parts)), parts, places), "lm-replies")
+    parts, spark = max(1, -(-(n_tokens or 0) // part_tokens)), docs.sparkSession
+    places = None
+    if n_blocks <= MAX_PLACES:
+        ids = sorted(r["block"] for r in blocks.select("block").collect())  # ``MAX_PLACES`` at most
+        places = spark.sparkContext.broadcast(dict(zip(ids, slots(spark, max(1, n_blocks)))))
+    replies = written(answer(ask(blocks, parts, slots(spark, parts) if parts <= MAX_PLACES else None), parts, places), "lm-replies")
     v_counted, v_all, n_counted, n_all = (int(x or 0) for x in replies.agg(*(F.sum(c) for c in ("v_counted", "v_all", "n_counted", "n_all"))).first())
     # at most BUCKETS x (grains + 1)^2 rows, whatever the corpus
     found = held_out_histogram(blocks, replies, places, parts, n_counted).collect()
@@ -333,4 +340,7 @@ def score_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_toke
             "train_tokens": np.full(n, n_all), "base_score": np.add.reduceat(base[t.tokens], starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    return meet(blocks, replies, places).applyInArrow(run, SCORE)
+    scores = written(meet(blocks, replies, places).applyInArrow(run, SCORE), "lm-scores")
+    drop_written(blocks)
+    drop_written(replies)
+    return scores
