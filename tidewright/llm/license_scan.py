@@ -2,7 +2,7 @@
 
 Lines are read without comment marks; blank ones (a lone mark is blank) part paragraphs.  A paragraph
 with a cue word (``CUES``, a word the templates use to speak of licences) is classified by its lines with
-a cue, and whole if it has at most ``WHOLE`` words, otherwise by windows of consecutive lines of about ``STEP`` words (a very long
+a cue, by their clauses (parts between ``JOINING`` words), and whole if it has at most ``WHOLE`` words, otherwise by windows of consecutive lines of about ``STEP`` words (a very long
 line counts as several), those with a cue.  So wrapped notices, comment blocks and texts without blank
 lines are found alike.  The classifier is multinomial logistic regression over sparse word 1- to
 3-grams, learned from generated variants of the templates and paragraphs that grant nothing.
@@ -81,6 +81,17 @@ TEMPLATES = {
 }
 #: Words by which the notices speak of licences.
 CUES = frozenset("license licensed licence licenced licenses licensing apache mit bsd gnu gpl lgpl agpl affero lesser mozilla mpl isc unlicense unencumbered cc cc0 commons copyright copyrights rights reserved proprietary confidential warranties permission hereby redistribution redistribute redistributions software domain compliance waived endorse spdx zlib copyleft warranty disclaims".split())
+#: Short names of the families; ``SHORT`` says how a line names one.
+NAMES = {
+    "apache-2.0": "Apache-2.0 | Apache 2.0 | Apache 2 | Apache v2 | Apache License 2.0", "mit": "MIT", "bsd": "BSD | BSD-3-Clause | BSD-2-Clause", "gpl": "GPL | GPLv2 | GPLv3 | GPL v2 | GPL v3 | GPL-2.0 | GPL-3.0 | GNU GPL | GNU GPLv2 | GNU GPLv3 | GNU GPL v2 | GNU GPL v3",
+    "lgpl": "LGPL | LGPLv2.1 | LGPLv3 | LGPL v2.1 | LGPL v3 | GNU LGPL | GNU LGPL v3", "agpl": "AGPL | AGPLv3 | AGPL v3 | GNU AGPL v3 | GNU AGPLv3", "mpl-2.0": "MPL 2.0 | MPL-2.0 | MPLv2", "isc": "ISC", "zlib": "zlib", "unlicense": "Unlicense | The Unlicense",
+    "cc0": "CC0 | CC0-1.0 | CC0 1.0", "cc-by": "CC BY 4.0 | CC-BY-4.0", "cc-by-sa": "CC BY-SA 4.0 | CC-BY-SA-4.0", "cc-by-nc": "CC BY-NC 4.0 | CC-BY-NC-4.0", "cc-by-nd": "CC BY-ND 4.0 | CC-BY-ND-4.0",
+}
+SHORT = ("License: {}", "Licensed under {}", "Licensed under the {}", "Released under the {}")
+#: An SPDX line and what its expression is made of; what follows WITH is an exception, no licence.
+SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+()\x20-]*[A-Za-z0-9.+)])", re.I)
+SPDX_WORD = re.compile(r"(?:WITH\x20+)?[A-Za-z0-9.+-]+", re.I)
+JOINING = frozenset("or and".split())
 #: What begins a comment's line, or is all of it.
 MARK = re.compile(r"[^\S\n]*(?:(?:#+|//+!?|/\*+|\*+/?|--+|;+|%+|>+|<!--|-->|'''|\"\"\"|REM\b)[^\S\n]*)*")
 WORD = re.compile(r"[^\W_]+")
@@ -124,6 +135,10 @@ class Paragraph:
             a, b = bisect_left(self.line_of, line), bisect_left(self.line_of, line + 1)
             if b - a < whole:
                 yield a, b
+        for line in sorted({self.line_of[k] for k in self.cues}):
+            a, b = bisect_left(self.line_of, line), bisect_left(self.line_of, line + 1)
+            if b - a < whole:
+                yield from self.clauses(a, b)
         if n <= whole:
             yield 0, n
             return
@@ -137,6 +152,13 @@ class Paragraph:
             if at < len(self.cues) and self.cues[at] < b:
                 yield a, b
 
+    def clauses(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The parts of a line between words that join clauses, if there are several: each may name another licence."""
+        cuts = [a - 1, *(k for k in range(a, b) if self.words[k] in JOINING), b]
+        for low, high in zip(cuts, cuts[1:]) if len(cuts) > 2 else ():
+            if high - low > 2 and not CUES.isdisjoint(self.words[low + 1 : high]):
+                yield low + 1, high
+
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Where the lines of a range of words stand in the text."""
         return self.lines[self.line_of[a]][0], self.lines[self.line_of[b - 1]][1]
@@ -186,6 +208,10 @@ def _variants(rnd: random.Random) -> Iterator[tuple[str, str]]:
                 kept = [w for w in words if rnd.random() > 0.06] if len(words) > 9 and k % 3 else words
                 lead = prose(1, 12) + rnd.choice([". ", " ", ": "]) if k % 4 == 1 else "Copyright (c) 20%02d %s. " % (rnd.randint(0, 40), prose(1, 2)) if k % 4 == 2 else ""
                 yield family, lead + " ".join(kept) + rnd.choice([".", "", ". " + prose(2, 9)])
+    for family, names in NAMES.items():
+        lines = [form.format(name) for name in names.split(" | ") for form in SHORT]
+        for _ in range(VARIANTS // 2):
+            yield family, rnd.choice(["", prose(1, 6) + ". "]) + rnd.choice(lines) + rnd.choice(["", ".", ", " + prose(1, 6)])
     for _ in range(10 * VARIANTS):
         text = prose(3, 40)
         for _ in range(rnd.randint(0, 3)):
@@ -201,6 +227,8 @@ def default_model() -> dict:
 def train() -> dict:
     rnd = random.Random(314)
     templates = {f: [words_of(x) for x in xs] for f, xs in TEMPLATES.items()}
+    # a name must be there word for word, or one family's would confirm another's
+    short = {f: [words_of(form.format(name)) for name in names.split(" | ") for form in SHORT] for f, names in NAMES.items()}
     classes = [UNKNOWN, *TEMPLATES]
     made = [(f, words_of(t)) for f, t in _variants(rnd)]
     # learned: what occurs in several of the paragraphs that grant something
@@ -232,7 +260,7 @@ def train() -> dict:
         z -= z.max(axis=1, keepdims=True)
         return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean())
 
-    return {"classes": classes, "vocabulary": vocabulary, "w": w, "b": b, "temperature": min((0.5 * 1.1**k for k in range(40)), key=loss), "templates": {f: [(len(y), trigrams(y)) for x in xs for y in pieces(x)] for f, xs in templates.items()}}
+    return {"classes": classes, "vocabulary": vocabulary, "w": w, "b": b, "temperature": min((0.5 * 1.1**k for k in range(40)), key=loss), "templates": {f: [(len(y), trigrams(y), CONFIRM) for x in xs for y in pieces(x)] + [(len(x), trigrams(x), 1.0) for x in short.get(f, ())] for f, xs in templates.items()}}
 
 
 def pieces(words: list[str]) -> list[list[str]]:
@@ -286,8 +314,8 @@ def scan(text: str, model: dict) -> list[tuple[int, int, str, float, float]]:
         found: dict[str, list[tuple[int, int, float, float]]] = {}
         for low, high in part.windows(WHOLE, STEP):
             for family, p in classify(model, part.words[low:high]):
-                compared = (confirm(part, low, high, size, t) for size, t in model["templates"][family])
-                found.setdefault(family, []).extend((a, b, p, like) for like, a, b in compared if like >= CONFIRM)
+                compared = ((confirm(part, low, high, size, t), least) for size, t, least in model["templates"][family])
+                found.setdefault(family, []).extend((a, b, p, like) for (like, a, b), least in compared if like >= least)
         for family, ranges in found.items():
             joined: list[list] = []
             for a, b, p, like in sorted(ranges):
@@ -296,7 +324,22 @@ def scan(text: str, model: dict) -> list[tuple[int, int, str, float, float]]:
                 else:
                     joined.append([a, b, p, like])
             out += [(*part.span(a, b), family, p, like) for a, b, p, like in joined]
-    return sorted(out)
+    return sorted(out + [x for x in spdx(text, model) if not any(y[2] == x[2] and y[0] < x[1] and x[0] < y[1] for y in out)])
+
+
+def spdx(text: str, model: dict) -> list[tuple[int, int, str, float, float]]:
+    """What each identifier of an SPDX expression names: classified and compared as if it stood alone on its line."""
+    out = []
+    for m in SPDX.finditer(text):
+        for name in SPDX_WORD.findall(m[1]):
+            if name.upper() in ("AND", "OR") or name.upper().startswith("WITH "):
+                continue
+            words = words_of(f"SPDX-License-Identifier: {name}")
+            for family, p in classify(model, words):
+                like = max((len(t & trigrams(words)) / len(t) for _, t, _ in model["templates"][family]), default=0.0)
+                if like >= CONFIRM and (m.start(), m.end(), family) not in [x[:3] for x in out]:
+                    out.append((m.start(), m.end(), family, p, like))
+    return out
 
 
 # --- Spark --------------------------------------------------------------------------------------
