@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -135,3 +136,35 @@ def execution_quality(trace: Column, error: Column) -> Column:
     bad = F.size(F.filter(calls, lambda x: x["status"].isin("denied", "failed")))
     clean = F.coalesce(1.0 - F.try_divide(bad.cast("double"), F.size(calls).cast("double")), F.lit(1.0))
     return F.when(F.coalesce(F.length(error), F.lit(0)) > 0, 0.0).otherwise(F.greatest(F.lit(0.0), clean))
+
+
+MAX_DEPTH = 8
+SEGMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*|[0-9]+")
+
+
+def path_segments(path: str) -> list[str]:
+    """The segments of an attribute path; a path that is empty, too deep or malformed is an error."""
+    segments = path.strip().split(".")
+    if len(segments) > MAX_DEPTH:
+        raise ValueError(f"a path has {MAX_DEPTH} segments at most: {path!r}")
+    for segment in segments:
+        if not SEGMENT.fullmatch(segment):
+            raise ValueError(f"not a path segment: {segment!r} in {path!r}")
+    return segments
+
+
+def resolved(document: Column, path: str) -> Column:
+    """What a VARIANT holds at a path through objects and list places, as a VARIANT; SQL NULL if nothing is there.
+
+    A JSON null that is there stays a VARIANT null (``is_missing`` is false for it).  A number is a key of an object and a place of a list.
+    """
+    at = document
+    for segment in path_segments(path):
+        key = F.try_variant_get(at, f"$['{segment}']", "variant")
+        at = F.coalesce(key, F.try_variant_get(at, f"$[{segment}]", "variant")) if segment.isdigit() and int(segment) < 1 << 31 else key
+    return at
+
+
+def is_missing(value: Column) -> Column:
+    """Whether ``resolved`` found nothing, as against a null that is there."""
+    return value.isNull()

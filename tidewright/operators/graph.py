@@ -450,3 +450,40 @@ def critical_path(spans: DataFrame) -> DataFrame:
             break
         out = out.unionAll(front)
     return out
+
+
+def criticality(nodes: DataFrame, edges: DataFrame, weights: DataFrame | None = None, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, score): how much of the graph leans on a node, by power iteration along the edges (src depends on dst).
+
+    Every node passes ``damping`` of its score on to what it depends on, in equal parts; a node that depends on
+    nothing keeps it, so nothing has to be summed over all nodes.  ``weights`` (node, weight) gives declared criticality,
+    by which a score is multiplied in the end; 1 where none is given.  A round is one join and one sum by node.
+    """
+    known = cut(nodes.select("node").distinct())
+    step = edges.select("src", "dst").where("src <> dst").distinct().join(known.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst")
+    step = cut(step.join(step.groupBy("src").agg(F.count(F.lit(1)).alias("ways")), "src"))
+    ends = known.join(step.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("_end", F.lit(True))
+    now = cut(known.join(ends, "node", "left").select("node", F.coalesce("_end", F.lit(False)).alias("_end"), F.lit(1.0).alias("score")))
+    for _ in range(rounds):
+        given = step.join(now.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("ways")).alias("given"))
+        kept = F.when(F.col("_end"), F.col("score")).otherwise(0.0)
+        now = cut(now.join(given, "node", "left").select("node", "_end", (F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + kept)).alias("score")))
+    if weights is None:
+        return now.select("node", "score")
+    return now.join(weights.groupBy("node").agg(F.max("weight").alias("weight")), "node", "left").select("node", (F.col("score") * F.coalesce("weight", F.lit(1.0))).alias("score"))
+
+
+def graph_statistics(nodes: DataFrame, edges: DataFrame, weights: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """One row: node_count, relationship_count, orphan_count, average_degree, max_degree, density, components and the ``top`` critical assets."""
+    known = cut(nodes.select("node").distinct())
+    pairs = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi"))
+    degree = known.join(degrees(pairs).select("node", (F.col("fan_in") + F.col("fan_out")).alias("degree")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    sums = degree.agg(F.count(F.lit(1)).alias("node_count"), F.sum((F.col("degree") == 0).cast("long")).alias("orphan_count"), F.round(F.avg("degree"), 4).alias("average_degree"), F.max("degree").alias("max_degree"), F.sum("degree").alias("ends"))
+    n = F.col("node_count")
+    parts = connected_components(known, pairs).agg(F.count_distinct("component").alias("components"))
+    ranked = criticality(known, pairs, weights).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "node").limit(top)
+    best = ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))), lambda x: x["node"]).alias("critical_assets"))
+    # each side is one row, met by a constant
+    one = F.lit(1).alias("_one")
+    whole = sums.withColumn("relationship_count", (F.coalesce("ends", F.lit(0)) / 2).cast("long")).withColumn("density", F.when(n > 1, F.col("relationship_count") / (n * (n - 1))).otherwise(0.0)).drop("ends")
+    return whole.select("*", one).join(parts.select("*", one), "_one").join(best.select("*", one), "_one").drop("_one")

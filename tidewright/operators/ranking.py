@@ -123,39 +123,6 @@ def field_score(query: Column, title: Column, keywords: Column, summary: Column)
     return F.when(F.size(q) == 0, 0.0).otherwise(hit / F.size(q))
 
 
-def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, ident, score, rank): the k nearest of each query, as ``vector_search`` has them.
-
-    Queries go in blocks of ``block``, each broadcast as one matrix; a batch of vectors meets a block
-    in one product and keeps each query's best k and what ties with the last of them, so few rows are
-    ranked in the end.  queries: query_id, query.
-    """
-    rows = queries.orderBy("query_id").collect()
-    parts = []
-    for at in range(0, len(rows), block):
-        some = rows[at : at + block]
-        sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["query"] for r in some], np.float64)))
-
-        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, matrix = sent.value
-            norms = np.linalg.norm(matrix, axis=1)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch[column].tolist(), np.float64)
-                lengths = np.linalg.norm(x, axis=1)[:, None] * norms[None]
-                scores = np.round(np.where(lengths > 0, (x @ matrix.T) / np.where(lengths > 0, lengths, 1), 0), 9)
-                for q in range(len(names)):
-                    s = scores[:, q]
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    yield pd.DataFrame({"query_id": names[q], ident: batch[ident].to_numpy()[near], "score": s[near]})
-
-        parts.append(vectors.select(ident, column).mapInPandas(nearest, f"query_id long, {ident} {vectors.schema[ident].dataType.simpleString()}, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {ident} {vectors.schema[ident].dataType.simpleString()}, score double, rank int")
-    return top_per_query(reduce(DataFrame.unionByName, parts), k, ident).withColumn("score", F.greatest(F.lit(0.0), "score"))
-
-
 def search_keyword(chunks: DataFrame, terms: Sequence[str], text: str, owners: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Chunks that hold any of the terms, in any case; with ``owners`` only those of the documents listed there."""
     if not terms:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scoring as S, text as T
-from ..operators import ranking as R
+from ..operators import ranking as R, vectors as V
 from ..session import load, spread
 from .registry import query
 
@@ -169,9 +169,31 @@ def answer_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", T.token_jaccard(F.col("text"), F.col("next_text")).alias("jaccard"))
 
 
-@query()
+def _last(mark: str) -> str:
+    """Where the last such mark of the window ends, or NULL."""
+    return f"CASE WHEN instr(v, reverse({mark})) > 0 THEN stop - instr(v, reverse({mark})) + 1 END"
+
+
+SENTENCES = ", ".join(_last(m) for m in ("'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"))
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+CHUNKS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, trim(coalesce(text, ''), {BLANKS}) AS body FROM documents),
+r AS (
+  SELECT doc_id, rid, body, CAST(-1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM d
+  UNION ALL
+  SELECT doc_id, rid, body, first, CASE WHEN cut > first THEN cut ELSE stop END FROM (
+    SELECT *, CASE WHEN stop = length(body) THEN stop ELSE coalesce({_last("chr(10) || chr(10)")}, nullif(list_reduce(list_prepend(-5, list_filter([{SENTENCES}], lambda e: e IS NOT NULL)), lambda kept, e: CASE WHEN e - 2 > kept THEN e ELSE kept END), -5), {_last("' '")}, stop) END AS cut FROM (
+      SELECT *, reverse(substr(body, stop - stop // 3 + 1, stop // 3)) AS v FROM (
+        SELECT *, least(first + 1000, length(body)) AS stop FROM (
+          SELECT doc_id, rid, body, CASE WHEN a < 0 THEN 0 ELSE greatest(b - 100, a + 1) END AS first FROM r WHERE a < 0 OR b < length(body)))))),
+c AS (SELECT doc_id, rid, a, b, trim(substr(body, a + 1, b - a), {BLANKS}) AS content FROM r WHERE a >= 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY a) - 1 AS INTEGER) AS sequence, CAST(a AS INTEGER) AS start_at, CAST(b AS INTEGER) AS end_at, sha256(content) AS content_hash FROM c WHERE content <> ''
+"""
+
+
+@query(CHUNKS)
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of whole texts (an order-dependent cut), checked in the tests."""
+    """Chunks of whole texts, as arrays."""
     docs = spread(load(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.chunked(F.col("text"), 1000, 100)).alias("c"))
     return docs.select("doc_id", "c.sequence", "c.start_at", "c.end_at", F.sha2("c.content", 256).alias("content_hash"))
 
@@ -226,7 +248,7 @@ SELECT query_id, vec_id, round(greatest(0, c), 6) AS score FROM (SELECT *, row_n
 def vector_top(spark: SparkSession, sf: str) -> DataFrame:
     v = load(spark, sf, "embeddings")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return R.vector_search_many(v.where("label <= 5"), queries, 20).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return V.search_exact(v.where("label <= 5"), queries, 20).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query()
