@@ -184,9 +184,15 @@ def holm(df: DataFrame, keys: Sequence[str], p: str, ident: str) -> DataFrame:
     return step.withColumn("adjusted", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s").unionByName(df.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
 
 
-def platform_gaps(df: DataFrame, bucket: str, observed: str) -> DataFrame:
-    """Buckets in which more than half of the series are silent."""
-    return df.groupBy(bucket).agg(F.avg((~F.col(observed)).cast("double")).alias("silent")).where("silent > 0.5")
+def platform_gaps(rows: DataFrame, bucket: str, series: str, observed: Column) -> DataFrame:
+    """Buckets in which more than half of all series are silent; ``observed`` says which rows count as heard.
+
+    Every series in each bucket that was heard is counted once, against the number of series in all: no bucket meets
+    every series.
+    """
+    many = rows.select(series).distinct().count()
+    heard = rows.groupBy(bucket).agg(F.count_distinct(F.when(observed, F.col(series))).alias("_heard"))
+    return heard.withColumn("silent", 1 - F.col("_heard") / F.lit(max(many, 1))).where("silent > 0.5").select(bucket, "silent")
 
 
 def specificity(inside: Column, baseline: Column) -> Column:

@@ -130,10 +130,10 @@ def fan_out(batch: DataFrame, handlers: Sequence[tuple[int, Column | str, Callab
     return failed
 
 
-def snapshot_then_updates(current: DataFrame, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> Any:
-    """A subscriber's view: the present rows first, then each batch of changes."""
-    sink(current)
-    return stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def snapshot_then_updates(current: DataFrame, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> Any:
+    """A subscriber's view: the present rows first (as batch -1), then each batch of changes with its number, the same again if it is repeated."""
+    sink(current, -1)
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
