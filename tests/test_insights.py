@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import payloads as P, text as T
-from tidewright.operators import aggregates as A, graph as G, shapes as SH, vectors as V
+from tidewright.operators import aggregates as A, graph as G, series_pairs as SP, shapes as SH, vectors as V
 from tidewright.streaming import signals as SG, states as ST
 
 
@@ -133,3 +133,62 @@ def test_sliding_limit_across_batches(spark, tmp_path):
         want.append((k, round(t.timestamp(), 3), allowed, 4 - len(mine)))
     order = lambda r: (r[0] or "", *r[1:])
     assert sorted(((r.key, round(r.t, 3), r.allowed, r.remaining) for r in got), key=order) == sorted(want, key=order)
+
+
+def plain_pairs(data, lags, least=5):
+    series = {}
+    for s, b, v in data:
+        if v is not None:
+            series.setdefault(s, {}).setdefault(b, []).append(v)
+    series = {s: {b: sum(v) / len(v) for b, v in x.items()} for s, x in series.items()}
+
+    def ranks(x):
+        return [sum(y < v for y in x) + (sum(y == v for y in x) + 1) / 2 for v in x]
+
+    def corr(x, y):
+        return None if len(set(x)) < 2 or len(set(y)) < 2 else float(np.corrcoef(x, y)[0, 1])
+
+    def steps(x):
+        at = sorted(x)
+        return {b: x[b] - x[a] for a, b in zip(at, at[1:])}
+
+    def auto(x):
+        at = sorted(x)
+        r = corr([x[b] for b in at[1:]], [x[b] for b in at[:-1]]) if len(at) > 2 else None
+        return r is not None and r > 0.5
+
+    out = {}
+    for a in series:
+        for z in series:
+            if a < z:
+                d = auto(series[a]) or auto(series[z])
+                x, y = (steps(series[k]) if d else series[k] for k in (a, z))
+                best = None
+                for lag in lags:
+                    both = [b for b in x if b + lag in y]
+                    r = corr(ranks([x[b] for b in both]), ranks([y[b + lag] for b in both])) if len(both) >= least else None
+                    if r is not None:
+                        key = (round(abs(r), 9), -abs(lag), -lag)
+                        best = max(best, (key, lag, r, len(both))) if best else (key, lag, r, len(both))
+                if best and abs(best[2]) >= max(0.5, min(1.0, 2.576 / (best[3] - 1) ** 0.5)) - 1e-9:
+                    out[a, z] = (best[1], round(best[2], 6), best[3], d)
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_pairs_of_series_like_plain_lists(spark, block):
+    rnd = random.Random(5)
+    base = [rnd.random() for _ in range(40)]
+    data = []
+    for s in range(9):
+        for b in range(3, 40):
+            v = base[b - s % 3] + rnd.random() * 0.4 if s < 6 else b * 0.5 + rnd.random() if s == 6 else rnd.random()
+            if s % 2 == 0 or rnd.random() < 0.8:
+                data.append((f"s{s}", b, v))
+    data += [("flat", b, 1.0) for b in range(20)] + [("few", 1, 2.0), ("s1", 3, None), ("s2", 5, 0.3)]
+    df = spark.createDataFrame(data, "s string, b int, v double")
+    lags = [-2, -1, 0, 1, 3]
+    got = {(r["first"], r["second"]): (r.lag, round(r.rho, 6), r.n, r.differenced) for r in SP.correlated_pairs(df, "s", "b", "v", lags, block=block).collect()}
+    assert got == plain_pairs(data, lags) and len(got) > 5
+    assert {r.s: r.reason for r in SP.unmeasurable(df, "s", "b", "v").collect()} == {"flat": "constant", "few": "too_few_buckets"}
+    assert SP.correlated_pairs(df.where("false"), "s", "b", "v", lags).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import payloads as P, scoring as S, text as T
-from ..operators import aggregates as A, graph as G, shapes as SH, vectors as V
+from ..operators import aggregates as A, graph as G, series_pairs as SP, shapes as SH, vectors as V
 from ..session import cut, load, spread
 from .networks import CALLS, calls, services
 from .registry import query
@@ -148,3 +148,22 @@ SELECT count(*) AS node_count, CAST(sum(CASE WHEN degree = 0 THEN 1 ELSE 0 END)
 """)
 def service_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return G.graph_statistics(services(spark, sf), calls(spark, sf), _declared(spark, sf))
+
+
+# --- pairs of series
+
+
+@query("""
+WITH c AS (SELECT user_id AS s, CAST(floor(epoch(ts) / 172800) AS BIGINT) AS b, avg(value) AS v FROM events GROUP BY ALL), l AS (SELECT *, lag(v) OVER (PARTITION BY s ORDER BY b) AS p FROM c),
+auto AS (SELECT s, coalesce(CASE WHEN count(p) >= 2 AND min(p) < max(p) THEN corr(v, p) FILTER (p IS NOT NULL) END > 0.5, false) AS auto FROM l GROUP BY s),
+x AS (SELECT s, b, v AS y, false AS d FROM l UNION ALL SELECT s, b, v - p, true FROM l WHERE p IS NOT NULL), g AS (SELECT unnest([-2, -1, 0, 1, 2]) AS lag),
+m AS (SELECT a.s AS first, z.s AS second, lag, a.d AS differenced, a.y AS ya, z.y AS yz FROM x a JOIN x z ON a.s < z.s AND a.d = z.d JOIN auto fa ON fa.s = a.s JOIN auto fz ON fz.s = z.s, g WHERE z.b = a.b + lag AND a.d = (fa.auto OR fz.auto)),
+r AS (SELECT *, rank() OVER (PARTITION BY first, second, lag ORDER BY ya) + (count(*) OVER (PARTITION BY first, second, lag, ya) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY first, second, lag ORDER BY yz) + (count(*) OVER (PARTITION BY first, second, lag, yz) - 1) / 2.0 AS rz FROM m),
+k AS (SELECT first, second, lag, differenced, round(corr(ra, rz), 9) AS rho, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 5 AND min(ra) < max(ra) AND min(rz) < max(rz)),
+best AS (SELECT *, row_number() OVER (PARTITION BY first, second ORDER BY abs(rho) DESC, abs(lag), lag) AS place FROM k)
+SELECT first, second, CAST(lag AS INTEGER) AS lag, round(rho, 6) AS rho, n, differenced FROM best WHERE place = 1 AND abs(rho) >= round(greatest(0.5, least(1, 2.576 / sqrt(n - 1))), 9)
+""")
+def series_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Users whose mean values move together, over two-day buckets."""
+    e = load(spark, sf, "events").withColumn("b", F.floor(S.seconds(F.col("ts")) / 172800).cast("long"))
+    return SP.correlated_pairs(e, "user_id", "b", "value", [-2, -1, 0, 1, 2]).withColumn("rho", F.round("rho", 6))
