@@ -118,6 +118,13 @@ class Paragraph:
         self.line_of: list[int] = []
         self.lines: list[tuple[int, int]] = []
         self.cues: list[int] = []
+        self._held: set[str] | None = None
+
+    def held(self) -> set[str]:
+        """All trigrams of a paragraph that is complete."""
+        if self._held is None:
+            self._held = trigrams(self.words)
+        return self._held
 
     def add(self, text: str, start: int, end: int) -> None:
         for m in WORD.finditer(text, start, end):
@@ -314,7 +321,10 @@ def scan(text: str, model: dict) -> list[tuple[int, int, str, float, float]]:
         found: dict[str, list[tuple[int, int, float, float]]] = {}
         for low, high in part.windows(WHOLE, STEP):
             for family, p in classify(model, part.words[low:high]):
-                compared = ((confirm(part, low, high, size, t), least) for size, t, least in model["templates"][family])
+                # no window holds more of a template than the paragraph does
+                held = part.held()
+                likely = [x for x in model["templates"][family] if x[0] < 3 or len(x[1] & held) >= x[2] * len(x[1])]
+                compared = ((confirm(part, low, high, size, t), least) for size, t, least in likely)
                 found.setdefault(family, []).extend((a, b, p, like) for (like, a, b), least in compared if like >= least)
         for family, ranges in found.items():
             joined: list[list] = []
