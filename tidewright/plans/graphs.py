@@ -197,9 +197,18 @@ def streamed_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE ts IS NOT NULL),
+r AS (
+  SELECT user_id, n, t, t AS began, 1 AS used, 0.0::DOUBLE AS blocked, true AS allowed FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, t, CASE WHEN fresh THEN t ELSE began END, CASE WHEN shut THEN used ELSE now END, CASE WHEN NOT shut AND now > 3 THEN t + 43200 ELSE blocked END, NOT shut AND now <= 3
+  FROM (SELECT *, CASE WHEN fresh THEN 1 ELSE used + 1 END AS now FROM (
+    SELECT e.*, r.began, r.used, r.blocked, e.t < r.blocked AS shut, e.t >= r.blocked AND (e.t - r.began >= 21600 OR r.used = 0) AS fresh FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.n = r.n + 1)))
+SELECT user_id, t, allowed FROM r
+""")
 def streamed_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """A stateful limiter over a stream, checked in the tests against a plain loop."""
+    """A fixed window from a key's first hit; going over it blocks the key for a while."""
     stream = _as_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
     limited = SG.rate_limited(stream, "user_id", "at", 3, 6 * 3600.0, 12 * 3600.0)
     out = _sink_dir(spark, "limited")
