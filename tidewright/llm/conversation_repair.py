@@ -157,7 +157,8 @@ def audits(rows: DataFrame) -> DataFrame:
     """Per conversation with rows in ``rows``: counts, cost and audit."""
     ship(rows.sparkSession)
     initial = F.substring("role", 1, 1)
-    dealt = marked(rows).repartition("conv_id").sortWithinPartitions("conv_id", *in_order()).select("conv_id", "turn", initial.alias("initial"), "fault")
+    # of rows alike in everything the one that is no duplicate comes first
+    dealt = marked(rows).repartition("conv_id").sortWithinPartitions("conv_id", *in_order(), F.col("fault") == "duplicate").select("conv_id", "turn", initial.alias("initial"), "fault")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tally, done = None, None, []

@@ -121,9 +121,8 @@ kinds AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(ra
   lambda c, b: xor(c >> 8, byte[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % 20 AS kind FROM d, crc),
 e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-  substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy, again) AS pos,
+  substr(role, 1, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM e)),
 g AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS gone, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM (
   SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM f)),
 zero AS (SELECT {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 3, 'a': 'I', 't': chr(10) || 'user:'}} AS s2, {{'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3),
