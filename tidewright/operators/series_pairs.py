@@ -1,10 +1,9 @@
 """Lagged rank correlation of all pairs of series, by blocks of the bucket matrix.
 
-Series are rows of a matrix over buckets.  They are dealt to blocks of about ``BLOCK`` series, and each pair of blocks is
-a task: where both series are observed throughout, one matrix product of their ranks gives a lag's correlations
-of all pairs at once; products of the observation masks tell which other pairs have enough common buckets, and only
-those are ranked one by one.  What leaves a task is the pairs that exceed the critical correlation, not all pairs.
-A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
+Series are rows of a matrix over buckets.  They are dealt to blocks of ``CELLS`` cells (``BLOCK`` series at most), those observed throughout apart from
+the others, and each pair of blocks is a task.  Rows that miss the same buckets are one pattern; for each pair of patterns one matrix product
+of the ranks in their common buckets gives a lag's correlations of all their pairs at once.  What leaves a task is the pairs that exceed
+the critical correlation, not all pairs.  A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
 """
 
 from __future__ import annotations
@@ -14,11 +13,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .statistics import correlation, rho_critical
 
-BLOCK, MAX_BUCKETS, LEAST_PAIRS, AUTOCORRELATED = 256, 10_000, 5, 0.5
+BLOCK, CELLS, MAX_BUCKETS, LEAST_PAIRS, AUTOCORRELATED = 1024, 2_500_000, 10_000, 5, 0.5
+#: Up to so many buckets, ranks come from comparing all of a row's values.
+COMPARED = 64
+MAX_TASKS = 4096
 
 
 def ranks(x: np.ndarray) -> np.ndarray:
@@ -29,30 +32,59 @@ def ranks(x: np.ndarray) -> np.ndarray:
 
 def _standard(x: np.ndarray) -> np.ndarray:
     """Ranks of each row, centred and of unit length; rows without spread become NaN."""
-    r = np.array([ranks(row) for row in x]).reshape(x.shape)
+    if x.shape[1] <= COMPARED:
+        r = np.empty(x.shape)
+        for k in range(x.shape[1]):
+            at = x[:, k : k + 1]
+            r[:, k] = (x < at).sum(1) + (x == at).sum(1) / 2
+    else:
+        r = np.array([ranks(row) for row in x]).reshape(x.shape)
     r -= r.mean(1, keepdims=True)
     length = np.sqrt((r * r).sum(1, keepdims=True))
     return np.divide(r, length, out=np.full_like(r, np.nan), where=length > 1e-12)
 
 
+def _patterns(seen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(the observed buckets, the rows) of each pattern of observation."""
+    found: dict[bytes, list[int]] = {}
+    for k, row in enumerate(np.packbits(seen, axis=1)):
+        found.setdefault(row.tobytes(), []).append(k)
+    return [(seen[rows[0]], np.array(rows)) for rows in found.values()]
+
+
 def lag_table(left: np.ndarray, right: np.ndarray, lag: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(rho, n) of every row of ``left`` with every row of ``right`` ``lag`` buckets later; NaN where unmeasurable."""
     width = left.shape[1]
     a, b = (left[:, : width - lag], right[:, lag:]) if lag >= 0 else (left[:, -lag:], right[:, : width + lag])
-    seen_a, seen_b = ~np.isnan(a), ~np.isnan(b)
-    n = (seen_a.astype(np.float64) @ seen_b.T.astype(np.float64)).astype(np.int64)
-    rho = np.full(n.shape, np.nan)
-    whole_a, whole_b = np.flatnonzero(seen_a.all(1)), np.flatnonzero(seen_b.all(1))
-    if a.shape[1] >= least and len(whole_a) and len(whole_b):
-        rho[np.ix_(whole_a, whole_b)] = _standard(a[whole_a]) @ _standard(b[whole_b]).T
-    ragged = n >= least
-    ragged[np.ix_(whole_a, whole_b)] = False
-    for i, j in zip(*np.nonzero(ragged)):
-        both = seen_a[i] & seen_b[j]
-        rho[i, j] = float((_standard(a[i : i + 1, both]) @ _standard(b[j : j + 1, both]).T)[0, 0])
+    n, rho = np.zeros((len(a), len(b)), np.int64), np.full((len(a), len(b)), np.nan)
+    theirs = _patterns(~np.isnan(b))
+    for seen_a, rows_a in _patterns(~np.isnan(a)):
+        ranked: dict[bytes, np.ndarray] = {}
+        for seen_b, rows_b in theirs:
+            both = seen_a & seen_b
+            many, at = int(both.sum()), np.ix_(rows_a, rows_b)
+            n[at] = many
+            if many >= least:
+                if (key := both.tobytes()) not in ranked:
+                    if len(ranked) >= 8:
+                        ranked.clear()
+                    ranked[key] = _standard(a[np.ix_(rows_a, both)])
+                rho[at] = ranked[key] @ _standard(b[np.ix_(rows_b, both)]).T
     return rho, n
 
 
+def best_lags(a: np.ndarray, b: np.ndarray, first: np.ndarray, lags: Sequence[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lag, rho, n) of all pairs at their best lag, which counts from the row that ``first`` tells; n is 0 where none is measurable."""
+    tables = {k: lag_table(a, b, k, least) for k in {*lags, *(-k for k in lags)}}
+    best, told, n = np.full(first.shape, np.nan), np.zeros(first.shape, np.int32), np.zeros(first.shape, np.int64)
+    for lag in sorted({*lags}, key=lambda k: (abs(k), k)):  # the earlier one keeps a tie
+        rho, many = (np.where(first, x, y) for x, y in zip(tables[lag], tables[-lag]))
+        rho = np.round(rho, 9)
+        better = ~np.isnan(rho) & ((n == 0) | (np.abs(rho) > np.abs(best)))
+        best[better], told[better], n[better] = rho[better], lag, many[better]
+    return told, best, n
+
+
 def unmeasurable(df: DataFrame, series: str, bucket: str, value: str, least: int = LEAST_PAIRS) -> DataFrame:
     """(series, reason) of series that no pair can be measured with: too_few_buckets or constant."""
     found = df.where(F.col(value).isNotNull()).groupBy(series).agg(F.count_distinct(bucket).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
@@ -60,7 +92,7 @@ def unmeasurable(df: DataFrame, series: str, bucket: str, value: str, least: int
     return found.select(series, reason.alias("reason")).where("reason is not null")
 
 
-def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags: Sequence[int], least: int = LEAST_PAIRS, block: int = BLOCK) -> DataFrame:
+def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags: Sequence[int], least: int = LEAST_PAIRS, block: int | None = None) -> DataFrame:
     """(first, second, lag, rho, n, differenced): pairs of series whose best lag exceeds the critical rank correlation.
 
     ``second`` is the series with the larger name, ``lag`` by how many buckets it follows the first.  Only buckets that both have count; NULL values are unobserved,
@@ -71,50 +103,51 @@ def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags:
     kind = dict(df.dtypes)[series]
     rows = df.where(F.col(value).isNotNull() & F.col(series).isNotNull()).groupBy(F.col(series).alias("s"), F.col(bucket).cast("long").alias("b")).agg(F.avg(value).alias("v"))
     order = Window.partitionBy("s").orderBy("b")
-    rows = rows.withColumn("p", F.lag("v").over(order)).withColumn("d", F.col("v") - F.col("p"))
+    rows = rows.withColumn("p", F.lag("v").over(order))
     spread = (F.count("p") >= 2) & (F.min("p") < F.max("p")) & (F.min(F.when(F.col("p").isNotNull(), F.col("v"))) < F.max(F.when(F.col("p").isNotNull(), F.col("v"))))
     # a row a series: at most ``MAX_BUCKETS`` values
-    packed = rows.groupBy("s").agg(F.collect_list("b").alias("bs"), F.collect_list("v").alias("vs"), F.collect_list(F.coalesce("d", F.lit(float("nan")))).alias("ds"), F.coalesce(F.when(spread, correlation("v", "p")) > AUTOCORRELATED, F.lit(False)).alias("auto"))
+    packed = rows.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("x"), F.coalesce(F.when(spread, correlation("v", "p")) > AUTOCORRELATED, F.lit(False)).alias("auto"))
     low, high, many = rows.agg(F.min("b"), F.max("b"), F.count_distinct("s")).first()
     width = 0 if low is None else high - low + 1
     if width > MAX_BUCKETS:
         raise ValueError(f"{width} buckets; take coarser ones ({MAX_BUCKETS} at most)")
-    blocks = max(1, math.ceil(many / block))
-    dealt = packed.withColumn("own", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    packed = packed.select("s", F.col("x.b").alias("bs"), F.col("x.v").alias("vs"), "auto")
+    whole = F.size("bs") == width
+    block = block or max(1, min(BLOCK, CELLS // max(width, 1)))
+    # whole series and others in blocks of their own
+    complete = rows.groupBy("s").agg(F.count("b").alias("n")).where(F.col("n") == width).count()
+    smooth, ragged = math.ceil(complete / block), math.ceil((many - complete) / block)
+    own = F.when(whole, F.pmod(F.xxhash64("s"), F.lit(max(smooth, 1)))).otherwise(smooth + F.pmod(F.xxhash64("s"), F.lit(max(ragged, 1)))).cast("int")
+    dealt = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(smooth + ragged, 1) - 1))))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    # small as the rows are, each pair of blocks is much work: no joining of partitions
+    pairs = max(smooth + ragged, 1) * (smooth + ragged + 1) // 2
+    dealt = dealt.repartition(max(1, min(pairs, MAX_TASKS)), "i", "j")
+    critical = np.array([np.inf, *(round(rho_critical(n), 9) for n in range(1, width + 1))])
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["s"])
-        i, j = rows[0]["i"], rows[0]["j"]
-
-        def matrix(some: list[dict], what: str) -> np.ndarray:
-            out = np.full((len(some), width), np.nan)
-            for k, r in enumerate(some):
-                out[k, np.array(r["bs"], np.int64) - low] = r[what]
-            return out
-
-        ours, theirs = ([r for r in rows if r["own"] == x] for x in (i, j))
-        found = []
-        for differenced, what in ((False, "vs"), (True, "ds")):
-            a, b = matrix(ours, what), matrix(theirs, what)
-            flag = np.array([r["auto"] for r in ours])[:, None] | np.array([r["auto"] for r in theirs])[None] if ours and theirs else np.zeros((len(ours), len(theirs)), bool)
-            # in two blocks either name may be the larger one, so the lag's sign follows the names
-            first = np.array([[x["s"] < y["s"] for y in theirs] for x in ours]).reshape(flag.shape)
-            wanted = (flag == differenced) & (first if i == j else True)
-            best = {}
-            for lag in sorted({*lags, *(-k for k in lags)}):
-                rho, n = lag_table(a, b, lag, least)
-                asked = np.where(first, lag in lags, -lag in lags)
-                for x, y in zip(*np.nonzero(wanted & asked & ~np.isnan(rho) & (n >= least))):
-                    told = lag if first[x, y] else -lag
-                    key = (round(abs(float(rho[x, y])), 9), -abs(told), -told)
-                    if (x, y) not in best or key > best[x, y][0]:
-                        best[x, y] = (key, told, round(float(rho[x, y]), 9), int(n[x, y]))
-            for (x, y), (_, told, rho, n) in best.items():
-                if abs(rho) >= round(rho_critical(n), 9):
-                    names = sorted((ours[x]["s"], theirs[y]["s"]))
-                    found.append({"first": names[0], "second": names[1], "lag": told, "rho": rho, "n": n, "differenced": differenced})
-        kinds = pa.schema([("first", table.schema.field("s").type), ("second", table.schema.field("s").type), ("lag", pa.int32()), ("rho", pa.float64()), ("n", pa.int64()), ("differenced", pa.bool_())])
-        return pa.Table.from_pylist(found, kinds)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        table = table.sort_by("s")  # so a row's place tells which name is the larger one
+        own, auto, names = table["own"].to_numpy(), table["auto"].to_numpy(), table["s"].combine_chunks()
+        sizes = pa.compute.list_value_length(table["bs"]).to_numpy()
+        values, changes = np.full((len(own), width), np.nan), np.full((len(own), width), np.nan)
+        at = (np.repeat(np.arange(len(own)), sizes), pa.compute.list_flatten(table["bs"]).to_numpy() - low)
+        values[at] = v = pa.compute.list_flatten(table["vs"]).to_numpy()
+        d = np.diff(v, prepend=np.nan)
+        d[np.cumsum(sizes) - sizes] = np.nan  # a series' first value has none before it
+        changes[at] = d
+        found: list[tuple] = []
+        for x, y in ((x, y) for x in (False, True) for y in (False, True)):
+            ours, theirs = np.flatnonzero((own == i) & (auto == x)), np.flatnonzero((own == j) & (auto == y))
+            if not len(ours) or not len(theirs):
+                continue
+            data, first = changes if x or y else values, ours[:, None] < theirs[None]
+            lag, rho, n = best_lags(data[ours], data[theirs], first, lags, least)
+            # in one block a pair comes both ways
+            k, m = np.nonzero((n > 0) & (np.abs(rho) >= critical[n]) & (first if i == j else True))
+            p, q = ours[k], theirs[m]
+            found.append((np.minimum(p, q), np.maximum(p, q), lag[k, m], rho[k, m], n[k, m], np.full(len(k), x or y)))
+        p, q, lag, rho, n, differenced = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, t) for t in (int, int, np.int32, float, np.int64, bool))
+        return pa.table({"first": names.take(pa.array(p)), "second": names.take(pa.array(q)), "lag": pa.array(lag, pa.int32()), "rho": rho, "n": pa.array(n, pa.int64()), "differenced": differenced})
 
     return dealt.groupBy("i", "j").applyInArrow(run, f"first {kind}, second {kind}, lag int, rho double, n long, differenced boolean")
