@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidewright.operators import series_pairs as SP
+from tidewright.operators import graph as G, series_pairs as SP
 
 
 def test_ragged_series_are_ranked_by_patterns(monkeypatch):
@@ -19,3 +19,12 @@ def test_ragged_series_are_ranked_by_patterns(monkeypatch):
         both = ~np.isnan(x) & ~np.isnan(y)
         assert n[i, j] == both.sum()
         assert abs(rho[i, j] - np.corrcoef(SP.ranks(x[both]), SP.ranks(y[both]))[0, 1]) < 1e-9
+
+
+def test_reaching_along_a_row_of_cycles_takes_few_rounds(spark, monkeypatch):
+    """Each ring of three leads to the next; a round for each ring would be 60 of them."""
+    n, cuts, cut = 600, [], G.cut
+    edges = [(k, k + 2) for k in range(0, n - 2, 2)] + [(k, k - 4) for k in range(6, n, 10)]
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(1) or cut(df))
+    assert G.creates_cycle(spark.createDataFrame(edges, "src long, dst long"), n - 2, 8)
+    assert len(cuts) <= 60
