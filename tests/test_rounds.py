@@ -3,6 +3,7 @@
 import numpy as np
 
 from tidewright.operators import graph as G, series_pairs as SP
+from tidewright.session import by_rows
 
 
 def test_ragged_series_are_ranked_by_patterns(monkeypatch):
@@ -28,3 +29,8 @@ def test_reaching_along_a_row_of_cycles_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(G, "cut", lambda df: cuts.append(1) or cut(df))
     assert G.creates_cycle(spark.createDataFrame(edges, "src long, dst long"), n - 2, 8)
     assert len(cuts) <= 60
+
+
+def test_partitions_grow_with_the_rows(spark):
+    dealt = by_rows(spark.range(1000), "id", rows=100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates, scoring as S
 from ..operators import aggregates as A, money, statistics as ST, timeseries as TS, windows as WN
-from ..session import load
+from ..session import by_rows, load
 from .registry import query
 
 NOW = datetime(2024, 1, 30)
@@ -369,7 +369,9 @@ SELECT l_orderkey, l_linenumber, CAST((fl + CASE WHEN p <= short THEN 1 ELSE 0 E
 """)
 def money_split(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    lines = load(spark, sf, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("line", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    # only what the split needs is sorted, in partitions of about as many rows at every size
+    lines = by_rows(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
+    lines = lines.join(o, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("line", F.struct("l_linenumber", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", "l_quantity", "price", "line")
     return money.split_money(lines, ["l_orderkey"], "price", "l_quantity", "line").select("l_orderkey", "l_linenumber", (F.col("share") * 100).cast("long").alias("cents"))
 
 
