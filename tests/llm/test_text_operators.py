@@ -387,6 +387,31 @@ def test_secrets_in_other_languages_addresses_and_key_blocks(text, secret):
     assert spans == ([secret] if secret else [])
 
 
+@pytest.mark.parametrize(("text", "secret"), [
+    ("auth: qWeRtYuIoPaSdFgHjKlZmNbVcX and more", "qWeRtYuIoPaSdFgHjKlZmNbVcX"), ("the password for the new server, as of today, is\nhunter22", "hunter22"), ("password:\n\n   Tr0ub4dor&3\n", "Tr0ub4dor&3"), ("the token " + " " * 400 + "qWeRtYuIoPaSdFgHjKlZ", "qWeRtYuIoPaSdFgHjKlZ"),
+])
+def test_secrets_far_from_any_trigger_are_seen(text, secret):
+    """Each stands outside the lines and the reach around triggers."""
+    assert [text[a:b] for a, b in secret_scan.crf_spans(text, secret_scan.default_model())] == [secret]
+
+
+def test_every_token_is_scored_as_its_features_say(docs):
+    import numpy as np
+
+    model, rnd = secret_scan.default_model(), random.Random(12)
+    scorer = secret_scan.Scorer(model)
+    texts = [t for t, _ in secret_scan._examples(11, 150)] + [(r.text or "")[:3000] for r in docs.limit(40).collect()]
+    texts += ["".join(rnd.choice(["ab", "1", " ", "=", ".", ":", "//", "@", "'", "\n", "!", "#", "-----BEGIN ", "-----END ", "Z", "\u00e9", "{}", "password ", "x" * 16, "=="]) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    for text in texts:
+        pieces, trim, e = scorer.scores(text)
+        whole = secret_scan.tokens_of(text, 0, len(text))
+        assert whole == list(zip(*(x.tolist() for x in scorer.places(pieces, trim)))) and len(e) == len(whole)
+        for chain in secret_scan.chains(text):
+            plain = np.array([model["w"][[model["index"][f] for f in fs if f in model["index"]]].sum(axis=0) for _, _, fs in chain])
+            assert np.allclose(plain[:, 1:] - plain[:, :1], e)
+            assert [(k, x) for k, x in enumerate(secret_scan.viterbi(plain, model["t"])) if x] == list(scorer.tagged(e))
+
+
 # --- licences
 
 

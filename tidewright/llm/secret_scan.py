@@ -1,12 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain CRF decoded by Viterbi for what they miss.
 
-A chain is the tokens of a line, plain words among them, and goes on over following lines of the same
-kind; a key block is one chain from its BEGIN to its END mark, whatever its lines hold.  Lines are read where a *trigger* stands: a word by which secrets are announced
-(``TRIGGER``, in English, French, German and Spanish), the login of an address, or a run of ``MIN_OPEN`` or more credential characters with a digit; of a very long line
-the tokens within ``REACH`` characters of a trigger.  So a short or all-letter secret is found where a
-word announces it, a long one anywhere; a short one that nothing announces isn't looked for.  Features
+A chain is the tokens of a whole text: every token gets its score and its tag, whatever stands near it.  Features
 are the token's shape, the neighbouring words and marks, the last cue and how far it lies back, whether a key block is open, and
-features of the whole file (document).
+features of the whole file (document).  ``chain_features`` names them for the training; ``Scorer`` adds up their
+weights from tables for all tokens of a text at once, and only stretches that a bound doesn't rule out go through Viterbi.
 
 The model is trained here, on seeded generated lines (``TRAIN_LINES``): nothing labels secrets in
 the corpus.  Training is the same for every input, so the result doesn't depend on the input size.
@@ -21,7 +18,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,13 +33,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-MIN_OPEN, REACH, CUE_REACH = 16, 160, 6
+MIN_OPEN, CUE_REACH = 16, 6
+#: Kept tokens with their types, and the longest text between tokens that is kept, per task.
+MAX_TYPES, MAX_GAP = 1 << 18, 32
 TRAIN_LINES, EPOCHS = 3200, 5
-#: The words that announce a secret, and quick signs of them in a lower-case text.
-SIGNS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "api key", "api_key", "api-key", "apikey", "bearer", "authorization", "credential", "private key", "access key", "login", "mot de passe", "kennwort", "passwort", "clave", "contrase", "pass:", "pass =", "pass=", "pass :", "key:", "key =", "key=", "key :", "://")
+#: The words that announce a secret, and long tokens with a digit.
 TRIGGER = re.compile(r"passw(?:or)?d|passphrase|passcode|\bpwd\b|secret|token|api[ _-]?key|bearer|authorization|credential|private[ _]key|access[ _]key|login|mot\s+de\s+passe|kennwort|passwort|\bclave\b|contrase[nñ]a|\b(?:pass|key)\x20?[:=]|://[^\s/:@]{1,64}:[^\s/@]{1,256}@", re.I)
 OPEN = re.compile(rf"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{{{MIN_OPEN},}}")
 TOKEN = re.compile(r"[^\s\"'`,;:=()\[\]{}<>|\\]+")
+PIECES = re.compile(f"({TOKEN.pattern})")
 O, B, I = 0, 1, 2
 #: Score of what cannot be: I follows B or I only.
 FORBIDDEN = -1e9
@@ -51,6 +50,7 @@ CUES = frozenset("passe kennwort passwort clave contrasena password passwd passp
 NEAR = CUES | frozenset("est ist es le la das der die de el mot is was are be to the a an of with for as use my your our new set and or in on at by from not no must has have it this that see".split())
 #: A key block's first and last line.
 BEGIN, END = "-----BEGIN ", "-----END "
+ONE_WORD_LINES = re.compile(r"(?:\r?\n[ \t>#]*+[^\s>#]\S*+[ \t]*+(?=\r?\n|\Z))*+")
 PREFIX = re.compile(r"ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|pk_live_|rk_live_|eyJ|AIza|ya29\.|SG\.|npm_|hf_|dop_v1_|MII")
 
 
@@ -117,17 +117,36 @@ def gap_class(gap: str) -> str:
     return "line" if "\n" in gap and not marks else "space" if not marks else marks[0] if len(marks) == 1 else marks[:2] if len(marks) == 2 else "marks"
 
 
+def cue_of(word: str) -> str | None:
+    """The last cue among a token's pieces."""
+    parts = [p for p in re.split(r"[^a-z]+", word.lower().replace("\u00f1", "n")) if p in CUES]
+    return parts[-1] if parts else None
+
+
+def block_states(text: str, tokens: list[tuple[int, int]]) -> list[str]:
+    """Of each token: out of a key block, in its first line (head) or in it."""
+    out, block, ranges, at = [], "out", key_blocks(text), 0
+    for a, b in tokens:
+        while at < len(ranges) and a >= ranges[at][1]:
+            at, block = at + 1, "out"
+        if at == len(ranges):
+            break
+        if text.startswith(END.strip(), a):
+            block = "out"
+        out.append(block)
+        block = "head" if text.startswith(BEGIN.strip(), a) and a >= ranges[at][0] else "in" if block == "head" and text.endswith("-----", a, b) else block
+    return out + ["out"] * (len(tokens) - len(out))
+
+
 def chain_features(text: str, tokens: list[tuple[int, int]], file: list[str]) -> list[list[str]]:
     """The features of each token of a chain."""
     words = [text[a:b] for a, b in tokens]
     kinds = [shape(w) for w in words]
     names = [low if (low := w.lower()) in NEAR else kind for w, kind in zip(words, kinds)]
     gaps = ["begin", *(gap_class(text[a[1] : b[0]]) for a, b in zip(tokens, tokens[1:])), "end"]
-    out, cue, since, block = [], "none", 0, "out"
-    for k, (word, kind) in enumerate(zip(words, kinds)):
+    out, cue, since = [], "none", 0
+    for k, (word, kind, block) in enumerate(zip(words, kinds, block_states(text, tokens))):
         since += 1
-        if word.startswith(END.strip()):
-            block = "out"
         # a login of an address: //name:secret@host
         login = k > 0 and words[k - 1].startswith("//") and "@" in word and gaps[k] == ":"
         near = cue if since <= CUE_REACH else "none"
@@ -136,10 +155,8 @@ def chain_features(text: str, tokens: list[tuple[int, int]], file: list[str]) ->
             "bias", f"shape={kind}", *own_features(word, kind), f"gap={gaps[k]}", f"gap={gaps[k]}|{kind}", f"then={gaps[k + 1]}", f"before={before}", f"before={before}|{kind}", f"after={after}", f"two={names[k - 2] if k > 1 else 'begin'}",
             f"cue={near}", f"cue={near}|{kind}", f"far={min(since, CUE_REACH + 1) if near != 'none' else 0}|{kind}", f"known={names[k] if names[k] != kind else ''}", f"block={block}", f"block={block}|{kind}", f"login={login}", *file,
         ])
-        block = "head" if word.startswith(BEGIN.strip()) else "in" if block == "head" and word.endswith("-----") else block
-        parts = [p for p in re.split(r"[^a-z]+", word.lower().replace("\u00f1", "n")) if p in CUES]
-        if parts:
-            cue, since = parts[-1], 0
+        if found := cue_of(word):
+            cue, since = found, 0
     return out
 
 
@@ -149,51 +166,29 @@ def file_features(text: str) -> list[str]:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """The stretches of text around triggers, each within a line or over lines that follow each other."""
-    low = text.lower()
-    spots = [(m.start(), m.end()) for m in TRIGGER.finditer(text)] if any(x in low for x in SIGNS) else []
-    spots = sorted(spots + [m.span() for m in OPEN.finditer(text)])
-    out: list[tuple[int, int]] = []
-    blocks = key_blocks(text)
-    for start, end in spots:
-        left = max(text.rfind("\n", max(0, start - REACH), start) + 1, start - REACH, 0)
-        stop = text.find("\n", end, end + REACH)
-        right = stop if stop >= 0 else min(len(text), end + REACH)
-        # the lines of a key block have marks and white space between them, if anything
-        if out and (left <= out[-1][1] or left - out[-1][1] <= 8 and not any(map(str.isalnum, text[out[-1][1] : left]))):
-            out[-1] = (out[-1][0], max(right, out[-1][1]))
-        else:
-            out.append((left, right))
-    return joined(out, blocks) if blocks else out
+    """The stretches of a text that are looked at: all of it."""
+    return [(0, len(text))] if text else []
 
 
 def key_blocks(text: str) -> list[tuple[int, int]]:
-    """From the line of a BEGIN mark to the end of the next END mark's line, whatever the lines between hold."""
+    """From a BEGIN mark to the end of the next END mark's line, whatever the lines between hold; without END over the lines that follow and hold one word each."""
     out, at = [], text.find(BEGIN)
     while at >= 0:
         stop = text.find(END, at)
-        if stop < 0:
-            break
-        line = text.find("\n", stop)
-        out.append((text.rfind("\n", 0, at) + 1, len(text) if line < 0 else line))
-        at = text.find(BEGIN, out[-1][1])
-    return out
-
-
-def joined(stretches: list[tuple[int, int]], blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of both; stretches that overlap are one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(stretches + blocks):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+        line = text.find("\n", at if stop < 0 else stop)
+        stretch = (at, len(text) if line < 0 else line)
+        if stop < 0 and line >= 0:
+            stretch = (at, ONE_WORD_LINES.match(text, line).end())
+        out.append(stretch)
+        at = text.find(BEGIN, stretch[1])
     return out
 
 
 def bare_length(tok: str) -> int:
     """A token's length without a sentence's end and runs of one mark at its end; whole if it is nothing else."""
     b = len(tok)
+    if tok[-1:].isalnum():
+        return b
     while b:
         c = tok[b - 1]
         if c in ".?":
@@ -381,16 +376,187 @@ def viterbi(emissions: np.ndarray, t: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
+#: Every value of ``shape``.
+KINDS_OF = ("word lower upper title mixedletters digits base64 joined uuid numeric marks mail hex loweralnum upperalnum mixedalnum markedword joinedwords withmarks dotted path").split()
+
+
+class _Kept(dict):
+    """Numbers of strings; ``make`` is asked once for each, but for strings over ``longest`` each time."""
+
+    def __init__(self, make: Callable[[str], int], longest: int):
+        super().__init__()
+        self.make, self.longest = make, longest
+
+    def __missing__(self, x: str) -> int:
+        n = self.make(x)
+        if len(x) <= self.longest:
+            self[x] = n
+        return n
+
+
+class Scorer:
+    """Scores of the tags B and I over O for all tokens of a text, by the model's weights.
+
+    What a token adds by itself is worked out once for each type of token; what depends on its neighbours comes from tables
+    by the classes of both, so the scores are the sums of the weights that ``chain_features`` names.
+    """
+
+    def __init__(self, model: dict):
+        self.index, self.w = model["index"], model["w"][:, 1:] - model["w"][:, :1]
+        t = model["t"] - model["t"][O, O]
+        self.t = t
+        #: What a tag B or I adds at most by the step into it, and by the step out of a secret.
+        self.enter = np.array([t[:, B].max(), max(t[B, I], t[I, I])])
+        self.leave = max(t[B, O], t[I, O], 0.0)
+        self.kind_of = {k: n for n, k in enumerate(KINDS_OF)}
+        self.name_of = {k: n for n, k in enumerate(dict.fromkeys([*KINDS_OF, "begin", "end", *sorted(NEAR)]))}
+        self.cue_of = {c: n for n, c in enumerate(sorted(CUES))}
+        # a class that training never met weighs nothing, and is one with any other
+        gaps = sorted({f.split("=", 1)[1] for f in self.index if f.startswith("then=")} | {f.split("=", 1)[1].rsplit("|", 1)[0] for f in self.index if f.startswith("gap=") and f.endswith(tuple("|" + k for k in KINDS_OF))} | {"begin", "end", ":"})
+        self.gap_of = {g: n + 1 for n, g in enumerate(gaps)}
+        some, kinds = self.weight, KINDS_OF
+        self.gap = np.concatenate([np.zeros((len(kinds), 2)), *([some(f"gap={g}", f"gap={g}|{k}") for k in kinds] for g in gaps)])
+        self.then = np.array([np.zeros(2), *(some(f"then={g}") for g in gaps)])
+        self.before = np.array([some(f"before={n}", f"before={n}|{k}") for n in self.name_of for k in kinds])
+        self.after = np.array([some(f"after={n}") for n in self.name_of])
+        self.two = np.array([some(f"two={n}") for n in self.name_of])
+        far = [("none", 0), *((c, n) for c in self.cue_of for n in range(1, CUE_REACH + 1))]
+        self.cued = np.array([some(f"cue={c}", f"cue={c}|{k}", f"far={n}|{k}") for c, n in far for k in kinds])
+        self.block = {b: np.array([some(f"block={b}", f"block={b}|{k}") for k in kinds]) for b in ("out", "head", "in")}
+        self.login = np.array([some(f"login={x}") for x in (False, True)])
+        self.forget()
+
+    def weight(self, *features: str) -> np.ndarray:
+        return self.w[[self.index[f] for f in features if f in self.index]].sum(axis=0)
+
+    def forget(self) -> None:
+        """Begins with no types."""
+        self.types, self.gaps = _Kept(self.type_of, 256), _Kept(lambda g: self.gap_of.get(gap_class(g), 0), MAX_GAP)
+        self.known: dict[tuple, int] = {}
+        self.own, self.traits = np.empty((1 << 12, 2)), np.empty((7, 1 << 12), np.int32)
+
+    def type_of(self, raw: str) -> int:
+        """The type of a token, up to the next mark: tokens alike in all that counts share one."""
+        bare = bare_length(raw)
+        word = raw[:bare]
+        kind, low = shape(word), word.lower()
+        cue = (low if low in CUES else None) if low.isalpha() and low.isascii() else cue_of(word)
+        name = low if low in NEAR else kind
+        # no key block is open and no login: where it is otherwise, the score is put right
+        key = *own_features(word, kind), kind, name, cue, len(raw) - bare, bare >= MIN_OPEN, word.startswith("//"), "@" in word
+        n = self.known.get(key)
+        if n is None:
+            n = self.known[key] = len(self.known)
+            if n == len(self.own):
+                self.own, self.traits = np.concatenate([self.own, np.empty_like(self.own)]), np.concatenate([self.traits, np.empty_like(self.traits)], axis=1)
+            self.own[n] = self.weight("bias", f"shape={kind}", *key[:-7], f"known={name if name != kind else ''}") + self.login[0] + self.block["out"][self.kind_of[kind]]
+            self.traits[:, n] = self.kind_of[kind], self.name_of[name], -1 if cue is None else self.cue_of[cue], *key[-4:]
+        return n
+
+    def scores(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the tokens and what stands between them in turns, by how much each token's true end lies before its piece's, scores of B and I over O)."""
+        pieces = PIECES.split(text)
+        words, between = pieces[1::2], pieces[0::2]
+        n = len(words)
+        if not n:
+            return pieces, np.empty(0, int), np.empty((0, 2))
+        if len(self.types) > MAX_TYPES or len(self.known) > MAX_TYPES:
+            self.forget()
+        ids = np.fromiter(map(self.types.__getitem__, words), np.int64, n)
+        gaps = np.fromiter(map(self.gaps.__getitem__, between), np.int64, n + 1)
+        kind, name, cue, tail, long, slashes, at = self.traits.take(ids, 1)
+        for k in np.flatnonzero(tail).tolist():
+            # a sentence's end goes to what stands between
+            gaps[k + 1] = self.gaps[words[k][-int(tail[k]) :] + between[k + 1]]
+        trim = tail
+        for k in np.flatnonzero(long & (tail == 0)).tolist():
+            # a base64 padding is part of the token
+            gap = between[k + 1]
+            m = 1 + gap.startswith("==")
+            if gap.startswith("=") and not (gap[m:] or "".join(words[k + 1 : k + 2]))[:1].isalnum():
+                trim[k] = -m
+                ids[k] = self.types[words[k] + gap[:m]]
+                kind[k], name[k], cue[k], _, _, slashes[k], at[k] = self.traits[:, ids[k]]
+                gaps[k + 1] = self.gaps[gap[m:]]
+        gaps[0], gaps[n] = self.gap_of["begin"], self.gap_of["end"]
+        names = np.empty(n + 3, np.int64)
+        names[:2], names[2:-1], names[-1] = self.name_of["begin"], name, self.name_of["end"]
+        kinds = len(KINDS_OF)
+        e = self.own.take(ids, 0)
+        e += self.gap.take(gaps[:-1] * kinds + kind, 0)
+        e += self.then.take(gaps[1:], 0)
+        e += self.before.take(names[1:-2] * kinds + kind, 0)
+        e += self.after.take(names[3:], 0)
+        e += self.two.take(names[:-3], 0)
+        e += self.cued.take(kind, 0)
+        e += self.weight(*file_features(text))
+        cues = np.flatnonzero(cue >= 0).tolist()
+        for p, q in zip(cues, [*cues[1:], n - 1]):
+            # what follows a cue up to the next one
+            near = np.arange(p + 1, min(p + CUE_REACH, q) + 1)
+            e[near] += self.cued[(1 + cue[p] * CUE_REACH + near - p - 1) * kinds + kind[near]] - self.cued[kind[near]]
+        if slashes.any():
+            login = np.flatnonzero(slashes[:-1] & at[1:] & (gaps[1:-1] == self.gap_of[":"])) + 1
+            e[login] += self.login[1] - self.login[0]
+        if BEGIN in text:
+            for k, block in enumerate(block_states(text, list(zip(*(x.tolist() for x in self.places(pieces, trim)))))):
+                if block != "out":
+                    e[k] += self.block[block][kind[k]] - self.block["out"][kind[k]]
+        return pieces, trim, e
+
+    @staticmethod
+    def places(pieces: list[str], trim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the tokens."""
+        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return stops[0::2][:-1], stops[1::2] - trim
+
+    def tagged(self, e: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(token, tag) of the best sequence's tokens that aren't O.
+
+        A secret is in the best sequence only if it doesn't lose against O; with the best steps into and out of each
+        tag a token in no stretch of tokens that reaches that is O for certain.  What lies between such tokens is decoded by itself.
+        """
+        gain = np.maximum(e[:, 0] + self.enter[0], e[:, 1] + self.enter[1])
+        if not len(e) or gain.max() < min(0.0, -self.leave - 1e-6):
+            return
+        total = np.cumsum(gain)
+        ahead = np.maximum.accumulate(total[::-1])[::-1]
+        behind = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        maybe = np.flatnonzero(ahead - behind + self.leave >= -1e-6)
+        for part in np.split(maybe, np.flatnonzero(np.diff(maybe) > 1) + 1) if len(maybe) else ():
+            a, b = int(part[0]), int(part[-1]) + 1
+            first = int(a > 0)
+            rows = np.zeros((first + b - a + (b < len(e)), 3))
+            rows[:, 1:] = FORBIDDEN
+            rows[first : first + b - a, 1:] = e[a:b]
+            for k, tag in enumerate(viterbi(rows, self.t)[first : first + b - a]):
+                if tag != O:
+                    yield a + k, tag
+
+
+_scorer: tuple[dict, Scorer] | None = None
+
+
+def scorer_of(model: dict) -> Scorer:
+    """The tables of a model, made once a process."""
+    global _scorer
+    if _scorer is None or _scorer[0] is not model:
+        _scorer = model, Scorer(model)
+    return _scorer[1]
+
+
 def crf_spans(text: str, model: dict) -> list[tuple[int, int]]:
-    index, w, t = model["index"], model["w"], model["t"]
+    scorer = scorer_of(model)
+    pieces, trim, e = scorer.scores(text)
     out: list[tuple[int, int]] = []
-    for chain in chains(text):
-        e = np.array([w[[index[f] for f in fs if f in index]].sum(axis=0) for _, _, fs in chain])
-        for tag, (start, end, _) in zip(viterbi(e, t), chain):
-            if tag == B:
-                out.append((start, end))
-            elif tag == I:
-                out[-1] = (out[-1][0], end)
+    if not (tags := list(scorer.tagged(e))):
+        return out
+    starts, ends = scorer.places(pieces, trim)
+    for k, tag in tags:
+        if tag == B:
+            out.append((int(starts[k]), int(ends[k])))
+        else:
+            out[-1] = (out[-1][0], int(ends[k]))
     return out
 
 
