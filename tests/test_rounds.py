@@ -34,3 +34,14 @@ def test_reaching_along_a_row_of_cycles_takes_few_rounds(spark, monkeypatch):
 def test_partitions_grow_with_the_rows(spark):
     dealt = by_rows(spark.range(1000), "id", rows=100)
     assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000
+
+
+def test_dominators_send_no_table_through_the_driver(spark, monkeypatch):
+    """Small files hold many numbers in a row: their size is no reason to broadcast them."""
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    nodes = spark.range(1, 200).withColumnRenamed("id", "node")
+    edges = nodes.where("node > 1").selectExpr("node div 2 as src", "node as dst").unionAll(spark.createDataFrame([(2, 7), (3, 8), (8, 2)], "src long, dst long"))
+    got = {r.node: r.dominators for r in G.dominators(nodes, edges, 1).collect()}
+    assert got[199] == [1, 3, 6, 12, 24, 49, 99, 199] and got[7] == [1, 7] and got[8] == [1, 8] and got[35] == [1, 8, 17, 35] and len(got) == 199
+    assert plans and not any("Broadcast" in p for p in plans)
