@@ -192,3 +192,14 @@ def test_pairs_of_series_like_plain_lists(spark, block):
     assert got == plain_pairs(data, lags) and len(got) > 5
     assert {r.s: r.reason for r in SP.unmeasurable(df, "s", "b", "v").collect()} == {"flat": "constant", "few": "too_few_buckets"}
     assert SP.correlated_pairs(df.where("false"), "s", "b", "v", lags).count() == 0
+
+
+def test_keys_of_a_group_are_kept_and_forgotten_one_by_one(spark, tmp_path, monkeypatch):
+    """Calls to the state grow with the groups, not with the keys."""
+    monkeypatch.setattr(ST, "GROUPS", 1)
+    batches = [[("f", at(0), None), ("g", at(0), None), *((f"k{n}", at(0), None) for n in range(50))], [("g", at(50), None)], [("g", at(100), None)], [("g", at(150), None)], [("f", at(151), None), ("g", at(200), None)]]
+    rows = fed(spark, tmp_path, batches, "k string, at timestamp, status string", lambda s: ST.incidents(s, "k", "at", "status", 900.0, keep_seconds=3600.0, watermark="1 minute"))
+    got = {k: [r.number for r in sorted(rows, key=lambda r: r.t) if r.key == k] for k in {r.key for r in rows}}
+    assert got == {"f": [1, 1], "g": [1, 2, 3, 4, 5]} | {f"k{n}": [1] for n in range(50)}
+    groups = ST._grouped(spark.range(5000).selectExpr("cast(id as string) as key"))
+    assert groups.select("group").distinct().count() == 1
