@@ -431,3 +431,18 @@ def test_bm25_is_the_same_with_few_terms_and_with_many(spark, monkeypatch):
     assert scores(queries.limit(0)) == []
     monkeypatch.setattr(R, "MAX_TERMS", 2)
     assert scores(queries) == inside
+
+
+def test_chunks_of_a_batch_are_no_python_objects_all_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", *("Some words of text. " * 150 + str(k) for k in range(2000))]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    got = T.chunk_arrays(batch, 1000, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(map(len, texts[2:])) / 5
+    assert len(got) == len(texts) and got.slice(0, 40).to_pylist() == [T.chunks_of(t, 1000, 100) for t in texts[:40]] and got[2001].as_py() == T.chunks_of(texts[2001], 1000, 100)
