@@ -1,27 +1,37 @@
 """Lagged rank correlation of all pairs of series, by blocks of the bucket matrix.
 
-Series are rows of a matrix over buckets.  They are dealt to blocks of ``CELLS`` cells (``BLOCK`` series at most), those observed throughout apart from
-the others, and each pair of blocks is a task.  Rows that miss the same buckets are one pattern; for each pair of patterns one matrix product
-of the ranks in their common buckets gives a lag's correlations of all their pairs at once.  What leaves a task is the pairs that exceed
-the critical correlation, not all pairs.  A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
+Series are rows of a matrix over buckets.  They are dealt by name to blocks, and each pair of blocks is a group.  Rows that miss the same buckets are one
+pattern.  Up to ``COMPARED`` buckets a block keeps the signs of all differences within a row: their product with a pattern ranks all rows in its buckets,
+in whole numbers, and one matrix product of such ranks gives a lag's correlations of all pairs of two patterns.  Only pairs that exceed the critical
+correlation at some lag are looked at one by one.  Wider series are ranked pattern by pattern.  What leaves a task is the pairs that exceed it, in
+batches, not all pairs.  A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .statistics import correlation, rho_critical
 
 BLOCK, CELLS, MAX_BUCKETS, LEAST_PAIRS, AUTOCORRELATED = 1024, 2_500_000, 10_000, 5, 0.5
 #: Up to so many buckets, ranks come from comparing all of a row's values.
 COMPARED = 64
-MAX_TASKS = 4096
+#: Then a block has so many series at most, and so many signs.
+NARROW, SIGNS = 16_384, 4_194_304
+#: Patterns of so many rows are multiplied one by one, the rows of smaller ones together.
+COMMON = 32
+TILE, SENT, MAX_TASKS = 256, 200_000, 4096
+
+#: Places of the rows on either side, lag, rho and n of pairs that exceed the critical correlation
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def ranks(x: np.ndarray) -> np.ndarray:
@@ -85,6 +95,123 @@ def best_lags(a: np.ndarray, b: np.ndarray, first: np.ndarray, lags: Sequence[in
     return told, best, n
 
 
+class Side(NamedTuple):
+    """The rows of a block, those of a pattern together, those of rare patterns last."""
+
+    place: np.ndarray
+    seen: np.ndarray
+    signs: np.ndarray
+    patterns: list[tuple[np.ndarray, int, int]]
+    common: int
+
+
+def side(x: np.ndarray, place: np.ndarray) -> Side:
+    """``signs`` has a row a bucket: how each value of each series compares with that bucket's, 0 where either is unobserved."""
+    groups = sorted(_patterns(~np.isnan(x)), key=lambda g: -len(g[1]))
+    ends = np.cumsum([len(rows) for _, rows in groups], dtype=int)
+    order = np.concatenate([rows for _, rows in groups])
+    x = x[order]
+    signs = np.empty((x.shape[1], *x.shape), np.float32)
+    for k in range(x.shape[1]):
+        np.subtract(x > x[:, k : k + 1], x < x[:, k : k + 1], out=signs[k], dtype=np.float32)
+    common = sum(len(rows) for _, rows in groups if len(rows) >= COMMON)
+    return Side(place[order], ~np.isnan(x), signs.reshape(x.shape[1], -1), [(seen, end - len(rows), end) for (seen, rows), end in zip(groups, ends.tolist())], common)
+
+
+def _later(seen: np.ndarray, lag: int) -> np.ndarray:
+    """What is seen ``lag`` buckets later."""
+    width, out = seen.shape[-1], np.zeros(seen.shape, np.float32)
+    out[..., max(0, -lag) : width - max(0, lag)] = seen[..., max(0, lag) : width - max(0, -lag)]
+    return out
+
+
+def _ranked(at: Side, start: int, end: int, masks: np.ndarray) -> np.ndarray:
+    """For each mask, twice the centred ranks of rows among its buckets, 0 elsewhere: whole numbers, whose products are exact in 24 bits up to ``COMPARED`` buckets."""
+    width = at.seen.shape[1]
+    found = (masks @ at.signs[:, start * width : end * width]).reshape(len(masks), end - start, width)
+    found *= masks[:, None]
+    return found
+
+
+def _lengths(ranked: np.ndarray) -> np.ndarray:
+    """Squared lengths of each row for each mask, infinite without spread; one for all rows if they are alike, as they are without ties."""
+    found = np.einsum("lrw,lrw->lr", ranked, ranked).astype(float)
+    found[found == 0] = np.inf
+    return found[:, :1] if (found == found[:, :1]).all() else found
+
+
+def _best(rho: np.ndarray, n: np.ndarray, lags: np.ndarray, critical: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which pairs, lag, rho, n) of those that exceed the critical correlation at their best lag; a row of ``rho`` a lag, of which the earlier one keeps a tie."""
+    rho = np.round(rho, 9)
+    best = np.abs(rho).argmax(0)
+    top, many = np.take_along_axis(rho, best[None], 0)[0], np.take_along_axis(n, best[None], 0)[0] if n.shape[1] > 1 else n[best, 0]
+    keep = np.flatnonzero(np.abs(top) >= critical[many])
+    return keep, lags[best[keep]], top[keep], many[keep]
+
+
+def _tiles(ours: np.ndarray, theirs: np.ndarray, lags: np.ndarray, n: np.ndarray, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of rows of two patterns, whose ranks have a table a lag."""
+    width, a, b = ours.shape[2], _lengths(ours), _lengths(theirs)
+    # rounding may lift what lies just below
+    low_a, low_b = (np.sqrt(a) * (critical[n] - 1e-6)[:, None]).astype(np.float32), np.sqrt(b).astype(np.float32)
+    for p in range(0, ours.shape[1], TILE):
+        for q in range(0, theirs.shape[1], TILE):
+            part_a, part_b = slice(p, p + TILE), slice(q, q + TILE)
+            products = np.empty((len(lags), min(TILE, ours.shape[1] - p), min(TILE, theirs.shape[1] - q)), np.float32)
+            over = np.zeros(products.shape[1:], bool)
+            for k, lag in enumerate(lags.tolist()):
+                early, late = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
+                np.matmul(ours[k, part_a, early], theirs[k, part_b, late].T, out=products[k])
+                low = (low_a[k, part_a] if a.shape[1] > 1 else low_a[k])[:, None] * (low_b[k, part_b] if b.shape[1] > 1 else low_b[k])
+                over |= np.abs(products[k]) >= low
+            at = np.flatnonzero(over)
+            if len(at):
+                x, y = np.divmod(at, over.shape[1])
+                squares = (a[:, p + x] if a.shape[1] > 1 else a) * (b[:, q + y] if b.shape[1] > 1 else b)
+                keep, lag, rho, many = _best(np.take(products.reshape(len(lags), -1), at, axis=1) / np.sqrt(squares), n[:, None], lags, critical)
+                yield p + x[keep], q + y[keep], lag, rho, many
+
+
+def _rare(ours: Side, theirs: Side, lags: np.ndarray, least: int, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of rows of rare patterns: each row is ranked by the pattern of each row of the other side."""
+    width, step = ours.seen.shape[1], max(1, math.isqrt(1_048_576 // ours.seen.shape[1]))
+    for p in range(ours.common, len(ours.place), step):
+        for q in range(theirs.common, len(theirs.place), step):
+            end_p, end_q = min(p + step, len(ours.place)), min(q + step, len(theirs.place))
+            shape = (len(lags), end_p - p, end_q - q)
+            rho, n = np.zeros(shape), np.zeros(shape, int)
+            for k, lag in enumerate(lags.tolist()):
+                masks = _later(theirs.seen[q:end_q], lag)
+                n[k] = ours.seen[p:end_p].astype(np.float32) @ masks.T
+                a, b = _ranked(ours, p, end_p, masks).transpose(1, 0, 2), _ranked(theirs, q, end_q, _later(ours.seen[p:end_p], -lag))
+                squares = np.einsum("abw,abw->ab", a, a).astype(float) * np.einsum("abw,abw->ab", b, b)
+                early, late = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
+                np.divide(np.einsum("abw,abw->ab", a[..., early], b[..., late]), np.sqrt(squares), out=rho[k], where=(n[k] >= least) & (squares > 0))
+            keep, lag, top, many = _best(rho.reshape(len(lags), -1), n.reshape(len(lags), -1), lags, critical)
+            yield p + keep // shape[2], q + keep % shape[2], lag, top, many
+
+
+def exceeding(ours: Side, theirs: Side, lags: Sequence[int], least: int, critical: np.ndarray) -> Iterator[Found]:
+    """All pairs of a row of ``ours`` and one of ``theirs``, ``lag`` buckets later, whose best lag exceeds the critical correlation."""
+    width = ours.seen.shape[1]
+    told = np.array(sorted({k for k in lags if abs(k) < width}, key=lambda k: (abs(k), k)), np.int32)
+    for seen_a, start_a, end_a in ours.patterns:
+        masks_b = np.stack([_later(seen_a, -lag) for lag in told.tolist()])
+        end = len(theirs.place) if start_a < ours.common else theirs.common
+        ranked = _ranked(theirs, 0, end, masks_b)
+        for seen_b, start_b, end_b in theirs.patterns:
+            if start_b >= end:
+                break
+            masks_a = np.stack([_later(seen_b, lag) for lag in told.tolist()])
+            n = (masks_a * seen_a).sum(1).astype(int)
+            measurable = np.flatnonzero(n >= least)
+            if len(measurable):
+                for x, y, *rest in _tiles(_ranked(ours, start_a, end_a, masks_a[measurable]), ranked[measurable, start_b:end_b], told[measurable], n[measurable], critical):
+                    yield ours.place[start_a + x], theirs.place[start_b + y], *rest
+    for x, y, *rest in _rare(ours, theirs, told, least, critical):
+        yield ours.place[x], theirs.place[y], *rest
+
+
 def unmeasurable(df: DataFrame, series: str, bucket: str, value: str, least: int = LEAST_PAIRS) -> DataFrame:
     """(series, reason) of series that no pair can be measured with: too_few_buckets or constant."""
     found = df.where(F.col(value).isNotNull()).groupBy(series).agg(F.count_distinct(bucket).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
@@ -106,48 +233,66 @@ def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags:
     rows = rows.withColumn("p", F.lag("v").over(order))
     spread = (F.count("p") >= 2) & (F.min("p") < F.max("p")) & (F.min(F.when(F.col("p").isNotNull(), F.col("v"))) < F.max(F.when(F.col("p").isNotNull(), F.col("v"))))
     # a row a series: at most ``MAX_BUCKETS`` values
-    packed = rows.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("x"), F.coalesce(F.when(spread, correlation("v", "p")) > AUTOCORRELATED, F.lit(False)).alias("auto"))
-    low, high, many = rows.agg(F.min("b"), F.max("b"), F.count_distinct("s")).first()
+    packed = cut(rows.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("x"), F.coalesce(F.when(spread, correlation("v", "p")) > AUTOCORRELATED, F.lit(False)).alias("auto")))
+    low, high, many = packed.agg(F.min(F.col("x.b")[0]), F.max(F.element_at("x.b", -1)), F.count("s")).first()
     width = 0 if low is None else high - low + 1
     if width > MAX_BUCKETS:
         raise ValueError(f"{width} buckets; take coarser ones ({MAX_BUCKETS} at most)")
-    packed = packed.select("s", F.col("x.b").alias("bs"), F.col("x.v").alias("vs"), "auto")
-    whole = F.size("bs") == width
-    block = block or max(1, min(BLOCK, CELLS // max(width, 1)))
-    # whole series and others in blocks of their own
-    complete = rows.groupBy("s").agg(F.count("b").alias("n")).where(F.col("n") == width).count()
-    smooth, ragged = math.ceil(complete / block), math.ceil((many - complete) / block)
-    own = F.when(whole, F.pmod(F.xxhash64("s"), F.lit(max(smooth, 1)))).otherwise(smooth + F.pmod(F.xxhash64("s"), F.lit(max(ragged, 1)))).cast("int")
-    dealt = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(smooth + ragged, 1) - 1))))
+    narrow = width <= COMPARED
+    block = block or max(1, min(NARROW, SIGNS // max(width, 1) ** 2) if narrow else min(BLOCK, CELLS // width))
+    # pairs of blocks for all cores, also of few series
+    blocks = max(1, math.ceil(many / block), min(math.isqrt(6 * df.sparkSession.sparkContext.defaultParallelism), many // COMMON))
+    # by ranges of names: of two blocks, one has all the smaller ones
+    packed = packed.select("s", F.transform("x.b", lambda b: (b - F.lit(low)).cast("short")).alias("bs"), F.col("x.v").alias("vs"), "auto").repartitionByRange(blocks, "s")
+    packed = cut(packed.withColumn("own", F.spark_partition_id()))
+    blocks = (packed.agg(F.max("own")).first()[0] or 0) + 1
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     # small as the rows are, each pair of blocks is much work: no joining of partitions
-    pairs = max(smooth + ragged, 1) * (smooth + ragged + 1) // 2
-    dealt = dealt.repartition(max(1, min(pairs, MAX_TASKS)), "i", "j")
+    dealt = dealt.repartition(min(blocks * (blocks + 1) // 2, MAX_TASKS), "i", "j")
     critical = np.array([np.inf, *(round(rho_critical(n), 9) for n in range(1, width + 1))])
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        table = table.sort_by("s")  # so a row's place tells which name is the larger one
-        own, auto, names = table["own"].to_numpy(), table["auto"].to_numpy(), table["s"].combine_chunks()
+    def found(table: pa.Table, i: int, j: int) -> Iterator[tuple[Found, bool]]:
+        own, auto = table["own"].to_numpy(), table["auto"].to_numpy()
         sizes = pa.compute.list_value_length(table["bs"]).to_numpy()
         values, changes = np.full((len(own), width), np.nan), np.full((len(own), width), np.nan)
-        at = (np.repeat(np.arange(len(own)), sizes), pa.compute.list_flatten(table["bs"]).to_numpy() - low)
+        at = (np.repeat(np.arange(len(own)), sizes), pa.compute.list_flatten(table["bs"]).to_numpy())
         values[at] = v = pa.compute.list_flatten(table["vs"]).to_numpy()
         d = np.diff(v, prepend=np.nan)
         d[np.cumsum(sizes) - sizes] = np.nan  # a series' first value has none before it
         changes[at] = d
-        found: list[tuple] = []
         for x, y in ((x, y) for x in (False, True) for y in (False, True)):
             ours, theirs = np.flatnonzero((own == i) & (auto == x)), np.flatnonzero((own == j) & (auto == y))
             if not len(ours) or not len(theirs):
                 continue
-            data, first = changes if x or y else values, ours[:, None] < theirs[None]
-            lag, rho, n = best_lags(data[ours], data[theirs], first, lags, least)
-            # in one block a pair comes both ways
-            k, m = np.nonzero((n > 0) & (np.abs(rho) >= critical[n]) & (first if i == j else True))
-            p, q = ours[k], theirs[m]
-            found.append((np.minimum(p, q), np.maximum(p, q), lag[k, m], rho[k, m], n[k, m], np.full(len(k), x or y)))
-        p, q, lag, rho, n, differenced = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, t) for t in (int, int, np.int32, float, np.int64, bool))
-        return pa.table({"first": names.take(pa.array(p)), "second": names.take(pa.array(q)), "lag": pa.array(lag, pa.int32()), "rho": rho, "n": pa.array(n, pa.int64()), "differenced": differenced})
+            data = changes if x or y else values
+            if narrow:
+                for p, q, *rest in exceeding(side(data[ours], ours), side(data[theirs], theirs), lags, least, critical):
+                    # in one block a pair comes both ways
+                    once = p < q if i == j else slice(None)
+                    yield (p[once], q[once], *(c[once] for c in rest)), x or y
+            else:
+                first = ours[:, None] < theirs[None]
+                lag, rho, n = best_lags(data[ours], data[theirs], first, lags, least)
+                k, m = np.nonzero((n > 0) & (np.abs(rho) >= critical[n]) & (first if i == j else True))
+                p, q = ours[k], theirs[m]
+                yield (np.minimum(p, q), np.maximum(p, q), lag[k, m], rho[k, m], n[k, m]), x or y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("s")  # so a row's place tells which name is the larger one
+        names, held, rows = table["s"].combine_chunks(), [], 0
+
+        def sent() -> pa.RecordBatch:
+            p, q, lag, rho, n, differenced = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(p)), names.take(pa.array(q)), pa.array(lag, pa.int32()), pa.array(rho), pa.array(n, pa.int64()), pa.array(differenced)], ["first", "second", "lag", "rho", "n", "differenced"])
+
+        for pairs, differenced in found(table, table["i"][0].as_py(), table["j"][0].as_py()):
+            held.append((*pairs, np.full(len(pairs[0]), differenced)))
+            rows += len(pairs[0])
+            if rows >= SENT:
+                yield sent()
+                held, rows = [], 0
+        if held:
+            yield sent()
 
     return dealt.groupBy("i", "j").applyInArrow(run, f"first {kind}, second {kind}, lag int, rho double, n long, differenced boolean")
