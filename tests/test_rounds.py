@@ -1,6 +1,7 @@
 """Work must not grow with the length of a graph's ways, nor with the square of a group."""
 
 import numpy as np
+import pytest
 
 from tidewright.operators import graph as G, series_pairs as SP
 from tidewright.operators.statistics import rho_critical
@@ -34,18 +35,25 @@ def some_series(rnd, kinds):
     return x if kinds else np.where(np.isnan(x), x, rnd.random(x.shape).round(1))
 
 
-def test_pairs_of_patterns_like_tables_of_all_pairs(monkeypatch):
+@pytest.mark.parametrize("large", [1, 8, 1000])
+def test_pairs_of_patterns_like_tables_of_all_pairs(monkeypatch, large):
     monkeypatch.setattr(SP, "TILE", 24)
+    monkeypatch.setattr(SP, "CHUNK", 3000)
+    monkeypatch.setattr(SP, "LARGE", large)
+    ways = {"_by_pattern": [], "_by_row": [], "_one_by_one": []}
+    for name, many in ways.items():
+        monkeypatch.setattr(SP, name, lambda *a, way=getattr(SP, name), many=many: (many.append(len(part[0])) or part for part in way(*a)))
     rnd, lags = np.random.default_rng(7), [-2, -1, 0, 1, 3, 20]
     critical = np.array([np.inf, *(round(rho_critical(n), 9) for n in range(1, 17))])
     for kinds in (True, False):
-        a, b = some_series(rnd, kinds), some_series(rnd, kinds)
+        a, b = some_series(rnd, kinds), some_series(rnd, True)
         lag, rho, n = SP.best_lags(a, b, np.ones((140, 140), bool), lags[:-1], 5)
         expected = {(i, j): (lag[i, j], rho[i, j], n[i, j]) for i, j in zip(*np.nonzero((n > 0) & (np.abs(rho) >= critical[n])))}
         parts = list(SP.exceeding(SP.side(a, np.arange(140)), SP.side(b, np.arange(140)), lags, 5, critical))
         got = {(i, j): rest for part in parts for i, j, *rest in zip(*part)}
         assert len(got) == sum(len(part[0]) for part in parts) == len(expected) > 50
         assert all(expected[at] == tuple(rest) for at, rest in got.items())
+    assert [sum(many) > 0 for many in ways.values()] == {1: [True, False, False], 8: [True, True, True], 1000: [False, False, True]}[large]
 
 
 def test_series_with_gaps_of_their_own_are_ranked_together(monkeypatch):
@@ -57,7 +65,7 @@ def test_series_with_gaps_of_their_own_are_ranked_together(monkeypatch):
     critical = np.array([np.inf, *(rho_critical(n) for n in range(1, 17))])
     assert len({row.tobytes() for row in np.isnan(x)}) > 590
     assert sum(len(found[0]) for found in SP.exceeding(SP.side(x, np.arange(600)), SP.side(x, np.arange(600)), [-1, 0, 1], 5, critical)) > 600
-    assert len(calls) < 2500  # one by one, 360,000 pairs
+    assert len(calls) < 500  # one by one, 360,000 pairs
 
 
 def test_blocks_of_names_and_batches_keep_all_pairs_of_series(spark, monkeypatch):

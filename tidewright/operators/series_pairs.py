@@ -2,9 +2,9 @@
 
 Series are rows of a matrix over buckets.  They are dealt by name to blocks, and each pair of blocks is a group.  Rows that miss the same buckets are one
 pattern.  Up to ``COMPARED`` buckets a block keeps the signs of all differences within a row: their product with a pattern ranks all rows in its buckets,
-in whole numbers, and one matrix product of such ranks gives a lag's correlations of all pairs of two patterns.  Only pairs that exceed the critical
-correlation at some lag are looked at one by one.  Wider series are ranked pattern by pattern.  What leaves a task is the pairs that exceed it, in
-batches, not all pairs.  A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
+in whole numbers, and one matrix product of such ranks gives a lag's correlations of all pairs of two large patterns; rows of small patterns are taken
+together.  Only pairs that exceed the critical correlation at some lag are looked at one by one.  Wider series are ranked pattern by pattern.
+What leaves a task is the pairs that exceed it, in batches, not all pairs.  A task holds two blocks; buckets are bounded by ``MAX_BUCKETS``, beyond which coarser buckets are asked for.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ BLOCK, CELLS, MAX_BUCKETS, LEAST_PAIRS, AUTOCORRELATED = 1024, 2_500_000, 10_000
 COMPARED = 64
 #: Then a block has so many series at most, and so many signs.
 NARROW, SIGNS = 16_384, 4_194_304
-#: Patterns of so many rows are multiplied one by one, the rows of smaller ones together.
-COMMON = 32
-TILE, SENT, MAX_TASKS = 256, 200_000, 4096
+#: A pattern of so many rows is large; tables of ranks have so many cells.
+LARGE, CHUNK = 32, 1_048_576
+#: A partition has few groups, as many have none.
+TILE, SENT, SPREAD, MAX_TASKS = 256, 200_000, 4, 4096
 
 #: Places of the rows on either side, lag, rho and n of pairs that exceed the critical correlation
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -96,32 +97,38 @@ def best_lags(a: np.ndarray, b: np.ndarray, first: np.ndarray, lags: Sequence[in
 
 
 class Side(NamedTuple):
-    """The rows of a block, those of a pattern together, those of rare patterns last."""
+    """The rows of a block by patterns, the largest first, those with ties apart; patterns of ``LARGE`` rows or more lie before ``large``, their rows before ``small``."""
 
     place: np.ndarray
     seen: np.ndarray
     signs: np.ndarray
-    patterns: list[tuple[np.ndarray, int, int]]
-    common: int
+    patterns: np.ndarray
+    tied: np.ndarray
+    starts: np.ndarray
+    large: int
+    small: int
 
 
 def side(x: np.ndarray, place: np.ndarray) -> Side:
     """``signs`` has a row a bucket: how each value of each series compares with that bucket's, 0 where either is unobserved."""
-    groups = sorted(_patterns(~np.isnan(x)), key=lambda g: -len(g[1]))
-    ends = np.cumsum([len(rows) for _, rows in groups], dtype=int)
-    order = np.concatenate([rows for _, rows in groups])
+    inorder, width = np.sort(x, axis=1), x.shape[1]
+    tied = (inorder[:, 1:] == inorder[:, :-1]).any(1)
+    groups = sorted(_patterns(np.column_stack([~np.isnan(x), tied])), key=lambda g: -len(g[1]))
+    order, sizes = np.concatenate([rows for _, rows in groups]), np.array([len(rows) for _, rows in groups])
     x = x[order]
-    signs = np.empty((x.shape[1], *x.shape), np.float32)
-    for k in range(x.shape[1]):
+    signs = np.empty((width, *x.shape), np.float32)
+    for k in range(width):
         np.subtract(x > x[:, k : k + 1], x < x[:, k : k + 1], out=signs[k], dtype=np.float32)
-    common = sum(len(rows) for _, rows in groups if len(rows) >= COMMON)
-    return Side(place[order], ~np.isnan(x), signs.reshape(x.shape[1], -1), [(seen, end - len(rows), end) for (seen, rows), end in zip(groups, ends.tolist())], common)
+    keys, starts, large = np.array([key for key, _ in groups]), np.concatenate([[0], np.cumsum(sizes)]), int((sizes >= LARGE).sum())
+    return Side(place[order], ~np.isnan(x), signs.reshape(width, -1), keys[:, :-1], keys[:, -1], starts, large, starts[large])
 
 
-def _later(seen: np.ndarray, lag: int) -> np.ndarray:
-    """What is seen ``lag`` buckets later."""
-    width, out = seen.shape[-1], np.zeros(seen.shape, np.float32)
-    out[..., max(0, -lag) : width - max(0, lag)] = seen[..., max(0, lag) : width - max(0, -lag)]
+def _later(x: np.ndarray, lags: np.ndarray) -> np.ndarray:
+    """What there is so many buckets later, 0 beyond the last: for each lag a table of all of ``x``, or of its own table there."""
+    width = x.shape[-1]
+    out = np.zeros((len(lags), *x.shape[-2:]), np.float32)
+    for k, lag in enumerate(lags.tolist()):
+        out[k, :, max(0, -lag) : width - max(0, lag)] = (x[k] if x.ndim == 3 else x)[:, max(0, lag) : width - max(0, -lag)]
     return out
 
 
@@ -133,83 +140,116 @@ def _ranked(at: Side, start: int, end: int, masks: np.ndarray) -> np.ndarray:
     return found
 
 
-def _lengths(ranked: np.ndarray) -> np.ndarray:
-    """Squared lengths of each row for each mask, infinite without spread; one for all rows if they are alike, as they are without ties."""
-    found = np.einsum("lrw,lrw->lr", ranked, ranked).astype(float)
+def _squares(ranked: np.ndarray) -> np.ndarray:
+    """Squared lengths, infinite without spread."""
+    found = np.einsum("...w,...w->...", ranked, ranked).astype(float)
     found[found == 0] = np.inf
-    return found[:, :1] if (found == found[:, :1]).all() else found
+    return found
 
 
 def _best(rho: np.ndarray, n: np.ndarray, lags: np.ndarray, critical: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which pairs, lag, rho, n) of those that exceed the critical correlation at their best lag; a row of ``rho`` a lag, of which the earlier one keeps a tie."""
+    """(which pairs, lag, rho, n) of those that exceed the critical correlation at their best lag; a row of ``rho`` and ``n`` a lag, of which the earlier one keeps a tie."""
     rho = np.round(rho, 9)
-    best = np.abs(rho).argmax(0)
-    top, many = np.take_along_axis(rho, best[None], 0)[0], np.take_along_axis(n, best[None], 0)[0] if n.shape[1] > 1 else n[best, 0]
+    best, every = np.abs(rho).argmax(0), np.arange(rho.shape[1])
+    top, many = rho[best, every], n[best, every if n.shape[1] > 1 else 0]
     keep = np.flatnonzero(np.abs(top) >= critical[many])
     return keep, lags[best[keep]], top[keep], many[keep]
 
 
-def _tiles(ours: np.ndarray, theirs: np.ndarray, lags: np.ndarray, n: np.ndarray, critical: np.ndarray) -> Iterator[Found]:
-    """Pairs of rows of two patterns, whose ranks have a table a lag."""
-    width, a, b = ours.shape[2], _lengths(ours), _lengths(theirs)
+def _at(x: np.ndarray, part: slice | np.ndarray) -> np.ndarray:
+    """Some columns; one that holds for all stays."""
+    return x[:, part] if x.shape[1] > 1 else x
+
+
+def _tiles(ours: np.ndarray, theirs: np.ndarray, a: np.ndarray, b: np.ndarray, lags: np.ndarray, n: np.ndarray, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of ``ours`` (a table of rows a lag) and ``theirs`` (of columns); ``a`` and ``b``: squared lengths, infinite where unmeasurable, ``n``: for each lag, of all or of each of ours."""
+    # without ties all rows of a pattern are of one length
+    a, b = (x[:, :1] if (x == x[:, :1]).all() else x for x in (a, b))
     # rounding may lift what lies just below
-    low_a, low_b = (np.sqrt(a) * (critical[n] - 1e-6)[:, None]).astype(np.float32), np.sqrt(b).astype(np.float32)
+    low_a, low_b = (np.sqrt(a) * (critical[n] - 1e-6)).astype(np.float32), np.sqrt(b).astype(np.float32)
     for p in range(0, ours.shape[1], TILE):
-        for q in range(0, theirs.shape[1], TILE):
-            part_a, part_b = slice(p, p + TILE), slice(q, q + TILE)
-            products = np.empty((len(lags), min(TILE, ours.shape[1] - p), min(TILE, theirs.shape[1] - q)), np.float32)
-            over = np.zeros(products.shape[1:], bool)
-            for k, lag in enumerate(lags.tolist()):
-                early, late = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
-                np.matmul(ours[k, part_a, early], theirs[k, part_b, late].T, out=products[k])
-                low = (low_a[k, part_a] if a.shape[1] > 1 else low_a[k])[:, None] * (low_b[k, part_b] if b.shape[1] > 1 else low_b[k])
-                over |= np.abs(products[k]) >= low
-            at = np.flatnonzero(over)
+        for q in range(0, theirs.shape[2], TILE):
+            products = ours[:, p : p + TILE] @ theirs[:, :, q : q + TILE]
+            low = _at(low_a, slice(p, p + TILE))[:, :, None] * _at(low_b, slice(q, q + TILE))[:, None]
+            at = np.flatnonzero((np.abs(products) >= low).any(0))
             if len(at):
-                x, y = np.divmod(at, over.shape[1])
-                squares = (a[:, p + x] if a.shape[1] > 1 else a) * (b[:, q + y] if b.shape[1] > 1 else b)
-                keep, lag, rho, many = _best(np.take(products.reshape(len(lags), -1), at, axis=1) / np.sqrt(squares), n[:, None], lags, critical)
-                yield p + x[keep], q + y[keep], lag, rho, many
-
-
-def _rare(ours: Side, theirs: Side, lags: np.ndarray, least: int, critical: np.ndarray) -> Iterator[Found]:
-    """Pairs of rows of rare patterns: each row is ranked by the pattern of each row of the other side."""
-    width, step = ours.seen.shape[1], max(1, math.isqrt(1_048_576 // ours.seen.shape[1]))
-    for p in range(ours.common, len(ours.place), step):
-        for q in range(theirs.common, len(theirs.place), step):
-            end_p, end_q = min(p + step, len(ours.place)), min(q + step, len(theirs.place))
-            shape = (len(lags), end_p - p, end_q - q)
-            rho, n = np.zeros(shape), np.zeros(shape, int)
-            for k, lag in enumerate(lags.tolist()):
-                masks = _later(theirs.seen[q:end_q], lag)
+                x, y = np.divmod(at, products.shape[2])
+                x, y, found = x + p, y + q, products.reshape(len(lags), -1)[:, at]
+                keep, *rest = _best(found / np.sqrt(_at(a, x) * _at(b, y)), _at(n, x), lags, critical)
+                yield x[keep], y[keep], *rest
+
+
+def _by_pattern(ours: Side, theirs: Side, lags: np.ndarray, least: int, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of rows of large patterns, two patterns at a time."""
+    masks = _later(theirs.patterns[: theirs.large], lags).transpose(1, 0, 2)
+    for one in range(ours.large if theirs.large else 0):
+        start, end = ours.starts[one : one + 2]
+        n = (masks * ours.patterns[one]).sum(2).astype(int)
+        ranked = _later(_ranked(theirs, 0, theirs.small, _later(ours.patterns[one : one + 1], -lags)[:, 0]), lags)
+        b = _squares(ranked)
+        for other in range(theirs.large):
+            table, part, many = _ranked(ours, start, end, masks[other]), slice(*theirs.starts[other : other + 2]), n[other][:, None]
+            a = np.where(many >= least, _squares(table), np.inf)
+            for x, y, *rest in _tiles(table, ranked[:, part].transpose(0, 2, 1), a, b[:, part], lags, many, critical):
+                yield start + x, part.start + y, *rest
+
+
+def _by_row(few: Side, many: Side, lags: np.ndarray, least: int, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of a row of a small pattern and one without ties of a large pattern, ``lag`` buckets earlier.
+
+    Each row of the latter is ranked in the former's buckets: these ranks are sums of signs, so their products with the former's ranks are sums of signs
+    times differences of the former's, and without ties their length depends on their number only.
+    """
+    width = few.seen.shape[1]
+    early, late = np.triu_indices(width, 1)
+    step = max(1, CHUNK // max(1, len(lags) * len(early)))
+    for one in np.flatnonzero(~many.tied[: many.large]) if few.small < len(few.place) else ():
+        start, end = many.starts[one : one + 2]
+        signs = many.signs.reshape(width, -1, width)[:, start:end][late, :, early][None]
+        back = _later(many.patterns[one : one + 1], -lags)[:, 0]
+        for p in range(few.small, len(few.place), step):
+            stop = min(p + step, len(few.place))
+            ranked, seen = _later(_ranked(few, p, stop, back), lags), _later(few.seen[p:stop], lags)
+            n = (seen * many.patterns[one]).sum(2).astype(int)
+            a = np.where(n >= max(least, 2), _squares(ranked), np.inf) * np.maximum(n**3 - n, 1) / 3
+            for x, y, *rest in _tiles(ranked[..., early] * seen[..., late] - ranked[..., late] * seen[..., early], signs, a, np.ones((len(lags), end - start)), lags, n, critical):
+                yield p + x, start + y, *rest
+
+
+def _one_by_one(ours: Side, theirs: Side, rows: tuple[int, int], others: tuple[int, int], lags: np.ndarray, least: int, critical: np.ndarray) -> Iterator[Found]:
+    """Pairs of any rows: each is ranked by the pattern of each row of the other side."""
+    step = max(1, math.isqrt(CHUNK // ours.seen.shape[1]))
+    for p in range(*rows, step):
+        for q in range(*others, step):
+            end_p, end_q = min(p + step, rows[1]), min(q + step, others[1])
+            rho, n = np.zeros((len(lags), end_p - p, end_q - q)), np.zeros((len(lags), end_p - p, end_q - q), int)
+            for k in range(len(lags)):
+                lag = lags[k : k + 1]
+                masks, back = _later(theirs.seen[q:end_q], lag)[0], _later(ours.seen[p:end_p], -lag)[0]
                 n[k] = ours.seen[p:end_p].astype(np.float32) @ masks.T
-                a, b = _ranked(ours, p, end_p, masks).transpose(1, 0, 2), _ranked(theirs, q, end_q, _later(ours.seen[p:end_p], -lag))
-                squares = np.einsum("abw,abw->ab", a, a).astype(float) * np.einsum("abw,abw->ab", b, b)
-                early, late = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
-                np.divide(np.einsum("abw,abw->ab", a[..., early], b[..., late]), np.sqrt(squares), out=rho[k], where=(n[k] >= least) & (squares > 0))
-            keep, lag, top, many = _best(rho.reshape(len(lags), -1), n.reshape(len(lags), -1), lags, critical)
-            yield p + keep // shape[2], q + keep % shape[2], lag, top, many
+                a, b = _ranked(ours, p, end_p, masks).transpose(1, 0, 2), _ranked(theirs, q, end_q, back)
+                products = np.einsum("abw,abw->ab", a, _later(b.reshape(-1, b.shape[2]), lag).reshape(b.shape))
+                np.divide(products, np.sqrt(_squares(a) * _squares(b)), out=rho[k], where=n[k] >= least)
+            keep, *rest = _best(rho.reshape(len(lags), -1), n.reshape(len(lags), -1), lags, critical)
+            yield p + keep // (end_q - q), q + keep % (end_q - q), *rest
 
 
 def exceeding(ours: Side, theirs: Side, lags: Sequence[int], least: int, critical: np.ndarray) -> Iterator[Found]:
     """All pairs of a row of ``ours`` and one of ``theirs``, ``lag`` buckets later, whose best lag exceeds the critical correlation."""
-    width = ours.seen.shape[1]
-    told = np.array(sorted({k for k in lags if abs(k) < width}, key=lambda k: (abs(k), k)), np.int32)
-    for seen_a, start_a, end_a in ours.patterns:
-        masks_b = np.stack([_later(seen_a, -lag) for lag in told.tolist()])
-        end = len(theirs.place) if start_a < ours.common else theirs.common
-        ranked = _ranked(theirs, 0, end, masks_b)
-        for seen_b, start_b, end_b in theirs.patterns:
-            if start_b >= end:
-                break
-            masks_a = np.stack([_later(seen_b, lag) for lag in told.tolist()])
-            n = (masks_a * seen_a).sum(1).astype(int)
-            measurable = np.flatnonzero(n >= least)
-            if len(measurable):
-                for x, y, *rest in _tiles(_ranked(ours, start_a, end_a, masks_a[measurable]), ranked[measurable, start_b:end_b], told[measurable], n[measurable], critical):
-                    yield ours.place[start_a + x], theirs.place[start_b + y], *rest
-    for x, y, *rest in _rare(ours, theirs, told, least, critical):
+    told = np.array(sorted({k for k in lags if abs(k) < ours.seen.shape[1]}, key=lambda k: (abs(k), k)), np.int32)
+    if not len(told):
+        return
+    for x, y, *rest in _by_pattern(ours, theirs, told, least, critical):
+        yield ours.place[x], theirs.place[y], *rest
+    for y, x, *rest in _by_row(theirs, ours, told, least, critical):
         yield ours.place[x], theirs.place[y], *rest
+    for x, y, lag, *rest in _by_row(ours, theirs, -told, least, critical):
+        yield ours.place[x], theirs.place[y], -lag, *rest
+    whole, others = (ours.small, len(ours.place)), (theirs.small, len(theirs.place))
+    parts = [(whole, others), *((tuple(ours.starts[k : k + 2]), others) for k in np.flatnonzero(ours.tied[: ours.large])), *((whole, tuple(theirs.starts[k : k + 2])) for k in np.flatnonzero(theirs.tied[: theirs.large]))]
+    for part in parts:
+        for x, y, *rest in _one_by_one(ours, theirs, *part, told, least, critical):
+            yield ours.place[x], theirs.place[y], *rest
 
 
 def unmeasurable(df: DataFrame, series: str, bucket: str, value: str, least: int = LEAST_PAIRS) -> DataFrame:
@@ -241,7 +281,7 @@ def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags:
     narrow = width <= COMPARED
     block = block or max(1, min(NARROW, SIGNS // max(width, 1) ** 2) if narrow else min(BLOCK, CELLS // width))
     # pairs of blocks for all cores, also of few series
-    blocks = max(1, math.ceil(many / block), min(math.isqrt(6 * df.sparkSession.sparkContext.defaultParallelism), many // COMMON))
+    blocks = max(1, math.ceil(many / block), min(math.isqrt(12 * df.sparkSession.sparkContext.defaultParallelism), many // LARGE))
     # by ranges of names: of two blocks, one has all the smaller ones
     packed = packed.select("s", F.transform("x.b", lambda b: (b - F.lit(low)).cast("short")).alias("bs"), F.col("x.v").alias("vs"), "auto").repartitionByRange(blocks, "s")
     packed = cut(packed.withColumn("own", F.spark_partition_id()))
@@ -249,7 +289,7 @@ def correlated_pairs(df: DataFrame, series: str, bucket: str, value: str, lags:
     dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     # small as the rows are, each pair of blocks is much work: no joining of partitions
-    dealt = dealt.repartition(min(blocks * (blocks + 1) // 2, MAX_TASKS), "i", "j")
+    dealt = dealt.repartition(min(SPREAD * blocks * (blocks + 1) // 2, MAX_TASKS), "i", "j")
     critical = np.array([np.inf, *(round(rho_critical(n), 9) for n in range(1, width + 1))])
 
     def found(table: pa.Table, i: int, j: int) -> Iterator[tuple[Found, bool]]:
